@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import op1_urls, op2_simhash, op3_quality
+from lodestone.llm import op1_urls, op2_simhash, op3_quality, op5_neardup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urls.op1_url_filter, op2_simhash.op2_document_fingerprints, op3_quality.op3_quality_rules)}
+    return {f.__name__: f for f in (op1_urls.op1_url_filter, op2_simhash.op2_document_fingerprints, op3_quality.op3_quality_rules, op5_neardup.op5_simhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
