@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import op1_urls, op2_simhash, op3_quality, op5_neardup
+from lodestone.llm import op1_urls, op2_simhash, op3_quality, op4_bpe, op5_neardup, op6_orc, op8_substring, op9_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_urls.op1_url_filter, op2_simhash.op2_document_fingerprints, op3_quality.op3_quality_rules, op5_neardup.op5_simhash_neardup)}
+    found = (
+        op1_urls.op1_url_filter,
+        op2_simhash.op2_document_fingerprints,
+        op3_quality.op3_quality_rules,
+        op4_bpe.op4_bpe_roundtrip,
+        op5_neardup.op5_simhash_neardup,
+        op6_orc.op6_token_orc,
+        op8_substring.op8_substring_dedup,
+        op9_packing.op9_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
