@@ -8,6 +8,7 @@ encoded as it comes.
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from functools import cache
@@ -17,7 +18,10 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-PIECES, MIDS, HEADS = 500_000, 700_000, 50_000
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+
+PIECES, MIDS, HEADS = 400_000, 600_000, 20_000
+BATCH = 4096
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PLAIN = re.compile("[\t\n\x21-\x7e\xa1-\xac\xae-\xff]*")
 
@@ -98,7 +102,10 @@ class CachedEncoder:
         self.pieces, self.heads, self.mids = Table(PIECES), Table(HEADS), Table(MIDS)
 
     def ask(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for at in range(0, len(texts), BATCH):  # the library's result for a text is far larger than its ids
+            out += [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
+        return out
 
     def pre_tokens(self, lead: str, chunk: str) -> list[str]:
         """Pieces of text whose ids, one after another, are those of lead + chunk."""
