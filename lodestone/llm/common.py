@@ -108,19 +108,20 @@ class Blocks:
 
     frame: (block long, payload binary), dealt by block. n: number of blocks,
     at least 1. Null ids go to block 0, and repeated rows stay in one block.
+    carry: further columns that travel with the documents.
     """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20):
+    def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20, carry: tuple[str, ...] = ()):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
         docs = doc_columns(docs)
-        size, rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-        self.n = max(1, round((size or 0) / block_bytes))
-        self.n = min(self.n, max(1, rows))
+        size, count = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        n = min(max(1, round((size or 0) / block_bytes)), max(1, count))
         bounds: list[float] = []
-        if self.n > 1:
-            bounds = docs.where("doc_id is not null").approxQuantile("doc_id", [i / self.n for i in range(1, self.n)], 0.1 / self.n)
+        if n > 1:
+            bounds = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
         edges = np.array(sorted({int(b) for b in bounds}), np.int64)
         self.n = len(edges) + 1
-        self.frame = docs.mapInArrow(lambda it: _pack(it, edges), "block long, payload binary")
+        self.frame = rows.mapInArrow(lambda it: _pack(it, edges), "block long, payload binary")
 
 
 def _pack(batches: Iterator[pa.RecordBatch], edges: np.ndarray, hold: int = 32 << 20) -> Iterator[pa.RecordBatch]:
@@ -155,16 +156,18 @@ def _pack(batches: Iterator[pa.RecordBatch], edges: np.ndarray, hold: int = 32 <
         yield flush()
 
 
+def block_table(table: pa.Table) -> pa.Table:
+    """The documents of one block by (doc_id, text), null ids first and null texts as empty ones."""
+    docs = pa.concat_tables([pa.ipc.open_stream(payload.as_buffer()).read_all() for payload in table.column("payload")]).combine_chunks()
+    ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i] or ""))
+    return docs.take(pa.array(order, pa.int64()))
+
+
 def block_rows(table: pa.Table) -> tuple[list[int | None], list[str]]:
-    """Ids and texts (null: empty) of one block, by (doc_id, text); null ids come first."""
-    ids: list[int | None] = []
-    texts: list[str] = []
-    for payload in table.column("payload"):
-        part = pa.ipc.open_stream(payload.as_buffer()).read_all()
-        ids += part.column("doc_id").to_pylist()
-        texts += [t or "" for t in part.column("text").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    """Ids and texts of block_table()."""
+    docs = block_table(table)
+    return docs.column("doc_id").to_pylist(), [t or "" for t in docs.column("text").to_pylist()]
 
 
 def range_edges(docs: DataFrame, rows_per_part: int, column: str = "doc_id") -> list[int]:

@@ -68,6 +68,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return doc_columns(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def stamp(docs: DataFrame) -> DataFrame:
+    """docs and the column fp, written once, with a row number uid: every reader sees the same rows and numbers."""
+    prepare(docs.sparkSession)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*names, "fp"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return materialize(docs.mapInArrow(run, f"{schema}, fp long").withColumn("uid", F.monotonically_increasing_id()), "stamped")
+
+
+def keep_one(docs: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
+    """The row of the least (doc_id, text) in each group of near duplicates, null ids last. docs must have no columns fp or uid."""
+    rows = stamp(docs)
+    found = components_of(rows.select(F.col("uid").alias("doc_id"), "fp"), limit).select(F.col("doc_id").alias("uid"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("uid").alias("uid"))
+    first = rows.select("uid", rank.alias("rank")).join(found, "uid").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.uid")
+    return rows.join(first, "uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -218,7 +242,11 @@ def near_edges(distinct: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    prints = materialize(fingerprints(docs), "fingerprints")
+    return components_of(materialize(fingerprints(docs), "fingerprints"), limit)
+
+
+def components_of(prints: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of a written table (doc_id, fp)."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     member = components(near_edges(distinct, limit))
     root_of = distinct.join(member.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, documents, mix, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, documents, mix, pack_bytes, prepare, unpack_bytes
 
 WINDOW = 20
 SEED = 11
@@ -99,9 +99,10 @@ def factors(source: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     return [(int(a), int(b - a + width - 1), int(source[a])) for a, b in zip(starts, ends, strict=True) if source[a] >= 0]
 
 
-def _remove(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
-    ids, texts = block_rows(docs)
+def _remove(docs: pa.Table, answers: pa.Table, width: int, buckets: int, carry: tuple[str, ...], layout: bool) -> pa.Table:
     block = docs.column("block")[0].as_py()
+    rows = block_table(docs)
+    ids, texts = rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
     words, sizes, distinct, first, inverse = _index(texts, width)
     got = dict(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))
     of_hash = np.full(len(distinct), -1, np.int64)
@@ -113,30 +114,38 @@ def _remove(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.T
     source[later] = block
     out: dict[str, list] = {f.name: [] for f in OUT}
     at = 0
-    for doc_id, own, n in zip(ids, words, sizes, strict=True):
+    for doc_id, text, own, n in zip(ids, texts, words, sizes, strict=True):
         spans = factors(source[at : at + n], width)
         at += n
         hit = np.zeros(len(own), bool)
         for start, length, _ in spans:
             hit[start : start + length] = True
         removed = int(hit.sum())
-        kept = [w for w, gone in zip(own, hit.tolist(), strict=True) if not gone] if removed else own
-        values = (doc_id, len(own), removed, [{"start": a, "length": b, "source_block": c} for a, b, c in spans], b" ".join(kept).decode())
+        kept = b" ".join([w for w, gone in zip(own, hit.tolist(), strict=True) if not gone] if removed else own).decode()
+        values = (doc_id, len(own), removed, [{"start": a, "length": b, "source_block": c} for a, b, c in spans], text if layout and not removed else kept)
         for name, value in zip(out, values, strict=True):
             out[name].append(value)
-    return pa.Table.from_batches([batch_of(out, OUT)])
+    found = pa.Table.from_batches([batch_of(out, OUT)])
+    for c in carry:
+        found = found.append_column(c, rows.column(c))
+    return found
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (start, length, source_block) and kept (words joined by a space) of every row."""
+def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 << 20, carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, spans (start, length, source_block) and kept (words joined by a space) of every row.
+
+    carry: further columns of docs to return; their names must differ from these. layout: a text that loses
+    no word is kept as it is, with its white space.
+    """
     prepare(docs.sparkSession)
-    blocks = Blocks(docs, block_bytes)
+    blocks = Blocks(docs, block_bytes, carry)
     buckets = blocks.n
     sent = blocks.frame.groupBy("block").applyInArrow(lambda t: _send(t, width, buckets), "bucket long, block long, payload binary")
     found = sent.groupBy("bucket").applyInArrow(_find, "bucket long, block long, payload binary")
     both = blocks.frame.groupBy("block").cogroup(found.groupBy("block"))
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long,source_block:long>>, kept string"
-    return both.applyInArrow(lambda left, right: _remove(left, right, width, buckets), schema)
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return both.applyInArrow(lambda left, right: _remove(left, right, width, buckets, carry, layout), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
