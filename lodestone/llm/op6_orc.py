@@ -42,7 +42,7 @@ def _encode_block(table: pa.Table, file: str, end: int) -> pa.Table:
     return pa.table({"block": pa.array([block] * len(ids), pa.int64()), "row": pa.array(range(len(ids)), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(sizes, pa.int32()), "start": pa.array(ends - sizes, pa.int64()), "ids": lists})
 
 
-def write_orc(docs: DataFrame, path: str, file: str = FILE, end: int = END, block_bytes: int = 16 << 20) -> None:
+def write_orc(docs: DataFrame, path: str, file: str = FILE, end: int = END, block_bytes: int = 8 << 20) -> None:
     """Encode every text of docs and write the ids, with `end` after each document, below path."""
     prepare(docs.sparkSession)
     blocks = Blocks(docs, block_bytes)

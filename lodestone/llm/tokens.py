@@ -20,8 +20,9 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-PIECES, MIDS, HEADS = 400_000, 600_000, 20_000
+PIECES, MIDS, HEADS = 300_000, 450_000, 20_000
 BATCH = 4096
+HOLD = 2_000_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PLAIN = re.compile("[\t\n\x21-\x7e\xa1-\xac\xae-\xff]*")
 
@@ -124,6 +125,19 @@ class CachedEncoder:
         return dict(zip(chunks, [b"".join(map(get, p)) for p in cut], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Some texts at a time, of about HOLD characters: their chunks take many times the room of the text."""
+        out: list[bytes] = []
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= HOLD:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + (self._encode(held) if held else [])
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts, new, ends = cut(texts, self.mids.ids, self.spaced)
         lead = " " if self.spaced else ""
         self.mids.add(self.learn(list(new - ends), lead))
