@@ -1,14 +1,12 @@
 """Encoding with the tokenizers library, each distinct piece of text once a worker.
 
 A text is cut at spaces where the tokenizer cuts for certain; the ids of each chunk between two cuts come
-from a table, or else from the ids of its pre-tokens, and only pre-tokens met for the first time go to the
-library. Tables stop growing at PIECES, MIDS and HEADS entries, which bounds a worker's memory; what is not in them is
-encoded as it comes.
+from a table, or else from the ids of its pre-tokens, and only pre-tokens that are not in theirs go to the
+library's model. Tables stop growing at a fixed number of entries, which bounds a worker's memory.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 from functools import cache
@@ -18,11 +16,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-
-PIECES, MIDS, HEADS = 300_000, 450_000, 20_000
-BATCH = 4096
-HOLD = 2_000_000
+#: Most entries of a worker's tables.
+PIECES, MIDS, HEADS = 400_000, 600_000, 20_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PLAIN = re.compile("[\t\n\x21-\x7e\xa1-\xac\xae-\xff]*")
 
@@ -72,22 +67,28 @@ def cut(texts: list[str], known: dict | frozenset = frozenset(), spaced: bool =
     return parts, new, ends
 
 
-class Table:
-    """Ids that stay, and among them those that only the batch at hand needs. Plain dicts: sets are subtracted from them fast."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = byte_letters()
 
-    def __init__(self, limit: int):
-        self.ids: dict[str, bytes] = {}
-        self.limit, self.passing = limit, []
 
-    def add(self, more: dict[str, bytes], passing: bool = False) -> None:
-        if passing or len(self.ids) - len(self.passing) >= self.limit:
-            self.passing += more
-        self.ids.update(more)
+class Memo(dict):
+    """Values of a function; it stops growing at `limit` keys, and never keeps keys that `passing` is true of."""
 
-    def forget(self) -> None:
-        for key in self.passing:
-            self.ids.pop(key, None)
-        self.passing = []
+    def __init__(self, limit: int, compute, passing=None):
+        super().__init__()
+        self.limit, self.compute, self.passing = limit, compute, passing
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
+        if not (self.passing and self.passing(key)) and len(self) < self.limit:
+            self[key] = value
+        return value
 
 
 class CachedEncoder:
@@ -97,16 +98,27 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
         assert self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        self.model = self.library.model
         self.spaced = spaced
         # lower case, spaces dropped
         self.split = regex.compile(unicode_space(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")).findall
-        self.pieces, self.heads, self.mids = Table(PIECES), Table(HEADS), Table(MIDS)
-
-    def ask(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), BATCH):  # the library's result for a text is far larger than its ids
-            out += [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
-        return out
+        self.doubtful = False  # a chunk was empty or ends in white space: the cut after it may be wrong
+        piece = self.pieces = Memo(PIECES, self._of_piece)
+        self.heads = Memo(HEADS, lambda c: b"".join(map(piece.__getitem__, self.pre_tokens("", c))), self._is_doubtful)
+        lead = " " if spaced else ""
+        self.mids = Memo(MIDS, lambda c: b"".join(map(piece.__getitem__, self.pre_tokens(lead, c))), self._is_doubtful)
+
+    def _of_piece(self, piece: str) -> bytes:
+        """One pre-token by the library's model; text that must be normalised first, by the whole library."""
+        if self.spaced or piece.isascii() or _PLAIN.fullmatch(piece):
+            return array("H", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        return array("H", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _is_doubtful(self, chunk: str) -> bool:
+        if not chunk or chunk[-1].isspace():
+            self.doubtful = True
+            return True
+        return False
 
     def pre_tokens(self, lead: str, chunk: str) -> list[str]:
         """Pieces of text whose ids, one after another, are those of lead + chunk."""
@@ -116,37 +128,18 @@ class CachedEncoder:
             return [chunk]
         return pre_tokens(self.split, "", chunk.lower())
 
-    def learn(self, chunks: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of chunks, from those of their pre-tokens."""
-        cut = [self.pre_tokens(lead, c) for c in chunks]
-        new = list(set(chain.from_iterable(cut)).difference(self.pieces.ids))
-        self.pieces.add(dict(zip(new, self.ask(new), strict=True)))
-        get = self.pieces.ids.__getitem__
-        return dict(zip(chunks, [b"".join(map(get, p)) for p in cut], strict=True))
+    def _join(self, parts: list[str]) -> bytes:
+        return self.heads[parts[0]] + b"".join(map(self.mids.__getitem__, parts[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Some texts at a time, of about HOLD characters: their chunks take many times the room of the text."""
-        out: list[bytes] = []
-        held: list[str] = []
-        size = 0
+        out = []
         for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= HOLD:
-                out += self._encode(held)
-                held, size = [], 0
-        return out + (self._encode(held) if held else [])
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        parts, new, ends = cut(texts, self.mids.ids, self.spaced)
-        lead = " " if self.spaced else ""
-        self.mids.add(self.learn(list(new - ends), lead))
-        self.mids.add(self.learn(list(ends), lead), passing=True)
-        self.heads.add(self.learn(list({p[0] for p in parts}.difference(self.heads.ids)), ""))
-        head, mid = self.heads.ids.__getitem__, self.mids.ids.__getitem__
-        out = [head(p[0]) + b"".join(map(mid, p[1:])) for p in parts]
-        for table in (self.pieces, self.heads, self.mids):
-            table.forget()
+            self.doubtful = False
+            ids = self._join(text.split(" "))
+            if self.doubtful and self.spaced:  # cut where it is certain instead
+                first, *rest = _CUT.split(text)
+                ids = self._join([first, *(c[1:] for c in rest)])
+            out.append(ids)
         return out
 
 
