@@ -3,12 +3,16 @@
 A text is a row of symbols, its UTF-8 bytes and an end. Each symbol is a walk down a fixed binary code, short
 for frequent letters; each step is one bit decision. Three contexts (the last two bytes, the last four, the
 word so far) are hashed with the node into SLOTS slots each, and training counts zeros and ones in every
-slot, over all training documents: tasks count into arrays of a fixed size, which are added up by chunks.
+slot, over all training documents: tasks count into arrays of a fixed size, which are added up by ranges.
 
-Scoring mixes the slots' log odds with weights chosen by a gate (first step of a symbol, or a later one),
-refines the mixture by an adaptive slope and shift, and takes the log2 loss of every bit. Weights, slope and
-shift start alike for each document and learn on-line: after every SEGMENT bits of a gate they move by what
-those bits taught. So a text's score depends on the trained counts and on itself alone.
+Contexts do not reach behind the space before a word. So what a chunk (a word and its space) costs an expert
+depends on the chunk alone: it is walked once for all its places in a task, in training and in scoring.
+
+Scoring mixes the slots' log odds into a bit's probability, with weights chosen by a gate (first step of a
+symbol, or a later one). There are several such mixtures (EXPERTS), and their weights are refined adaptively
+as a text is read: a text starts with even weights, and after every SEGMENT chunks each expert's weight is
+multiplied by the probability it gave them, less a SHARE that is dealt out evenly. Total bits add up the
+log2 losses. So a text's score depends on the trained counts and on itself alone.
 
 The base score is an add-one unigram model over words. Its counts come through the word exchange of blocks
 (see common): a word costs one entry from each block.
@@ -38,12 +42,18 @@ BITS = 21
 SLOTS = 1 << BITS
 CONTEXTS = 3
 CHUNK = 1 << 15
-SEGMENT = 256
-PIECE = 1 << 20
-LOOK = 16  # bytes a context can reach back
-RATE, FINE = np.float32(0.004), np.float32(0.0005)
-START = np.float32(0.42)
-SCALE = np.float32(1 / 16)  # of the int8 log odds
+SCALE = 1 / 16  # of the int8 log odds
+LIMIT = 9.0
+SEGMENT = 64  # chunks between two changes of a text's expert weights
+SHARE = 0.02
+LOOK = 16  # bytes that the word context reaches back
+#: Weights of the contexts for first and later steps. The first suits clean prose best; others lean on short or long contexts.
+EXPERTS = (
+    ((0.2, 0.5, 0.45), (0.4, 0.5, 0.2)),
+    ((0.2, 0.25, 0.7), (0.2, 0.3, 0.6)),
+    ((0.4, 0.3, 0.15), (0.4, 0.3, 0.1)),
+    ((0.1, 0.8, 0.7), (0.2, 0.9, 0.6)),
+)
 END_WORD = b"\n"  # no word has a line feed
 HELD_OUT = (7, 2)
 #: The letters that get short codes, by falling frequency.
@@ -81,18 +91,49 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % HELD_OUT[0] == HELD_OUT[1]
 
 
-def contexts(symbols: np.ndarray) -> list[np.ndarray]:
-    """CONTEXTS hashes (uint32) of what stands before each symbol."""
+def chunks_of(text: str) -> list[str]:
+    """The text cut after each space. A chunk is written without its space, the last one with a space for the end."""
+    parts = text.split(" ")
+    parts[-1] += " "
+    return parts
+
+
+def symbols_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all chunks in a row, each with its space or end, and where each chunk begins."""
+    coded = [c.rstrip(" ").encode() for c in chunks]
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
+    symbols = np.frombuffer(b" ".join(coded) + b" ", np.uint8).astype(np.int64)
+    ends = np.cumsum(sizes)
+    last = np.fromiter((c.endswith(" ") for c in chunks), bool, len(chunks))
+    symbols[ends[last] - 1] = 256
+    return symbols, ends - sizes
+
+
+@cache
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x2C1B3C6D
+    return np.uint32(base) ** np.arange(n, dtype=np.uint32), np.uint32(pow(base, -1, 1 << 32)) ** np.arange(n, dtype=np.uint32)
+
+
+def contexts(symbols: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """CONTEXTS hashes (uint32) of what stands before each symbol in its chunk."""
     s = symbols.astype(np.uint32)
     n = len(s)
-    back = [np.r_[np.zeros(k, np.uint32), s[: n - k]] if n > k else np.zeros(n, np.uint32) for k in range(1, 5)]
+    place = np.arange(n)
+    start = np.repeat(begins, np.diff(np.r_[begins, n]))
+    inside = place - start
+    back = []
+    for k in range(1, 5):
+        x = np.zeros(n, np.uint32)
+        x[k:] = s[:-k]
+        x[inside < k] = 0
+        back.append(x)
     two = back[0] | back[1] << np.uint32(8)
     four = two | back[2] << np.uint32(16) | back[3] << np.uint32(24)
-    # the word so far: a sum of powers over at most LOOK bytes since the last white space
-    place = np.arange(n)
-    space = np.maximum.accumulate(np.where((s == 32) | (s == 10), place, -1))
-    begin = np.maximum(np.r_[-1, space[:-1]] + 1, place - LOOK)
-    power, inverse = _powers(n)
+    # the word so far: a sum of powers over at most LOOK bytes since the chunk's begin or a line feed
+    line = np.maximum.accumulate(np.where(s == 10, place, -1))
+    begin = np.maximum(np.maximum(np.r_[-1, line[:-1]] + 1, start), place - LOOK)
+    power, inverse = _powers_to(1 << max(12, n.bit_length()))
     total = np.r_[np.uint32(0), np.cumsum((s + np.uint32(1)) * power[:n], dtype=np.uint32)]
     word = (total[:n] - total[begin]) * inverse[begin]
     out = []
@@ -103,28 +144,19 @@ def contexts(symbols: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-@cache
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x2C1B3C6D
-    return np.uint32(base) ** np.arange(n, dtype=np.uint32), np.uint32(pow(base, -1, 1 << 32)) ** np.arange(n, dtype=np.uint32)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers_to(1 << max(12, n.bit_length()))
-
-
-def decisions(symbols: np.ndarray, skip: int) -> list[tuple[list[np.ndarray], np.ndarray]]:
-    """For each gate (first steps of symbols, later steps) the slots of each context, and the bits, of the
-    symbols from `skip` on; those before it are context only."""
+def decisions(chunks: list[str]) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """For each gate (first steps of symbols, later steps) the slots of each context, the bits, and how many of
+    them each chunk has. What a chunk meets depends on the chunk alone."""
     steps, begin, nodes, bits = code()
-    hashed = [c[skip:] for c in contexts(symbols)]
-    own = symbols[skip:]
-    first = begin[own]
-    more = steps[own] - 1
+    symbols, begins = symbols_of(chunks)
+    hashed = contexts(symbols, begins)
+    first = begin[symbols]
+    more = steps[symbols] - 1
     ends = np.cumsum(more)
     later = np.arange(ends[-1]) + np.repeat(first + 1 - (ends - more), more)
+    sizes = (np.diff(np.r_[begins, len(symbols)]), np.add.reduceat(more, begins))
     out = []
-    for walk, spread in ((first, lambda c: c.copy()), (later, lambda c: np.repeat(c, more))):
+    for walk, size, spread in ((first, sizes[0], lambda c: c.copy()), (later, sizes[1], lambda c: np.repeat(c, more))):
         node = nodes.take(walk)
         slots = []
         for c in hashed:
@@ -133,39 +165,40 @@ def decisions(symbols: np.ndarray, skip: int) -> list[tuple[list[np.ndarray], np
             h *= np.uint32(0x27D4EB2F)
             h >>= np.uint32(32 - BITS)
             slots.append(h)
-        out.append((slots, bits.take(walk)))
+        out.append((slots, bits.take(walk), size))
     return out
 
 
-def symbols_of(text: str) -> np.ndarray:
-    return np.r_[np.frombuffer(text.encode(), np.uint8).astype(np.int64), 256] if text else np.array([256])
-
-
-def pieces(symbols: np.ndarray, size: int = 0) -> Iterator[tuple[np.ndarray, int]]:
-    size = size or PIECE
-    for at in range(0, len(symbols), size):
-        skip = min(at, 2 * LOOK)
-        yield symbols[at - skip : at + size], skip
-
-
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _train(batches: Iterator[pa.RecordBatch], hold: int = 150_000) -> Iterator[pa.RecordBatch]:
+    """Every distinct chunk is walked once for many documents, and counted as often as it stands there."""
     counts = np.zeros((CONTEXTS, 2 * SLOTS), np.uint32)
-    one = np.uint32(1)
-    seen = False
+    seen: Counter[str] = Counter()
+    any_doc = False
+
+    def flush() -> None:
+        chunks = list(seen)
+        times = np.fromiter(seen.values(), np.uint32, len(chunks))
+        for at in range(0, len(chunks), 50_000):
+            for slots, bits, size in decisions(chunks[at : at + 50_000]):
+                often = np.repeat(times[at : at + 50_000], size)
+                for k in range(CONTEXTS):
+                    place = slots[k].astype(np.int64)
+                    place <<= 1
+                    place |= bits
+                    np.add.at(counts[k], place, often)
+        seen.clear()
+
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if is_held_out(doc_id):
-                continue
-            seen = True
-            for part, skip in pieces(symbols_of(text or "")):
-                for slots, bits in decisions(part, skip):
-                    for k in range(CONTEXTS):
-                        at = slots[k].astype(np.int64)
-                        at <<= 1
-                        at |= bits
-                        np.add.at(counts[k], at, one)
-    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+            if not is_held_out(doc_id):
+                any_doc = True
+                seen.update(chunks_of(text or ""))
+                if len(seen) >= hold:
+                    flush()
     if seen:
+        flush()
+    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+    if any_doc:
         flat = counts.reshape(-1, 2 * CHUNK)
         for k in range(len(flat)):
             yield batch_of({"chunk": [k], "counts": [pack_bytes(flat[k].tobytes())]}, schema)
@@ -192,88 +225,55 @@ def train(docs: DataFrame) -> np.ndarray:
     return out.reshape(CONTEXTS, SLOTS)
 
 
-class Mixer:
-    """Weights, and slope and shift of the refinement, of some lanes: one lane for each document and gate."""
-
-    def __init__(self, lanes: int):
-        self.w = np.full((CONTEXTS, lanes, 1), START, np.float32)
-        self.slope = np.ones((lanes, 1), np.float32)
-        self.shift = np.zeros((lanes, 1), np.float32)
-
-    def loss(self, n: int, stretch: list[np.ndarray], bits: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """log2 loss of the next segment of each of the first n lanes, after which they learn from it."""
-        dot = stretch[0] * self.w[0, :n]
-        for k in range(1, CONTEXTS):
-            dot += stretch[k] * self.w[k, :n]
-        np.clip(dot, -9, 9, out=dot)
-        fine = dot * self.slope[:n]
-        fine += self.shift[:n]
-        np.clip(fine, -9, 9, out=fine)
-        error = bits - 1 / (1 + np.exp(-fine))
-        error *= live
-        cost = -np.log2(1 - np.abs(error)).sum(axis=1, dtype=np.float64)
-        for k in range(CONTEXTS):
-            self.w[k, :n, 0] += RATE * np.einsum("ij,ij->i", error, stretch[k])
-        self.slope[:n, 0] += FINE * np.einsum("ij,ij->i", error, dot)
-        self.shift[:n, 0] += FINE * error.sum(axis=1)
-        return cost
-
-
-def _run(parts: list[tuple[np.ndarray, int]], odds: np.ndarray, mixer: Mixer | None = None) -> tuple[np.ndarray, Mixer]:
-    """Bits of some parts. Lanes are ordered by falling length, and the s-th segments of all lanes lie side by side."""
-    got = [lane for part in parts for lane in decisions(*part)]
-    sizes = np.array([len(bits) for _, bits in got])
-    segments = -(-sizes // SEGMENT)
-    order = np.arange(len(got)) if mixer else np.argsort(-segments, kind="stable")
-    mixer = mixer or Mixer(len(got))
-    alive = np.array([int((segments > s).sum()) for s in range(int(segments.max(initial=0)))], np.int64)
-    if len(parts) == 1:  # the lanes of one long document keep their places
-        alive[:] = len(got)
-    row0 = np.cumsum(alive) - alive
-    shape = (int(alive.sum()), SEGMENT)
-    stretch = [np.zeros(shape, np.float32) for _ in range(CONTEXTS)]
-    bits, live = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
-    whole = np.zeros(SEGMENT * int(segments.max(initial=0)), np.float32)
-    for lane, i in enumerate(order):
-        slots, b = got[i]
-        n, m = len(b), int(segments[i])
-        rows = row0[:m] + lane
-        part = whole[: m * SEGMENT]
-        part[n:] = 0
-        for k in range(CONTEXTS):
-            np.multiply(odds[k].take(slots[k]), SCALE, out=part[:n])
-            stretch[k][rows] = part.reshape(m, SEGMENT)
-        part[:n] = b
-        bits[rows] = part.reshape(m, SEGMENT)
-        part[:n] = 1
-        live[rows] = part.reshape(m, SEGMENT)
-    total = np.zeros(len(got))
-    for at, n in zip(row0, alive, strict=True):
-        total[order[:n]] += mixer.loss(int(n), [x[at : at + n] for x in stretch], bits[at : at + n], live[at : at + n])
-    return total.reshape(-1, 2).sum(axis=1), mixer
-
-
-def bits_of(texts: list[str], odds: np.ndarray, hold: int = 1 << 19) -> list[float]:
+def chunk_bits(chunks: list[str], odds: np.ndarray) -> np.ndarray:
+    """(chunks, experts) bits: the log odds of a chunk's slots mixed with each expert's weights for the gate."""
+    out = np.zeros((len(chunks), len(EXPERTS)), np.float32)
+    for at in range(0, len(chunks), 50_000):
+        for gate, (slots, bits, size) in enumerate(decisions(chunks[at : at + 50_000])):
+            inputs = [odds[k].take(slots[k]).astype(np.float32) for k in range(CONTEXTS)]
+            sign = 1 - 2 * bits.astype(np.float32)
+            begins = np.cumsum(size) - size
+            for e, weights in enumerate(EXPERTS):
+                dot = inputs[0] * np.float32(weights[gate][0] * SCALE)
+                for k in range(1, CONTEXTS):
+                    dot += inputs[k] * np.float32(weights[gate][k] * SCALE)
+                np.clip(dot, -LIMIT, LIMIT, out=dot)
+                dot *= sign
+                np.exp(dot, out=dot)  # loss of a bit: log2(1 + exp(-dot)) if it is 1, log2(1 + exp(dot)) if it is 0
+                np.log1p(dot, out=dot)
+                out[at : at + 50_000, e] += np.add.reduceat(dot, begins) * np.float32(1.4426950408889634)
+    return out
+
+
+def mixed_bits(losses: np.ndarray) -> float:
+    """Bits of a text from the experts' bits of its segments (segments, experts).
+
+    The experts' probabilities are averaged with weights that follow each text: all alike at first, after each
+    segment multiplied by what the expert gave the segment, and a SHARE of the whole dealt out evenly again.
+    """
+    weights = np.full(losses.shape[1], -log2(losses.shape[1]))
+    total = 0.0
+    for row in losses.astype(np.float64):
+        now = weights - row
+        top = now.max()
+        mass = np.exp2(now - top)
+        whole = mass.sum()
+        total -= top + log2(whole)
+        weights = np.log2(mass / whole * (1 - SHARE) + SHARE / len(mass))
+    return total
+
+
+def bits_of(texts: list[str], odds: np.ndarray) -> list[float]:
     """Total bits of each text."""
-    symbols = [symbols_of(t) for t in texts]
-    out = np.zeros(len(texts))
-    held: list[int] = []
-    size = 0
-    for i in sorted(range(len(texts)), key=lambda i: len(symbols[i])):
-        if len(symbols[i]) > PIECE:
-            mixer = None
-            for part in pieces(symbols[i]):
-                bits, mixer = _run([part], odds, mixer)
-                out[i] += bits[0]
-            continue
-        held.append(i)
-        size += len(symbols[i])
-        if size >= hold:
-            out[held] = _run([(symbols[i], 0) for i in held], odds)[0]
-            held, size = [], 0
-    if held:
-        out[held] = _run([(symbols[i], 0) for i in held], odds)[0]
-    return out.tolist()
+    docs = [chunks_of(t) for t in texts]
+    number = {c: k for k, c in enumerate(sorted(set().union(*docs)))}
+    table = chunk_bits(list(number), odds) if number else None
+    return [text_bits(table, np.fromiter(map(number.__getitem__, d), np.int64, len(d))) for d in docs]
+
+
+def text_bits(table: np.ndarray, own: np.ndarray) -> float:
+    """Bits of the text whose chunks have the rows `own` of a table of chunk_bits()."""
+    return mixed_bits(np.add.reduceat(table.take(own, axis=0), np.arange(0, len(own), SEGMENT), axis=0, dtype=np.float64))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -286,17 +286,16 @@ OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 
 def _ask(table: pa.Table, buckets: int) -> pa.Table:
-    words: set[bytes] = set()
-    counts: Counter[bytes] = Counter()
-    for doc_id, text in zip(*block_rows(table), strict=True):
-        own = words_of(text)
-        words.update(own)
-        if not is_held_out(doc_id):
-            counts.update(own)
+    ids, texts = block_rows(table)
+    train = [t for i, t in zip(ids, texts, strict=True) if not is_held_out(i)]
+    other = [t for i, t in zip(ids, texts, strict=True) if is_held_out(i)]
+    counts = Counter(" ".join(train).encode().lower().split())
+    counts[END_WORD] = len(train)
+    words = set(counts).union(" ".join(other).encode().lower().split())
     asked = bucketed(words, buckets)
     block = table.column("block")[0].as_py()
     schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("counts", pa.binary())])
-    packed = [pack_bytes(np.array([counts.get(w, 0) for w in own], np.int64).tobytes()) for _, own in asked]
+    packed = [pack_bytes(np.array([counts[w] for w in own], np.int64).tobytes()) for _, own in asked]
     return pa.Table.from_batches([batch_of({"bucket": [b for b, _ in asked], "block": [block] * len(asked), "payload": [join_words(w) for _, w in asked], "counts": packed}, schema)])
 
 
@@ -317,23 +316,32 @@ def _tell(table: pa.Table) -> pa.Table:
 
 def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens: int, odds: np.ndarray) -> pa.Table:
     ids, texts = block_rows(docs)
-    words = [words_of(t) for t in texts]
+    parts = [chunks_of(t) for t in texts]
+    number = {c: k for k, c in enumerate(sorted(set().union(*parts)))}
+    words = [c.encode().lower().split() for c in number]
     got = dict(zip(told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
     count: dict[bytes, int] = {}
-    for bucket, own in bucketed(set().union(*words), buckets):
+    for bucket, own in bucketed(set().union(*words) | {END_WORD}, buckets):
         count.update(zip(own, np.frombuffer(unpack_bytes(got[bucket]), np.int64).tolist(), strict=True))
-    whole = log10(tokens + distinct + 1)
-    bits = bits_of(texts, odds)
+    # what each distinct chunk adds to its text's base: tokens, known tokens, sum of log10(c + 1)
+    base = np.zeros((len(words), 3))
+    for k, own in enumerate(words):
+        for w in own:
+            c = count[w]
+            base[k] += (1, c > 0, log10(c + 1))
+    whole, end = log10(tokens + distinct + 1), count[END_WORD]
+    bits = chunk_bits(list(number), odds)
     out: dict[str, list] = {f.name: [] for f in OUT}
-    for doc_id, own, b in zip(ids, words, bits, strict=True):
-        c = np.fromiter(map(count.__getitem__, own), np.int64, len(own))
-        values = (doc_id, is_held_out(doc_id), len(own), int((c > 0).sum()), tokens, float(np.log10(c + 1.0).sum() - len(own) * whole), -b / log2(10))
+    for doc_id, part in zip(ids, parts, strict=True):
+        own = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
+        n, known, logs = (base.take(own, axis=0).sum(axis=0) + (1, end > 0, log10(end + 1))).tolist()
+        values = (doc_id, is_held_out(doc_id), int(n), int(known), tokens, logs - n * whole, -text_bits(bits, own) / log2(10))
         for name, value in zip(out, values, strict=True):
             out[name].append(value)
     return pa.Table.from_batches([batch_of(out, OUT)])
 
 
-def score_documents(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     prepare(spark)
