@@ -56,8 +56,10 @@ def _index(texts: list[str], width: int) -> tuple[list[list[bytes]], list[int],
 
 def _slices(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the sorted hashes: buckets are equal ranges of the upper 32 bits."""
+    if not len(distinct):
+        return []
     bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     ends = np.r_[starts[1:], len(bucket)]
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 

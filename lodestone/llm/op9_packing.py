@@ -32,6 +32,8 @@ END = 1
 WINDOW = 2048
 #: Three-part combinations take one of so many most frequent lengths.
 FREQUENT = 32
+#: Share of the tokenizer's tables: the JVM beside the workers sorts and joins.
+ROOM = 0.4
 
 
 def combinations(counts: np.ndarray, window: int = WINDOW, frequent: int = FREQUENT) -> np.ndarray:
@@ -128,7 +130,7 @@ def encode(docs: DataFrame, file: str = FILE, end: int = END) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end], np.uint16).tobytes()
         for batch in batches:
-            coded = [x + tail for x in encoder(file).encode([t or "" for t in batch.column("text").to_pylist()])]
+            coded = [x + tail for x in encoder(file, ROOM).encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n", "ids"])
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, n long, ids binary")

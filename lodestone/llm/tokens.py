@@ -94,7 +94,7 @@ class Memo(dict):
 class CachedEncoder:
     """ids of texts as little-endian uint16 bytes; the vocabulary must have at most 65536 ids."""
 
-    def __init__(self, file: str, spaced: bool):
+    def __init__(self, file: str, spaced: bool, room: float = 1.0):
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
         assert self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
@@ -103,10 +103,10 @@ class CachedEncoder:
         # lower case, spaces dropped
         self.split = regex.compile(unicode_space(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")).findall
         self.doubtful = False  # a chunk was empty or ends in white space: the cut after it may be wrong
-        piece = self.pieces = Memo(PIECES, self._of_piece)
-        self.heads = Memo(HEADS, lambda c: b"".join(map(piece.__getitem__, self.pre_tokens("", c))), self._is_doubtful)
+        piece = self.pieces = Memo(int(PIECES * room), self._of_piece)
+        self.heads = Memo(int(HEADS * room), lambda c: b"".join(map(piece.__getitem__, self.pre_tokens("", c))), self._is_doubtful)
         lead = " " if spaced else ""
-        self.mids = Memo(MIDS, lambda c: b"".join(map(piece.__getitem__, self.pre_tokens(lead, c))), self._is_doubtful)
+        self.mids = Memo(int(MIDS * room), lambda c: b"".join(map(piece.__getitem__, self.pre_tokens(lead, c))), self._is_doubtful)
 
     def _of_piece(self, piece: str) -> bytes:
         """One pre-token by the library's model; text that must be normalised first, by the whole library."""
@@ -144,7 +144,7 @@ class CachedEncoder:
 
 
 @cache
-def encoder(name: str) -> CachedEncoder:
-    """One for each worker. name: a file of public_tokenizers, or a path."""
+def encoder(name: str, room: float = 1.0) -> CachedEncoder:
+    """One for each worker. name: a file of public_tokenizers, or a path. room: share of the tables' usual size."""
     file = name if "/" in name else public_tokenizers.path(name)
-    return CachedEncoder(file, spaced="byte" in name.rpartition("/")[2])
+    return CachedEncoder(file, "byte" in name.rpartition("/")[2], room)
