@@ -28,8 +28,8 @@ from lodestone.llm.common import batch_of, documents, mix, pack_bytes, prepare,
 BITS = 18
 #: Bound of the labelled sample that the target is fitted on.
 MAX_LABELS = 20_000
-SMOOTH = 8.0
-THRESHOLD = -0.12
+SMOOTH = 30.0
+THRESHOLD = -0.09
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
