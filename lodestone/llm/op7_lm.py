@@ -316,8 +316,10 @@ def _tell(table: pa.Table) -> pa.Table:
 
 def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens: int, odds: np.ndarray) -> pa.Table:
     ids, texts = block_rows(docs)
-    parts = [chunks_of(t) for t in texts]
-    number = {c: k for k, c in enumerate(sorted(set().union(*parts)))}
+    chunks: set[str] = set()
+    for text in texts:  # cut again below: chunks of all texts at once take many times the room of the texts
+        chunks.update(chunks_of(text))
+    number = {c: k for k, c in enumerate(sorted(chunks))}
     words = [c.encode().lower().split() for c in number]
     got = dict(zip(told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
     count: dict[bytes, int] = {}
@@ -332,7 +334,8 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens:
     whole, end = log10(tokens + distinct + 1), count[END_WORD]
     bits = chunk_bits(list(number), odds)
     out: dict[str, list] = {f.name: [] for f in OUT}
-    for doc_id, part in zip(ids, parts, strict=True):
+    for doc_id, text in zip(ids, texts, strict=True):
+        part = chunks_of(text)
         own = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
         n, known, logs = (base.take(own, axis=0).sum(axis=0) + (1, end > 0, log10(end + 1))).tolist()
         values = (doc_id, is_held_out(doc_id), int(n), int(known), tokens, logs - n * whole, -text_bits(bits, own) / log2(10))
@@ -341,7 +344,7 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens:
     return pa.Table.from_batches([batch_of(out, OUT)])
 
 
-def score_documents(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     prepare(spark)
