@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import entities, fixed
 from lodestone.functions import text as T
 
-GROUP = Window.partitionBy("qid")
+def group():
+    return Window.partitionBy("qid")
 
 
 def _has_brand(query: Column) -> Column:
@@ -38,9 +39,9 @@ def cap_accessories_training(rows: DataFrame, gap: float = 0.1, top: int = 10) -
 
 
 def _cap(rows: DataFrame, aimed: Column, primary: Column, accessory: Column, gap: Column, top: int) -> DataFrame:
-    rank = F.row_number().over(GROUP.orderBy(F.desc("score"), "pid"))
+    rank = F.row_number().over(group().orderBy(F.desc("score"), "pid"))
     marked = rows.withColumn("_gap", gap).withColumn("_top", (rank <= top) & aimed)
-    weakest = F.min(F.when(F.col("_top") & primary, F.col("score"))).over(GROUP)
+    weakest = F.min(F.when(F.col("_top") & primary, F.col("score"))).over(group())
     marked = marked.withColumn("_floor", weakest)
     capped = F.when(F.col("_top") & accessory & F.col("_floor").isNotNull(), F.least("score", F.col("_floor") - F.col("_gap"))).otherwise(F.col("score"))
     return marked.withColumn("score", capped).drop("_gap", "_top", "_floor")
@@ -77,7 +78,7 @@ def steer_category(rows: DataFrame, demote: float = 0.05, boost: float = 0.5) ->
 
 
 def cap_accessories_serving(rows: DataFrame, top: int = 10) -> DataFrame:
-    spread = (F.max("score").over(GROUP) - F.min("score").over(GROUP)) * 0.01
+    spread = (F.max("score").over(group()) - F.min("score").over(group())) * 0.01
     target, kind = query_category(F.col("query")), item_category(F.col("category"))
     return _cap(rows, target.isNotNull(), F.coalesce(kind == target, F.lit(False)), _in(kind, fixed.ACCESSORIES), F.when(spread == 0, 0.01).otherwise(spread), top)
 
@@ -92,6 +93,6 @@ def serving_guardrails(rows: DataFrame) -> DataFrame:
 
 def score_gap_cut(rows: DataFrame, k: int, least: float = 3.0, share: float = 0.4) -> DataFrame:
     """Rows over the top score less max(least, share of the range), then the first k, with their rank."""
-    top, low = F.max("score").over(GROUP), F.min("score").over(GROUP)
+    top, low = F.max("score").over(group()), F.min("score").over(group())
     kept = rows.withColumn("_cut", top - F.greatest(F.lit(least), (top - low) * share)).where("score > _cut").drop("_cut")
-    return kept.withColumn("rank", F.row_number().over(GROUP.orderBy(F.desc("score"), "pid"))).where(F.col("rank") <= k)
+    return kept.withColumn("rank", F.row_number().over(group().orderBy(F.desc("score"), "pid"))).where(F.col("rank") <= k)

@@ -39,7 +39,7 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 48, bits: int = 6, seed: int = 42) -> DataFrame:
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 80, bits: int = 6, seed: int = 42) -> DataFrame:
     """Approximate top k: random hyperplanes give each vector a bucket in every table; only sharers of a bucket are compared."""
     import numpy as np
 
