@@ -13,6 +13,7 @@ gather more than one entry from each block.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterator
@@ -29,14 +30,36 @@ ROOT = str(Path(__file__).resolve().parents[2])
 DOC_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch stands in the JVM's and the worker's memory at once.
+BATCH_ROWS = 2000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where the session runs from another folder."""
+    """Let Python workers import this package where the session runs from another folder, and keep Arrow batches of texts small."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(size)) > BATCH_ROWS:
+        spark.conf.set(size, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, paths]) if paths else ROOT
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+
+    def _trim(_pad: int) -> int:
+        return 0
+
+
+def freed(result=None):
+    """result, after memory that is no longer used went back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+    return result
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; where it is unset (tests), one of our own is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -77,7 +100,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class HashMemo(dict):
     """bytes -> XXH64 with a seed; forgets everything when it holds `limit` words."""
 
-    def __init__(self, seed: int, limit: int = 400_000):
+    def __init__(self, seed: int, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

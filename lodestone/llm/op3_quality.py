@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch_of, documents, mix, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import batch_of, documents, freed, mix, pack_bytes, prepare, unpack_bytes
 
 BITS = 18
 #: Bound of the labelled sample that the target is fitted on.
@@ -125,6 +125,7 @@ def judge(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOL
                 rows.append((*base, score, not base[-1] and score >= threshold))
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in FIELDS]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True))], names=[*names, *(n for n, _ in FIELDS)])
+            freed()
 
     return docs.mapInArrow(run, f"{schema}, {COLUMNS}")
 

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, batch_of, block_rows, documents, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed, pack_bytes, prepare, unpack_bytes
 from lodestone.llm.tokens import cut, spaced_pre_tokens
 
 FILE = "byte_bpe_50k.tiktoken"
@@ -119,10 +119,10 @@ def encode_decode(docs: DataFrame, file: str = FILE, block_bytes: int = 8 << 20)
     prepare(docs.sparkSession)
     blocks = Blocks(docs, block_bytes)
     buckets = blocks.n
-    asked = blocks.frame.groupBy("block").applyInArrow(lambda t: _ask(t, buckets), "bucket long, block long, payload binary")
-    answers = asked.groupBy("bucket").applyInArrow(lambda t: _answer(t, file), "bucket long, block long, payload binary")
+    asked = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets)), "bucket long, block long, payload binary")
+    answers = asked.groupBy("bucket").applyInArrow(lambda t: freed(_answer(t, file)), "bucket long, block long, payload binary")
     both = blocks.frame.groupBy("block").cogroup(answers.groupBy("block"))
-    return both.applyInArrow(lambda left, right: _assemble(left, right, file, buckets), "doc_id long, ids binary, decoded binary")
+    return both.applyInArrow(lambda left, right: freed(_assemble(left, right, file, buckets)), "doc_id long, ids binary, decoded binary")
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

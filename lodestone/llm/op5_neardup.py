@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch_of, doc_columns, documents, materialize, prepare
+from lodestone.llm.common import batch_of, doc_columns, documents, freed, materialize, prepare
 from lodestone.llm.graph import components
 
 RADIUS = 2
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             prints = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            freed()
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -78,6 +79,7 @@ def stamp(docs: DataFrame) -> DataFrame:
         for batch in batches:
             prints = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*names, "fp"])
+            freed()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return materialize(docs.mapInArrow(run, f"{schema}, fp long").withColumn("uid", F.monotonically_increasing_id()), "stamped")

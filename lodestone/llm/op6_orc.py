@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, block_rows, documents, prepare, shared_folder
+from lodestone.llm.common import Blocks, block_rows, documents, freed, prepare, shared_folder
 from lodestone.llm.tokens import encoder
 
 FILE = "byte_bpe_50k.json"
@@ -46,7 +46,7 @@ def write_orc(docs: DataFrame, path: str, file: str = FILE, end: int = END, bloc
     """Encode every text of docs and write the ids, with `end` after each document, below path."""
     prepare(docs.sparkSession)
     blocks = Blocks(docs, block_bytes)
-    coded = blocks.frame.groupBy("block").applyInArrow(lambda t: _encode_block(t, file, end), ROW)
+    coded = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_encode_block(t, file, end)), ROW)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}
     coded.write.partitionBy("block").options(**options).orc(path)
 

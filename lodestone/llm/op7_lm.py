@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, batch_of, block_rows, doc_columns, documents, materialize, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, batch_of, block_rows, doc_columns, documents, freed, materialize, pack_bytes, prepare, unpack_bytes
 from lodestone.llm.op4_bpe import bucketed, join_words, split_words
 
 BITS = 21
@@ -351,12 +351,12 @@ def score_documents(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     odds = spark.sparkContext.broadcast(train(docs))  # CONTEXTS * SLOTS bytes
     blocks = Blocks(docs, block_bytes)
     buckets = blocks.n
-    told = blocks.frame.groupBy("block").applyInArrow(lambda t: _ask(t, buckets), ASK).groupBy("bucket").applyInArrow(_tell, TOLD)
+    told = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets)), ASK).groupBy("bucket").applyInArrow(lambda t: freed(_tell(t)), TOLD)
     told = materialize(told, "word-counts")
     distinct, tokens = told.agg(F.sum("distinct"), F.sum("tokens")).first()
     both = blocks.frame.groupBy("block").cogroup(told.groupBy("block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.applyInArrow(lambda left, right: _score(left, right, buckets, distinct or 0, tokens or 0, odds.value), schema)
+    return both.applyInArrow(lambda left, right: freed(_score(left, right, buckets, distinct or 0, tokens or 0, odds.value)), schema)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

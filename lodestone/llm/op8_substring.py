@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, documents, mix, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, documents, freed, mix, pack_bytes, prepare, unpack_bytes
 
 WINDOW = 20
 SEED = 11
@@ -142,12 +142,12 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 <<
     prepare(docs.sparkSession)
     blocks = Blocks(docs, block_bytes, carry)
     buckets = blocks.n
-    sent = blocks.frame.groupBy("block").applyInArrow(lambda t: _send(t, width, buckets), "bucket long, block long, payload binary")
-    found = sent.groupBy("bucket").applyInArrow(_find, "bucket long, block long, payload binary")
+    sent = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_send(t, width, buckets)), "bucket long, block long, payload binary")
+    found = sent.groupBy("bucket").applyInArrow(lambda t: freed(_find(t)), "bucket long, block long, payload binary")
     both = blocks.frame.groupBy("block").cogroup(found.groupBy("block"))
     schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long,source_block:long>>, kept string"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return both.applyInArrow(lambda left, right: _remove(left, right, width, buckets, carry, layout), schema)
+    return both.applyInArrow(lambda left, right: freed(_remove(left, right, width, buckets, carry, layout)), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

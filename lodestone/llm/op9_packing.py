@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import doc_columns, documents, materialize, prepare
+from lodestone.llm.common import doc_columns, documents, freed, materialize, prepare
 from lodestone.llm.tokens import encoder
 
 FILE = "word_bpe_49k.json"
@@ -132,6 +132,7 @@ def encode(docs: DataFrame, file: str = FILE, end: int = END) -> DataFrame:
         for batch in batches:
             coded = [x + tail for x in encoder(file, ROOM).encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 2 for x in coded], pa.int64()), pa.array(coded, pa.binary())], names=["doc_id", "n", "ids"])
+            freed()
 
     return doc_columns(docs).mapInArrow(run, "doc_id long, n long, ids binary")
 
