@@ -240,8 +240,9 @@ def chunk_bits(chunks: list[str], odds: np.ndarray) -> np.ndarray:
                 np.clip(dot, -LIMIT, LIMIT, out=dot)
                 dot *= sign
                 np.exp(dot, out=dot)  # loss of a bit: log2(1 + exp(-dot)) if it is 1, log2(1 + exp(dot)) if it is 0
-                np.log1p(dot, out=dot)
-                out[at : at + 50_000, e] += np.add.reduceat(dot, begins) * np.float32(1.4426950408889634)
+                dot += np.float32(1)
+                np.log2(dot, out=dot)
+                out[at : at + 50_000, e] += np.add.reduceat(dot, begins)
     return out
 
 
@@ -326,11 +327,11 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens:
     for bucket, own in bucketed(set().union(*words) | {END_WORD}, buckets):
         count.update(zip(own, np.frombuffer(unpack_bytes(got[bucket]), np.int64).tolist(), strict=True))
     # what each distinct chunk adds to its text's base: tokens, known tokens, sum of log10(c + 1)
-    base = np.zeros((len(words), 3))
-    for k, own in enumerate(words):
-        for w in own:
-            c = count[w]
-            base[k] += (1, c > 0, log10(c + 1))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter((count[w] for own in words for w in own), np.int64, int(sizes.sum()))
+    of = np.repeat(np.arange(len(words)), sizes)
+    sums = (sizes, np.bincount(of, weights=flat > 0, minlength=len(words)), np.bincount(of, weights=np.log10(flat + 1.0), minlength=len(words)))
+    base = np.column_stack(sums).astype(np.float64)
     whole, end = log10(tokens + distinct + 1), count[END_WORD]
     bits = chunk_bits(list(number), odds)
     out: dict[str, list] = {f.name: [] for f in OUT}
