@@ -345,7 +345,7 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens:
     return pa.Table.from_batches([batch_of(out, OUT)])
 
 
-def score_documents(docs: DataFrame, block_bytes: int = 12 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = 10 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     prepare(spark)
