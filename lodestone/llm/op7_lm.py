@@ -1,21 +1,27 @@
 """LM scoring: logistic context mixing over hashed-context bit predictors.
 
 A text is a row of symbols, its UTF-8 bytes and an end. Each symbol is a walk down a fixed binary code, short
-for frequent letters; each step is one bit decision. Three contexts (the last two bytes, the last four, the
-word so far) are hashed with the node into SLOTS slots each, and training counts zeros and ones in every
-slot, over all training documents: tasks count into arrays of a fixed size, which are added up by ranges.
+for frequent letters; each step is one bit decision, predicted by the counts of zeros and ones that training
+met at that node in each of three contexts (the last two bytes, the last four, the word so far), over all
+training documents. The contexts of two and four bytes are keyed as they are, the word so far by 53 bits of its
+hash: among n distinct words so far, about n**2 / 2**54 pairs share their counts. Nothing has a fixed size.
+
+The counts come through the exchange of blocks (see common). A block sends each distinct pair of a context and a symbol
+once, with its count there, to a bucket by a hash of the context; the bucket adds up the blocks, and so has every symbol
+of its contexts. From these follow the counts of all nodes, and each block gets the log odds along the walk of each pair
+it asked about. A context in every document costs one entry a symbol from each block.
 
 Contexts do not reach behind the space before a word. So what a chunk (a word and its space) costs an expert
-depends on the chunk alone: it is walked once for all its places in a task, in training and in scoring.
+depends on the chunk alone: it is walked once for all its places in a block, in training and in scoring.
 
-Scoring mixes the slots' log odds into a bit's probability, with weights chosen by a gate (first step of a
+Scoring mixes the log odds into a bit's probability, with weights chosen by a gate (first step of a
 symbol, or a later one). There are several such mixtures (EXPERTS), and their weights are refined adaptively
 as a text is read: a text starts with even weights, and after every SEGMENT chunks each expert's weight is
 multiplied by the probability it gave them, less a SHARE that is dealt out evenly. Total bits add up the
 log2 losses. So a text's score depends on the trained counts and on itself alone.
 
-The base score is an add-one unigram model over words. Its counts come through the word exchange of blocks
-(see common): a word costs one entry from each block.
+The base score is an add-one unigram model over words. Its counts come through the same exchange: a word
+costs one entry from each block.
 
 Defined results: a null text is empty: the end alone. A null id counts as the text ''. Repeated rows count and
 are scored each. An empty table gives an empty result; other columns are not read.
@@ -35,17 +41,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, batch_of, block_rows, doc_columns, documents, freed, materialize, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, batch_of, block_rows, doc_columns, documents, freed, materialize, mix, pack_bytes, prepare, unpack_bytes
 from lodestone.llm.op4_bpe import bucketed, join_words, split_words
 
-BITS = 21
-SLOTS = 1 << BITS
 CONTEXTS = 3
-CHUNK = 1 << 15
+SYMBOL = 9  # bits of a symbol
 SCALE = 1 / 16  # of the int8 log odds
 LIMIT = 9.0
 SEGMENT = 64  # chunks between two changes of a text's expert weights
 SHARE = 0.02
+BASE = 0xD1B54A32D192ED03  # of the hash of the word so far
 LOOK = 16  # bytes that the word context reaches back
 #: Weights of the contexts for first and later steps. The first suits clean prose best; others lean on short or long contexts.
 EXPERTS = (
@@ -62,7 +67,7 @@ FREQUENT = b" enthairosdulc.gb,fwy\xc3m-vpkqzxj\n\xa9ETAISONHRDLCMUWFGBPVKYJXQZ0
 
 @cache
 def code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Steps of each of the 257 symbols (256: end), where its walk begins, and the nodes (hashed) and bits of all walks in a row."""
+    """Steps of each of the 257 symbols (256: end), where its walk begins, and the nodes (0 to 255) and bits of all walks in a row."""
     rank = {b: k for k, b in enumerate(FREQUENT)}
     weight = [(3 if s == 32 else 1) / (12.0 + rank.get(s, 150)) ** 3 for s in range(257)]
     heap: list[tuple[float, int]] = [(w, s) for s, w in enumerate(weight)]
@@ -84,7 +89,7 @@ def code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         nodes += [node for node, _ in reversed(walk)]
         bits += [bit for _, bit in reversed(walk)]
     steps = np.array(sizes, np.int64)
-    return steps, np.cumsum(steps) - steps, np.array(nodes, np.uint32) * np.uint32(0xC2B2AE35), np.array(bits, np.uint8)
+    return steps, np.cumsum(steps) - steps, np.array(nodes, np.int64) - 257, np.array(bits, np.uint8)
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -109,140 +114,106 @@ def symbols_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, ends - sizes
 
 
-@cache
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x2C1B3C6D
-    return np.uint32(base) ** np.arange(n, dtype=np.uint32), np.uint32(pow(base, -1, 1 << 32)) ** np.arange(n, dtype=np.uint32)
-
-
-def contexts(symbols: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """CONTEXTS hashes (uint32) of what stands before each symbol in its chunk."""
-    s = symbols.astype(np.uint32)
-    n = len(s)
+def pairs_of(symbols: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """For each of CONTEXTS the keys of the pairs (what stands before a symbol in its chunk, the symbol): the
+    context's number and value, and in the lowest SYMBOL bits the symbol."""
+    n = len(symbols)
+    s = symbols.astype(np.uint64)
+    after = s + np.uint64(1)  # 0: nothing
     place = np.arange(n)
     start = np.repeat(begins, np.diff(np.r_[begins, n]))
     inside = place - start
-    back = []
+    two = np.zeros(n, np.uint64)
+    four = np.zeros(n, np.uint64)
     for k in range(1, 5):
-        x = np.zeros(n, np.uint32)
-        x[k:] = s[:-k]
+        x = np.zeros(n, np.uint64)
+        x[k:] = after[:-k]
         x[inside < k] = 0
-        back.append(x)
-    two = back[0] | back[1] << np.uint32(8)
-    four = two | back[2] << np.uint32(16) | back[3] << np.uint32(24)
-    # the word so far: a sum of powers over at most LOOK bytes since the chunk's begin or a line feed
-    line = np.maximum.accumulate(np.where(s == 10, place, -1))
-    begin = np.maximum(np.maximum(np.r_[-1, line[:-1]] + 1, start), place - LOOK)
-    power, inverse = _powers_to(1 << max(12, n.bit_length()))
-    total = np.r_[np.uint32(0), np.cumsum((s + np.uint32(1)) * power[:n], dtype=np.uint32)]
-    word = (total[:n] - total[begin]) * inverse[begin]
-    out = []
-    for k, c in enumerate((two, four, word)):
-        c = (c + np.uint32(k + 1)) * np.uint32(0x9E3779B1)
-        c ^= c >> np.uint32(15)
-        out.append(c * np.uint32(0x85EBCA77))
-    return out
-
-
-def decisions(chunks: list[str]) -> list[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """For each gate (first steps of symbols, later steps) the slots of each context, the bits, and how many of
-    them each chunk has. What a chunk meets depends on the chunk alone."""
-    steps, begin, nodes, bits = code()
-    symbols, begins = symbols_of(chunks)
-    hashed = contexts(symbols, begins)
-    first = begin[symbols]
-    more = steps[symbols] - 1
-    ends = np.cumsum(more)
-    later = np.arange(ends[-1]) + np.repeat(first + 1 - (ends - more), more)
-    sizes = (np.diff(np.r_[begins, len(symbols)]), np.add.reduceat(more, begins))
-    out = []
-    for walk, size, spread in ((first, sizes[0], lambda c: c.copy()), (later, sizes[1], lambda c: np.repeat(c, more))):
-        node = nodes.take(walk)
-        slots = []
-        for c in hashed:
-            h = spread(c)
-            h ^= node
-            h *= np.uint32(0x27D4EB2F)
-            h >>= np.uint32(32 - BITS)
-            slots.append(h)
-        out.append((slots, bits.take(walk), size))
-    return out
-
-
-def _train(batches: Iterator[pa.RecordBatch], hold: int = 150_000) -> Iterator[pa.RecordBatch]:
-    """Every distinct chunk is walked once for many documents, and counted as often as it stands there."""
-    counts = np.zeros((CONTEXTS, 2 * SLOTS), np.uint32)
-    seen: Counter[str] = Counter()
-    any_doc = False
-
-    def flush() -> None:
-        chunks = list(seen)
-        times = np.fromiter(seen.values(), np.uint32, len(chunks))
-        for at in range(0, len(chunks), 50_000):
-            for slots, bits, size in decisions(chunks[at : at + 50_000]):
-                often = np.repeat(times[at : at + 50_000], size)
-                for k in range(CONTEXTS):
-                    place = slots[k].astype(np.int64)
-                    place <<= 1
-                    place |= bits
-                    np.add.at(counts[k], place, often)
-        seen.clear()
-
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if not is_held_out(doc_id):
-                any_doc = True
-                seen.update(chunks_of(text or ""))
-                if len(seen) >= hold:
-                    flush()
-    if seen:
-        flush()
-    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
-    if any_doc:
-        flat = counts.reshape(-1, 2 * CHUNK)
-        for k in range(len(flat)):
-            yield batch_of({"chunk": [k], "counts": [pack_bytes(flat[k].tobytes())]}, schema)
-
-
-def _odds(table: pa.Table) -> pa.Table:
-    """Log odds of a one in each slot of a chunk, as int8 sixteenths."""
-    total = np.zeros(2 * CHUNK, np.int64)
-    for x in table.column("counts"):
-        total += np.frombuffer(unpack_bytes(x.as_py()), np.uint32)
-    odds = np.log((total[1::2] + 0.1) / (total[0::2] + 0.1))
-    packed = np.clip(np.rint(odds / SCALE), -127, 127).astype(np.int8).tobytes()
-    schema = pa.schema([("chunk", pa.int32()), ("odds", pa.binary())])
-    return pa.Table.from_batches([batch_of({"chunk": [table.column("chunk")[0].as_py()], "odds": [packed]}, schema)])
-
-
-def train(docs: DataFrame) -> np.ndarray:
-    """(CONTEXTS, SLOTS) int8 log odds, of a size that no input changes."""
-    prepare(docs.sparkSession)
-    counted = doc_columns(docs).mapInArrow(_train, "chunk int, counts binary").groupBy("chunk").applyInArrow(_odds, "chunk int, odds binary")
-    out = np.zeros((CONTEXTS * SLOTS // CHUNK, CHUNK), np.int8)
-    for row in counted.collect():
-        out[row["chunk"]] = np.frombuffer(row["odds"], np.int8)
-    return out.reshape(CONTEXTS, SLOTS)
-
-
-def chunk_bits(chunks: list[str], odds: np.ndarray) -> np.ndarray:
-    """(chunks, experts) bits: the log odds of a chunk's slots mixed with each expert's weights for the gate."""
-    out = np.zeros((len(chunks), len(EXPERTS)), np.float32)
-    for at in range(0, len(chunks), 50_000):
-        for gate, (slots, bits, size) in enumerate(decisions(chunks[at : at + 50_000])):
-            inputs = [odds[k].take(slots[k]).astype(np.float32) for k in range(CONTEXTS)]
-            sign = 1 - 2 * bits.astype(np.float32)
-            begins = np.cumsum(size) - size
+        four |= x << np.uint64(SYMBOL * (k - 1))
+        if k == 2:
+            two = four.copy()
+    # the word so far: at most LOOK bytes since the chunk's begin or a line feed
+    line = np.maximum.accumulate(np.where(symbols == 10, place, -1))
+    length = np.minimum(place - np.maximum(np.r_[-1, line[:-1]] + 1, start), LOOK)
+    word = np.zeros(n, np.uint64)
+    at, power = place, 1
+    for k in range(1, LOOK + 1):
+        at = at[length[at] >= k]
+        power = power * BASE % (1 << 64)
+        word[at] += after[at - k] * np.uint64(power)
+    word = mix(word) >> np.uint64(64 - 53)
+    return [(np.uint64(tag) << np.uint64(62)) | (value << np.uint64(SYMBOL)) | s for tag, value in enumerate((two, four, word))]
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of ascending keys by (bucket of the context, key), and (bucket, from, to) in that order."""
+    bucket = mix(keys >> np.uint64(SYMBOL)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    return order, [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys: the differences' bytes by their place."""
+    return pack_bytes(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def walks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of each symbol, and the places of all their walks in the arrays of code(), one after another."""
+    steps, begin, _, _ = code()
+    size = steps[symbols]
+    ends = np.cumsum(size)
+    return size, np.arange(int(size.sum())) + np.repeat(begin[symbols] - (ends - size), size)
+
+
+def walk_odds(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending distinct keys of whole contexts, with their counts: steps of each, and the log odds of the
+    bits of all walks in a row, as int8 sixteenths."""
+    _, _, nodes, bits = code()
+    context = keys >> np.uint64(SYMBOL)
+    group = np.cumsum(np.r_[False, context[1:] != context[:-1]])
+    size, walk = walks((keys & np.uint64((1 << SYMBOL) - 1)).astype(np.int64))
+    bit = bits.take(walk)
+    _, node = np.unique(np.repeat(group << 8, size) | nodes.take(walk), return_inverse=True)
+    often = np.repeat(counts.astype(np.float64), size)
+    whole, ones = np.bincount(node, weights=often), np.bincount(node, weights=often * bit)
+    odds = np.log((ones + 0.1) / (whole - ones + 0.1))
+    packed = np.clip(np.rint(odds / SCALE), -127, 127).astype(np.int8)[node]
+    return size, np.where(bit > 0, packed, -packed)
+
+
+def chunk_bits(symbols: np.ndarray, begins: np.ndarray, starts: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
+    """(chunks, experts) bits: the log odds of each walk mixed with each expert's weights for the gate.
+
+    starts: for each context where in odds the walk of each symbol begins."""
+    steps = code()[0]
+    out = np.zeros((len(begins), len(EXPERTS)), np.float32)
+    edges = np.r_[begins, len(symbols)]
+    for at in range(0, len(begins), 50_000):
+        cut = edges[at : at + 50_001]
+        span = slice(int(cut[0]), int(cut[-1]))
+        more = steps[symbols[span]] - 1
+        begin = cut[:-1] - cut[0]
+        ends = np.cumsum(more)
+        within = np.arange(int(ends[-1])) - np.repeat(ends - more, more) + 1
+        for gate in range(2):
+            inputs = [odds.take(x[span] if gate == 0 else np.repeat(x[span], more) + within).astype(np.float32) for x in starts]
+            firsts = begin if gate == 0 else (ends - more)[begin]
             for e, weights in enumerate(EXPERTS):
                 dot = inputs[0] * np.float32(weights[gate][0] * SCALE)
                 for k in range(1, CONTEXTS):
                     dot += inputs[k] * np.float32(weights[gate][k] * SCALE)
                 np.clip(dot, -LIMIT, LIMIT, out=dot)
-                dot *= sign
-                np.exp(dot, out=dot)  # loss of a bit: log2(1 + exp(-dot)) if it is 1, log2(1 + exp(dot)) if it is 0
+                np.negative(dot, out=dot)
+                np.exp(dot, out=dot)  # loss of a bit: log2(1 + exp(-dot))
                 dot += np.float32(1)
                 np.log2(dot, out=dot)
-                out[at : at + 50_000, e] += np.add.reduceat(dot, begins)
+                out[at : at + 50_000, e] += np.add.reduceat(dot, firsts)
     return out
 
 
@@ -264,14 +235,6 @@ def mixed_bits(losses: np.ndarray) -> float:
     return total
 
 
-def bits_of(texts: list[str], odds: np.ndarray) -> list[float]:
-    """Total bits of each text."""
-    docs = [chunks_of(t) for t in texts]
-    number = {c: k for k, c in enumerate(sorted(set().union(*docs)))}
-    table = chunk_bits(list(number), odds) if number else None
-    return [text_bits(table, np.fromiter(map(number.__getitem__, d), np.int64, len(d))) for d in docs]
-
-
 def text_bits(table: np.ndarray, own: np.ndarray) -> float:
     """Bits of the text whose chunks have the rows `own` of a table of chunk_bits()."""
     return mixed_bits(np.add.reduceat(table.take(own, axis=0), np.arange(0, len(own), SEGMENT), axis=0, dtype=np.float64))
@@ -281,8 +244,8 @@ def words_of(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END_WORD]
 
 
-ASK = "bucket long, block long, payload binary, counts binary"
-TOLD = "bucket long, block long, counts binary, distinct long, tokens long"
+ASK = "bucket long, block long, payload binary, counts binary, keys binary, times binary"
+TOLD = "bucket long, block long, counts binary, distinct long, tokens long, odds binary"
 OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -293,11 +256,34 @@ def _ask(table: pa.Table, buckets: int) -> pa.Table:
     counts = Counter(" ".join(train).encode().lower().split())
     counts[END_WORD] = len(train)
     words = set(counts).union(" ".join(other).encode().lower().split())
-    asked = bucketed(words, buckets)
+    asked = dict(bucketed(words, buckets))
+    seen: Counter[str] = Counter()
+    for text in train:
+        seen.update(chunks_of(text))
+    for text in other:
+        for chunk in chunks_of(text):
+            seen[chunk] += 0
+    chunks = sorted(seen)
+    symbols, begins = symbols_of(chunks)
+    often = np.repeat(np.fromiter(map(seen.__getitem__, chunks), np.float64, len(chunks)), np.diff(np.r_[begins, len(symbols)]))
+    found = []
+    for keys in pairs_of(symbols, begins):
+        keys, inverse = np.unique(keys, return_inverse=True)
+        found.append((keys, np.bincount(inverse, weights=often).astype(np.int64)))
+    keys, times = (np.concatenate(x) for x in zip(*found, strict=True))  # ascending: the context's number is on top
+    order, cuts = dealt(keys, buckets)
+    keys, times = keys[order], times[order]
+    pairs = {b: (pack_keys(keys[x:y]), pack_bytes(times[x:y].tobytes())) for b, x, y in cuts}
+    none = (pack_keys(keys[:0]), pack_bytes(b""))
     block = table.column("block")[0].as_py()
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("counts", pa.binary())])
-    packed = [pack_bytes(np.array([counts[w] for w in own], np.int64).tobytes()) for _, own in asked]
-    return pa.Table.from_batches([batch_of({"bucket": [b for b, _ in asked], "block": [block] * len(asked), "payload": [join_words(w) for _, w in asked], "counts": packed}, schema)])
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("payload", "counts", "keys", "times")]])
+    out: dict[str, list] = {f.name: [] for f in schema}
+    for bucket in sorted(asked.keys() | pairs.keys()):
+        own = asked.get(bucket, [])
+        row = (bucket, block, join_words(own), pack_bytes(np.array([counts[w] for w in own], np.int64).tobytes()), *pairs.get(bucket, none))
+        for name, value in zip(out, row, strict=True):
+            out[name].append(value)
+    return pa.Table.from_batches([batch_of(out, schema)])
 
 
 def _tell(table: pa.Table) -> pa.Table:
@@ -312,10 +298,41 @@ def _tell(table: pa.Table) -> pa.Table:
         asked.append(at)
     n = table.num_rows
     sums = [int((total > 0).sum()), int(total.sum())]
-    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "counts": pa.array([pack_bytes(total[at].tobytes()) for at in asked], pa.binary()), "distinct": pa.array([sums[0]] + [0] * (n - 1), pa.int64()), "tokens": pa.array([sums[1]] + [0] * (n - 1), pa.int64())})
+    odds = _tell_odds([unpack_keys(x.as_py()) for x in table.column("keys")], [np.frombuffer(unpack_bytes(x.as_py()), np.int64) for x in table.column("times")])
+    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "counts": pa.array([pack_bytes(total[at].tobytes()) for at in asked], pa.binary()), "distinct": pa.array([sums[0]] + [0] * (n - 1), pa.int64()), "tokens": pa.array([sums[1]] + [0] * (n - 1), pa.int64()), "odds": pa.array(odds, pa.binary())})
+
+
+def _tell_odds(keys: list[np.ndarray], times: list[np.ndarray]) -> list[bytes]:
+    """For each block the log odds of the walks of its keys, by the counts of all blocks."""
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    size, odds = walk_odds(distinct, np.bincount(inverse, weights=np.concatenate(times), minlength=len(distinct)))
+    start = np.cumsum(size) - size
+    out, at = [], 0
+    for own in keys:
+        rows = inverse[at : at + len(own)]
+        at += len(own)
+        each = size[rows]
+        ends = np.cumsum(each)
+        out.append(pack_bytes(odds[np.arange(int(each.sum())) + np.repeat(start[rows] - (ends - each), each)].tobytes()))
+    return out
 
 
-def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens: int, odds: np.ndarray) -> pa.Table:
+def _block_bits(chunks: list[str], told: dict[int, bytes], buckets: int) -> np.ndarray:
+    """chunk_bits() of a block's distinct chunks in ascending order, by what the buckets told."""
+    steps = code()[0]
+    symbols, begins = symbols_of(chunks)
+    found = [np.unique(keys, return_inverse=True) for keys in pairs_of(symbols, begins)]
+    keys = np.concatenate([x for x, _ in found])
+    order, cuts = dealt(keys, buckets)
+    odds = np.concatenate([np.frombuffer(unpack_bytes(told[b]), np.int8) for b, _, _ in cuts])
+    size = steps[(keys[order] & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)]
+    start = np.empty(len(keys), np.int64)
+    start[order] = np.cumsum(size) - size
+    base = np.cumsum([0, *[len(x) for x, _ in found]])
+    return chunk_bits(symbols, begins, [start[at + inverse] for at, (_, inverse) in zip(base, found, strict=False)], odds)
+
+
+def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens: int) -> pa.Table:
     ids, texts = block_rows(docs)
     chunks: set[str] = set()
     for text in texts:  # cut again below: chunks of all texts at once take many times the room of the texts
@@ -333,7 +350,7 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens:
     sums = (sizes, np.bincount(of, weights=flat > 0, minlength=len(words)), np.bincount(of, weights=np.log10(flat + 1.0), minlength=len(words)))
     base = np.column_stack(sums).astype(np.float64)
     whole, end = log10(tokens + distinct + 1), count[END_WORD]
-    bits = chunk_bits(list(number), odds)
+    bits = _block_bits(list(number), dict(zip(told.column("bucket").to_pylist(), told.column("odds").to_pylist(), strict=True)), buckets)
     out: dict[str, list] = {f.name: [] for f in OUT}
     for doc_id, text in zip(ids, texts, strict=True):
         part = chunks_of(text)
@@ -349,7 +366,6 @@ def score_documents(docs: DataFrame, block_bytes: int = 10 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     prepare(spark)
-    odds = spark.sparkContext.broadcast(train(docs))  # CONTEXTS * SLOTS bytes
     blocks = Blocks(docs, block_bytes)
     buckets = blocks.n
     told = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets)), ASK).groupBy("bucket").applyInArrow(lambda t: freed(_tell(t)), TOLD)
@@ -357,7 +373,7 @@ def score_documents(docs: DataFrame, block_bytes: int = 10 << 20) -> DataFrame:
     distinct, tokens = told.agg(F.sum("distinct"), F.sum("tokens")).first()
     both = blocks.frame.groupBy("block").cogroup(told.groupBy("block"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.applyInArrow(lambda left, right: freed(_score(left, right, buckets, distinct or 0, tokens or 0, odds.value)), schema)
+    return both.applyInArrow(lambda left, right: freed(_score(left, right, buckets, distinct or 0, tokens or 0)), schema)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import exp, log, log2, log10
 
 import numpy as np
 import pytest
@@ -112,6 +112,50 @@ def test_model_predicts_held_out_text(spark, sf):
     assert all(abs(again[i]["score"] - r["score"]) < 1e-6 for i, r in got.items())
 
 
+def plain_scores(docs):
+    """Scores by counts in dictionaries, keyed by the contexts themselves."""
+    steps, begin, nodes, bits = (x.tolist() for x in op7_lm.code())
+
+    def decisions(chunk):
+        symbols = [*chunk.rstrip(" ").encode(), 256 if chunk.endswith(" ") else 32]
+        for i, s in enumerate(symbols):
+            line = max([k + 1 for k in range(i) if symbols[k] == 10], default=0)
+            before = [tuple(symbols[max(0, i - 2) : i]), tuple(symbols[max(0, i - 4) : i]), tuple(symbols[max(line, i - 16) : i])]
+            for gate, at in enumerate(range(begin[s], begin[s] + steps[s])):
+                yield min(gate, 1), [(k, c, nodes[at]) for k, c in enumerate(before)], bits[at]
+
+    counts = Counter()
+    for i, t in docs:
+        if not op7_lm.is_held_out(i):
+            counts.update((key, bit) for c in op7_lm.chunks_of(t) for _, keys, bit in decisions(c) for key in keys)
+
+    def losses(chunk):
+        out = [0.0] * len(op7_lm.EXPERTS)
+        for gate, keys, bit in decisions(chunk):
+            odds = [min(127, max(-127, round(log((counts[k, 1] + 0.1) / (counts[k, 0] + 0.1)) * 16))) / 16 for k in keys]
+            for e, weights in enumerate(op7_lm.EXPERTS):
+                dot = min(9.0, max(-9.0, sum(x * w for x, w in zip(odds, weights[gate], strict=True))))
+                out[e] += log2(1 + exp(-dot if bit else dot))
+        return np.array(out)
+
+    def score(text):
+        each = [losses(c) for c in op7_lm.chunks_of(text)]
+        return -op7_lm.mixed_bits(np.array([sum(each[k : k + 64]) for k in range(0, len(each), 64)])) * log10(2)
+
+    return [score(t) for _, t in docs]
+
+
+def test_counts_of_exact_contexts(spark):
+    """Every context has counts of its own, however many there are: hashed slots would mix some of these 2,000 words."""
+    rng = np.random.default_rng(9)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(2_000)]
+    docs = [(i, " ".join(words[at : at + 100])) for i, at in enumerate(range(0, len(words), 100))]
+    docs += [(100, docs[0][1] + "\nä line\n" + docs[1][1]), (101, "\n \x00a \x00\x00a  ")]
+    got = {r["doc_id"]: r["score"] for r in op7_lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), 5_000).collect()}
+    for (i, _), want in zip(docs, plain_scores(docs), strict=True):
+        assert abs(got[i] - want) < 1e-5 * abs(want) + 1e-4
+
+
 def test_code_is_complete():
     steps, _, _, _ = op7_lm.code()
     assert len(steps) == 257 and abs(sum(2.0 ** -int(s) for s in steps) - 1) < 1e-9
