@@ -143,7 +143,7 @@ class Blocks:
         if n > 1:
             bounds = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
         edges = np.array(sorted({int(b) for b in bounds}), np.int64)
-        self.n = len(edges) + 1
+        self.n, self.size = len(edges) + 1, size or 0
         self.frame = rows.mapInArrow(lambda it: _pack(it, edges), "block long, payload binary")
 
 

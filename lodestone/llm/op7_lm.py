@@ -1,24 +1,30 @@
-"""LM scoring: logistic context mixing over hashed-context bit predictors.
-
-A text is a row of symbols, its UTF-8 bytes and an end. Each symbol is a walk down a fixed binary code, short
-for frequent letters; each step is one bit decision, predicted by the counts of zeros and ones that training
-met at that node in each of three contexts (the last two bytes, the last four, the word so far), over all
-training documents. The contexts of two and four bytes are keyed as they are, the word so far by 53 bits of its
-hash: among n distinct words so far, about n**2 / 2**54 pairs share their counts. Nothing has a fixed size.
-
-The counts come through the exchange of blocks (see common). A block sends each distinct pair of a context and a symbol
-once, with its count there, to a bucket by a hash of the context; the bucket adds up the blocks, and so has every symbol
-of its contexts. From these follow the counts of all nodes, and each block gets the log odds along the walk of each pair
-it asked about. A context in every document costs one entry a symbol from each block.
-
-Contexts do not reach behind the space before a word. So what a chunk (a word and its space) costs an expert
-depends on the chunk alone: it is walked once for all its places in a block, in training and in scoring.
-
-Scoring mixes the log odds into a bit's probability, with weights chosen by a gate (first step of a
-symbol, or a later one). There are several such mixtures (EXPERTS), and their weights are refined adaptively
-as a text is read: a text starts with even weights, and after every SEGMENT chunks each expert's weight is
-multiplied by the probability it gave them, less a SHARE that is dealt out evenly. Total bits add up the
-log2 losses. So a text's score depends on the trained counts and on itself alone.
+"""LM scoring: online logistic context mixing over hashed-context bit predictors.
+
+A text is a row of chunks (a word and its space, the last one with the end). A chunk is coded in up to two parts, bit
+by bit, and each bit's probability is mixed from the predictions of several contexts.
+
+*Word flag.* The context is a hash of the two chunks before. If training met it, the chunk it met there most often is
+the candidate, and one bit says whether the text goes on with it; a hit codes the whole chunk. Its predictors are the
+candidate's log odds and a constant. So a passage that training has seen costs about a bit a word or less.
+*Letters.* Otherwise the chunk's symbols, its UTF-8 bytes and an end, walk down a fixed binary code, short for frequent
+letters. Each step is one bit, predicted by the counts of zeros and ones that training met at that node in each of three
+contexts: the last two bytes, the last four, the word so far.
+
+*Mixing.* The predictors' log odds are summed with weights and squashed. A gate chooses the set of weights: for letters
+by the place in the chunk and the step, for flags by how often training met the context and how many flags just before
+were hits. After every bit each weight of the set moves by RATE x error x input. A last stage refines the mixed
+probability: for each gate and each band of confidence it follows how often the likelier bit was right, after every
+bit as well, and is averaged with the mix. Weights and bands begin with START in every text and, so that texts run side by
+side, anew after each SEGMENT bits of a long one. Total bits add up the log2 losses: a text's score depends on the trained counts
+and on itself alone.
+
+*Counts* come through the exchange of blocks (see common). A block sends each distinct pair of a context and what follows
+it once, with its count there, to a bucket by the context; the bucket adds up the blocks and tells each block the log odds along
+the walks, or whether the chunk is the candidate, and how sure that is. A context in every document costs one entry a
+symbol from each block. Contexts of two and four bytes are keyed as they are, the word so far and two
+chunks by bits of a hash whose number grows with the text, and a chunk after them by 12 bits of its hash. Nothing has a fixed size.
+For a text that training counted, the flag's candidate is judged without the place itself (a tie is a miss), so
+its score, too, says what the rest of the corpus knows of it; counts of letters include it.
 
 The base score is an add-one unigram model over words. Its counts come through the same exchange: a word
 costs one entry from each block.
@@ -32,12 +38,12 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from functools import cache
-from math import log2, log10
+from math import log10
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,17 +54,19 @@ CONTEXTS = 3
 SYMBOL = 9  # bits of a symbol
 SCALE = 1 / 16  # of the int8 log odds
 LIMIT = 9.0
-SEGMENT = 64  # chunks between two changes of a text's expert weights
-SHARE = 0.02
+SEGMENT = 1 << 14  # bits of a text that share their weights
 BASE = 0xD1B54A32D192ED03  # of the hash of the word so far
 LOOK = 16  # bytes that the word context reaches back
-#: Weights of the contexts for first and later steps. The first suits clean prose best; others lean on short or long contexts.
-EXPERTS = (
-    ((0.2, 0.5, 0.45), (0.4, 0.5, 0.2)),
-    ((0.2, 0.25, 0.7), (0.2, 0.3, 0.6)),
-    ((0.4, 0.3, 0.15), (0.4, 0.3, 0.1)),
-    ((0.1, 0.8, 0.7), (0.2, 0.9, 0.6)),
-)
+INPUTS = 4  # of the mixer: three contexts and a constant; a flag's odds, a constant and two zeros
+TAG = 12  # bits of a chunk after its context
+FLAG = 8  # the first gate of flags: eight gates of letters come before
+GATES = FLAG + 12
+RATE = 0.01
+BANDS = 24  # of confidence, half a nat each
+BAND_RATE = 0.03
+#: Weights that each text begins with: of letters (first step of a symbol, later ones), of flags.
+START = ((0.25, 0.45, 0.45, 0.0), (0.35, 0.4, 0.35, 0.0), (1.0, 0.0, 0.0, 0.0))
+BATCH_BITS = 6 << 20  # mixed side by side
 END_WORD = b"\n"  # no word has a line feed
 HELD_OUT = (7, 2)
 #: The letters that get short codes, by falling frequency.
@@ -114,7 +122,7 @@ def symbols_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, ends - sizes
 
 
-def pairs_of(symbols: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+def pairs_of(symbols: np.ndarray, begins: np.ndarray, bits: int) -> list[np.ndarray]:
     """For each of CONTEXTS the keys of the pairs (what stands before a symbol in its chunk, the symbol): the
     context's number and value, and in the lowest SYMBOL bits the symbol."""
     n = len(symbols)
@@ -141,7 +149,7 @@ def pairs_of(symbols: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
         at = at[length[at] >= k]
         power = power * BASE % (1 << 64)
         word[at] += after[at - k] * np.uint64(power)
-    word = mix(word) >> np.uint64(64 - 53)
+    word = mix(word) >> np.uint64(64 - 4 - bits)
     return [(np.uint64(tag) << np.uint64(62)) | (value << np.uint64(SYMBOL)) | s for tag, value in enumerate((two, four, word))]
 
 
@@ -163,6 +171,16 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, most of which are small, as bytes by their place."""
+    return pack_bytes(np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
 def walks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of each symbol, and the places of all their walks in the arrays of code(), one after another."""
     steps, begin, _, _ = code()
@@ -187,100 +205,236 @@ def walk_odds(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return size, np.where(bit > 0, packed, -packed)
 
 
-def chunk_bits(symbols: np.ndarray, begins: np.ndarray, starts: list[np.ndarray], odds: np.ndarray) -> np.ndarray:
-    """(chunks, experts) bits: the log odds of each walk mixed with each expert's weights for the gate.
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, and so on for each pair."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def context_bits(size: int) -> int:
+    """Bits of a context of two chunks for so many bytes of text (a word so far has four more): few contexts share a key."""
+    return min(49, max(32, size.bit_length() + 6))
+
+
+_MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def follow_keys(hashes: np.ndarray, begins: np.ndarray, bits: int) -> np.ndarray:
+    """For each place of texts (hashes of their chunks in a row, begins of the texts) the key of the two chunks before, and in the lowest TAG bits the chunk."""
+    n = len(hashes)
+    one, two = np.ones(n, np.uint64), np.full(n, 2, np.uint64)
+    one[1:], two[2:] = hashes[:-1], hashes[:-2]
+    one[begins] = 1
+    two[begins] = 2
+    second = begins + 1
+    two[second[(second < n) & (second < np.r_[begins[1:], n])]] = 2
+    context = mix(one * _MUL[0] + two * _MUL[1]) >> np.uint64(64 - bits)
+    return (context << np.uint64(TAG)) | (mix(hashes) >> np.uint64(64 - TAG))
+
+
+def follow_cuts(keys: np.ndarray, buckets: int, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending keys: buckets are equal ranges of the contexts."""
+    bucket = ((keys >> np.uint64(TAG + bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    return [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+
+
+def flag_code(hit: np.ndarray, often: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """uint8: 0 without a candidate, else its class of contexts met (1, 2, 3 or more), hit or not, and its log odds in quarters."""
+    odds = np.clip(np.rint(4 * np.log((often + 0.4) / (np.maximum(whole - often, 0) + 0.4))), -16, 15).astype(np.int64) + 16
+    return np.where(whole > 0, odds | hit.astype(np.int64) << 5 | np.clip(whole, 0, 3) << 6, 0).astype(np.uint8)
+
+
+def flag_codes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of ascending distinct keys of whole contexts, for texts outside training and for those within."""
+    if not len(keys):
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    context = keys >> np.uint64(TAG)
+    begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    size = np.diff(np.r_[begin, len(keys)])
+    whole = np.repeat(np.add.reduceat(counts, begin), size)
+    most = np.maximum.reduceat(counts, begin)
+    top = np.flatnonzero(counts == np.repeat(most, size))
+    group = np.repeat(np.arange(len(begin)), size)
+    best = top[np.r_[True, group[top][1:] != group[top][:-1]]]  # of equals the least tag
+    others = counts.copy()
+    others[best] = -1
+    second = np.maximum(np.maximum.reduceat(others, begin), 0)
+    is_best = np.zeros(len(keys), bool)
+    is_best[best] = True
+    most, second = np.repeat(most, size), np.repeat(second, size)
+    outside = flag_code(is_best, most, whole)
+    still = is_best & (most - 1 > second) | is_best & (second == 0)
+    within = flag_code(still, np.where(is_best, np.where(still, most - 1, second), most), np.maximum(whole - 1, 0))
+    return outside, within
+
+
+def flag_items() -> tuple[np.ndarray, np.ndarray]:
+    """Inputs (1024, INPUTS) and gates of the flags of each code and streak (4 x code + streak)."""
+    code_, streak = np.divmod(np.arange(1024), 4)
+    sign = np.where(code_ >> 5 & 1, 1, -1)
+    inputs = np.zeros((1024, INPUTS), np.int8)
+    inputs[:, 0] = sign * ((code_ & 31) - 16) * 4
+    inputs[:, 1] = sign * 16
+    return inputs, (FLAG + 4 * (np.maximum(code_ >> 6, 1) - 1) + streak).astype(np.uint8)
+
+
+def letter_items(symbols: np.ndarray, begins: np.ndarray, starts: list[np.ndarray], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and gates of all bits of all chunks, and the bits of each chunk.
 
     starts: for each context where in odds the walk of each symbol begins."""
-    steps = code()[0]
-    out = np.zeros((len(begins), len(EXPERTS)), np.float32)
-    edges = np.r_[begins, len(symbols)]
-    for at in range(0, len(begins), 50_000):
-        cut = edges[at : at + 50_001]
-        span = slice(int(cut[0]), int(cut[-1]))
-        more = steps[symbols[span]] - 1
-        begin = cut[:-1] - cut[0]
-        ends = np.cumsum(more)
-        within = np.arange(int(ends[-1])) - np.repeat(ends - more, more) + 1
-        for gate in range(2):
-            inputs = [odds.take(x[span] if gate == 0 else np.repeat(x[span], more) + within).astype(np.float32) for x in starts]
-            firsts = begin if gate == 0 else (ends - more)[begin]
-            for e, weights in enumerate(EXPERTS):
-                dot = inputs[0] * np.float32(weights[gate][0] * SCALE)
-                for k in range(1, CONTEXTS):
-                    dot += inputs[k] * np.float32(weights[gate][k] * SCALE)
-                np.clip(dot, -LIMIT, LIMIT, out=dot)
-                np.negative(dot, out=dot)
-                np.exp(dot, out=dot)  # loss of a bit: log2(1 + exp(-dot))
-                dot += np.float32(1)
-                np.log2(dot, out=dot)
-                out[at : at + 50_000, e] += np.add.reduceat(dot, firsts)
+    steps, begin, _, bits = code()
+    size = steps[symbols]
+    inputs = np.zeros((int(size.sum()), INPUTS), np.int8)
+    for k, start in enumerate(starts):
+        inputs[:, k] = odds.take(ranges(start, size))
+    inputs[:, CONTEXTS] = np.where(bits.take(ranges(begin[symbols], size)) > 0, 16, -16)
+    place = np.arange(len(symbols)) - np.repeat(begins, np.diff(np.r_[begins, len(symbols)]))
+    gate = np.repeat((np.minimum(place, 3) * 2 + 1).astype(np.uint8), size)
+    gate[np.cumsum(size) - size] -= 1
+    return inputs, gate, np.add.reduceat(size, begins) if len(begins) else np.zeros(0, np.int64)
+
+
+def start_weights() -> np.ndarray:
+    """(GATES, INPUTS)"""
+    return np.array([START[2 if g >= FLAG else g % 2] for g in range(GATES)])
+
+
+def mixed_bits(inputs: np.ndarray, gates: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of each lane: `sizes` rows of inputs and gates from `starts` on, at least one. Inputs are log odds of the bit that was, in sixteenths.
+
+    All lanes advance together, the longest first, each with weights and bands of its own."""
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    n = len(sizes)
+    packed = np.ascontiguousarray(inputs).view(np.int32).ravel()
+    weights = np.tile(start_weights(), (n, 1))
+    right = np.tile(1 / (1 + np.exp(-(np.arange(BANDS) + 0.5) / 2)), n * GATES)
+    lane = np.arange(n) * GATES
+    total = np.zeros(n)
+    stride = 64
+    for at in range(0, int(sizes[0]), stride):
+        many = int(np.searchsorted(-sizes, -at))  # lanes longer than `at`
+        place = np.minimum(starts[:many] + at + np.arange(stride)[:, None], len(packed) - 1)
+        x_all = packed.take(place).view(np.int8).reshape(stride, many, INPUTS) * SCALE
+        gate_all = gates.take(place) + lane[:many]
+        for t in range(min(stride, int(sizes[0]) - at)):
+            m = int(np.searchsorted(-sizes[:many], -(at + t)))
+            x, gate = x_all[t, :m], gate_all[t, :m]
+            w = weights.take(gate, axis=0)
+            dot = np.einsum("ij,ij->i", w, x)
+            np.clip(dot, -LIMIT, LIMIT, out=dot)
+            size = np.abs(dot)
+            sure = 1 / (1 + np.exp(-size))  # of the likelier bit
+            hit = dot >= 0
+            band = (size * 2).astype(np.int64)
+            band += gate * BANDS
+            told = right.take(band)
+            both = 0.5 * (sure + told)
+            total[:m] -= np.log2(np.where(hit, both, 1 - both))
+            right[band] = told + BAND_RATE * (hit - told)
+            w += (RATE * np.where(hit, 1 - sure, sure))[:, None] * x
+            weights[gate] = w
+    out = np.empty(n)
+    out[order] = total
     return out
 
 
-def mixed_bits(losses: np.ndarray) -> float:
-    """Bits of a text from the experts' bits of its segments (segments, experts).
+def text_bits(chunks: np.ndarray, codes: np.ndarray, begins: np.ndarray, inputs: np.ndarray, gates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of each text. chunks, codes: chunk and flag of all places in a row; begins: of the texts; the others: letter_items()."""
+    n = len(chunks)
+    flag_inputs, flag_gates = flag_items()
+    inputs, gates = np.concatenate([flag_inputs, inputs]), np.concatenate([flag_gates, gates])
+    size_of = np.r_[np.ones(1024, np.int64), sizes]
+    start_of = np.cumsum(size_of) - size_of
+    asked = codes > 0
+    hit = asked & (codes >> 5 & 1 > 0)
+    streak, before = np.zeros(n, np.int64), np.ones(n, bool)
+    place = np.arange(n) - np.repeat(begins, np.diff(np.r_[begins, n]))
+    for k in range(1, 4):
+        before[k:] &= hit[:-k]
+        before &= place >= k
+        streak += before
+    items = np.column_stack([np.where(asked, 4 * codes.astype(np.int64) + streak, -1), np.where(hit, -1, 1024 + chunks)]).ravel()
+    text = np.repeat(np.arange(len(begins)), 2 * np.diff(np.r_[begins, n]))
+    text, items = text[items >= 0], items[items >= 0]
+    size = size_of[items]
+    done = np.cumsum(size) - size
+    part = (done - done[np.searchsorted(text, np.arange(len(begins)))][text]) // SEGMENT
+    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (part[1:] != part[:-1])])  # items that begin a lane
+    lane_size = np.add.reduceat(size, first)
+    lane_items = np.diff(np.r_[first, len(items)])
+    order = np.argsort(-lane_size, kind="stable")
+    lane_bits = np.empty(len(first))
+    for lanes in np.split(order, np.flatnonzero(np.diff(np.cumsum(lane_size[order]) // BATCH_BITS)) + 1):
+        own = items[ranges(first[lanes], lane_items[lanes])]
+        rows = ranges(start_of[own], size_of[own])
+        ends = np.cumsum(lane_size[lanes])
+        lane_bits[lanes] = mixed_bits(inputs.take(rows, axis=0), gates.take(rows), ends - lane_size[lanes], lane_size[lanes])
+    return np.bincount(text[first], weights=lane_bits, minlength=len(begins))
+
 
-    The experts' probabilities are averaged with weights that follow each text: all alike at first, after each
-    segment multiplied by what the expert gave the segment, and a SHARE of the whole dealt out evenly again.
-    """
-    weights = np.full(losses.shape[1], -log2(losses.shape[1]))
-    total = 0.0
-    for row in losses.astype(np.float64):
-        now = weights - row
-        top = now.max()
-        mass = np.exp2(now - top)
-        whole = mass.sum()
-        total -= top + log2(whole)
-        weights = np.log2(mass / whole * (1 - SHARE) + SHARE / len(mass))
-    return total
+def words_of(text: str) -> list[bytes]:
+    return [*text.encode().lower().split(), END_WORD]
 
 
-def text_bits(table: np.ndarray, own: np.ndarray) -> float:
-    """Bits of the text whose chunks have the rows `own` of a table of chunk_bits()."""
-    return mixed_bits(np.add.reduceat(table.take(own, axis=0), np.arange(0, len(own), SEGMENT), axis=0, dtype=np.float64))
+ASK = "bucket long, block long, payload binary, counts binary, keys binary, times binary, follow binary, met binary"
+TOLD = "bucket long, block long, counts binary, distinct long, tokens long, odds binary, codes binary"
+OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
 
-def words_of(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), END_WORD]
+def places_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct chunks of texts in ascending order, the chunk of each place of all texts in a row, and where each text begins."""
+    chunks: set[str] = set()
+    for text in texts:  # cut again below: chunks of all texts at once take many times the room of the texts
+        chunks.update(chunks_of(text))
+    names = sorted(chunks)
+    number = {c: k for k, c in enumerate(names)}
+    places = [np.fromiter(map(number.__getitem__, own), np.int32, len(own)) for own in map(chunks_of, texts)]
+    sizes = np.fromiter(map(len, places), np.int64, len(places))
+    return names, np.concatenate(places), np.cumsum(sizes) - sizes
 
 
-ASK = "bucket long, block long, payload binary, counts binary, keys binary, times binary"
-TOLD = "bucket long, block long, counts binary, distinct long, tokens long, odds binary"
-OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def _hashes(chunks: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(c, 7) for c in chunks), np.uint64, len(chunks))
 
 
-def _ask(table: pa.Table, buckets: int) -> pa.Table:
+def _ask(table: pa.Table, buckets: int, bits: int) -> pa.Table:
     ids, texts = block_rows(table)
-    train = [t for i, t in zip(ids, texts, strict=True) if not is_held_out(i)]
-    other = [t for i, t in zip(ids, texts, strict=True) if is_held_out(i)]
-    counts = Counter(" ".join(train).encode().lower().split())
-    counts[END_WORD] = len(train)
-    words = set(counts).union(" ".join(other).encode().lower().split())
-    asked = dict(bucketed(words, buckets))
-    seen: Counter[str] = Counter()
-    for text in train:
-        seen.update(chunks_of(text))
-    for text in other:
-        for chunk in chunks_of(text):
-            seen[chunk] += 0
-    chunks = sorted(seen)
+    held = np.array([is_held_out(i) for i in ids], bool)
+    chunks, places, text_begins = places_of(texts)
+    learned = np.repeat(~held, np.diff(np.r_[text_begins, len(places)]))
+    seen = np.bincount(places[learned], minlength=len(chunks))
+    counts: Counter[bytes] = Counter()
+    for chunk, often in zip(chunks, seen.tolist(), strict=True):
+        for word in chunk.encode().lower().split():
+            counts[word] += often
+    counts[END_WORD] = int((~held).sum())
+    asked = dict(bucketed(set(counts), buckets))
     symbols, begins = symbols_of(chunks)
-    often = np.repeat(np.fromiter(map(seen.__getitem__, chunks), np.float64, len(chunks)), np.diff(np.r_[begins, len(symbols)]))
+    often = np.repeat(seen.astype(np.float64), np.diff(np.r_[begins, len(symbols)]))
     found = []
-    for keys in pairs_of(symbols, begins):
+    for keys in pairs_of(symbols, begins, bits):
         keys, inverse = np.unique(keys, return_inverse=True)
         found.append((keys, np.bincount(inverse, weights=often).astype(np.int64)))
     keys, times = (np.concatenate(x) for x in zip(*found, strict=True))  # ascending: the context's number is on top
+    del found, symbols, often
     order, cuts = dealt(keys, buckets)
     keys, times = keys[order], times[order]
-    pairs = {b: (pack_keys(keys[x:y]), pack_bytes(times[x:y].tobytes())) for b, x, y in cuts}
-    none = (pack_keys(keys[:0]), pack_bytes(b""))
+    pairs = {b: (pack_keys(keys[x:y]), pack_counts(times[x:y])) for b, x, y in cuts}
+    follow = follow_keys(_hashes(chunks)[places], text_begins, bits)
+    order = np.argsort(follow, kind="stable")
+    follow, learned = follow[order], learned[order]
+    first = np.flatnonzero(np.r_[True, follow[1:] != follow[:-1]])
+    follow, met = follow[first], np.add.reduceat(learned.astype(np.int64), first)
+    next_ = {b: (pack_keys(follow[x:y]), pack_counts(met[x:y])) for b, x, y in follow_cuts(follow, buckets, bits)}
+    none = (pack_keys(keys[:0]), pack_counts(times[:0]))
     block = table.column("block")[0].as_py()
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("payload", "counts", "keys", "times")]])
+    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("payload", "counts", "keys", "times", "follow", "met")]])
     out: dict[str, list] = {f.name: [] for f in schema}
-    for bucket in sorted(asked.keys() | pairs.keys()):
+    for bucket in sorted(asked.keys() | pairs.keys() | next_.keys()):
         own = asked.get(bucket, [])
-        row = (bucket, block, join_words(own), pack_bytes(np.array([counts[w] for w in own], np.int64).tobytes()), *pairs.get(bucket, none))
+        row = (bucket, block, join_words(own), pack_counts(np.array([counts[w] for w in own], np.int64)), *pairs.get(bucket, none), *next_.get(bucket, none))
         for name, value in zip(out, row, strict=True):
             out[name].append(value)
     return pa.Table.from_batches([batch_of(out, schema)])
@@ -294,34 +448,53 @@ def _tell(table: pa.Table) -> pa.Table:
         at = np.array([place.setdefault(w, len(place)) for w in split_words(payload.as_py())], np.int64)
         if len(place) > len(total):
             total = np.r_[total, np.zeros(len(place) - len(total), np.int64)]
-        total[at] += np.frombuffer(unpack_bytes(counts.as_py()), np.int64)
+        total[at] += unpack_counts(counts.as_py())
         asked.append(at)
     n = table.num_rows
     sums = [int((total > 0).sum()), int(total.sum())]
-    odds = _tell_odds([unpack_keys(x.as_py()) for x in table.column("keys")], [np.frombuffer(unpack_bytes(x.as_py()), np.int64) for x in table.column("times")])
-    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "counts": pa.array([pack_bytes(total[at].tobytes()) for at in asked], pa.binary()), "distinct": pa.array([sums[0]] + [0] * (n - 1), pa.int64()), "tokens": pa.array([sums[1]] + [0] * (n - 1), pa.int64()), "odds": pa.array(odds, pa.binary())})
+    told = [pack_bytes(total[at].tobytes()) for at in asked]
+    del place, asked
+    odds = _tell_odds(_column(table, "keys", unpack_keys), _column(table, "times", unpack_counts))
+    codes = _tell_codes(_column(table, "follow", unpack_keys), _column(table, "met", unpack_counts))
+    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "counts": pa.array(told, pa.binary()), "distinct": pa.array([sums[0]] + [0] * (n - 1), pa.int64()), "tokens": pa.array([sums[1]] + [0] * (n - 1), pa.int64()), "odds": pa.array(odds, pa.binary()), "codes": pa.array(codes, pa.binary())})
+
+
+def _column(table: pa.Table, name: str, unpack) -> list[np.ndarray]:
+    return [unpack(x.as_py()) for x in table.column(name)]
+
+
+def _added(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all blocks, their counts, and the number of each block's keys among them, in a row."""
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(inverse, weights=np.concatenate(times), minlength=len(distinct)), inverse
 
 
 def _tell_odds(keys: list[np.ndarray], times: list[np.ndarray]) -> list[bytes]:
     """For each block the log odds of the walks of its keys, by the counts of all blocks."""
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    size, odds = walk_odds(distinct, np.bincount(inverse, weights=np.concatenate(times), minlength=len(distinct)))
+    distinct, counts, inverse = _added(keys, times)
+    size, odds = walk_odds(distinct, counts)
     start = np.cumsum(size) - size
     out, at = [], 0
     for own in keys:
         rows = inverse[at : at + len(own)]
         at += len(own)
-        each = size[rows]
-        ends = np.cumsum(each)
-        out.append(pack_bytes(odds[np.arange(int(each.sum())) + np.repeat(start[rows] - (ends - each), each)].tobytes()))
+        out.append(pack_bytes(odds[ranges(start[rows], size[rows])].tobytes()))
     return out
 
 
-def _block_bits(chunks: list[str], told: dict[int, bytes], buckets: int) -> np.ndarray:
-    """chunk_bits() of a block's distinct chunks in ascending order, by what the buckets told."""
+def _tell_codes(keys: list[np.ndarray], met: list[np.ndarray]) -> list[bytes]:
+    """For each block the flag codes of its keys: those for texts outside training, then those for texts within."""
+    distinct, counts, inverse = _added(keys, met)
+    codes = np.stack(flag_codes(distinct, counts.astype(np.int64)))
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    return [pack_bytes(np.ascontiguousarray(codes[:, inverse[a:b]]).tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _letters(chunks: list[str], told: dict[int, bytes], buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """letter_items() of a block's distinct chunks in ascending order, by what the buckets told."""
     steps = code()[0]
     symbols, begins = symbols_of(chunks)
-    found = [np.unique(keys, return_inverse=True) for keys in pairs_of(symbols, begins)]
+    found = [np.unique(keys, return_inverse=True) for keys in pairs_of(symbols, begins, bits)]
     keys = np.concatenate([x for x, _ in found])
     order, cuts = dealt(keys, buckets)
     odds = np.concatenate([np.frombuffer(unpack_bytes(told[b]), np.int8) for b, _, _ in cuts])
@@ -329,51 +502,53 @@ def _block_bits(chunks: list[str], told: dict[int, bytes], buckets: int) -> np.n
     start = np.empty(len(keys), np.int64)
     start[order] = np.cumsum(size) - size
     base = np.cumsum([0, *[len(x) for x, _ in found]])
-    return chunk_bits(symbols, begins, [start[at + inverse] for at, (_, inverse) in zip(base, found, strict=False)], odds)
+    return letter_items(symbols, begins, [start[at + inverse] for at, (_, inverse) in zip(base, found, strict=False)], odds)
+
+
+def _codes(chunks: list[str], places: np.ndarray, begins: np.ndarray, held: np.ndarray, told: dict[int, bytes], buckets: int, bits: int) -> np.ndarray:
+    """The flag code of each place."""
+    keys, inverse = np.unique(follow_keys(_hashes(chunks)[places], begins, bits), return_inverse=True)
+    codes = np.concatenate([np.frombuffer(unpack_bytes(told[b]), np.uint8).reshape(2, -1) for b, _, _ in follow_cuts(keys, buckets, bits)], axis=1)
+    within = np.repeat(~held, np.diff(np.r_[begins, len(places)])).astype(np.int64)
+    return codes[within, inverse]
 
 
-def _score(docs: pa.Table, told: pa.Table, buckets: int, distinct: int, tokens: int) -> pa.Table:
+def _score(docs: pa.Table, told: pa.Table, buckets: int, bits: int, distinct: int, tokens: int) -> pa.Table:
     ids, texts = block_rows(docs)
-    chunks: set[str] = set()
-    for text in texts:  # cut again below: chunks of all texts at once take many times the room of the texts
-        chunks.update(chunks_of(text))
-    number = {c: k for k, c in enumerate(sorted(chunks))}
-    words = [c.encode().lower().split() for c in number]
-    got = dict(zip(told.column("bucket").to_pylist(), told.column("counts").to_pylist(), strict=True))
+    held = np.array([is_held_out(i) for i in ids], bool)
+    chunks, places, begins = places_of(texts)
+    words = [c.encode().lower().split() for c in chunks]
+    by_bucket = {name: dict(zip(told.column("bucket").to_pylist(), told.column(name).to_pylist(), strict=True)) for name in ("counts", "odds", "codes")}
     count: dict[bytes, int] = {}
     for bucket, own in bucketed(set().union(*words) | {END_WORD}, buckets):
-        count.update(zip(own, np.frombuffer(unpack_bytes(got[bucket]), np.int64).tolist(), strict=True))
+        count.update(zip(own, np.frombuffer(unpack_bytes(by_bucket["counts"][bucket]), np.int64).tolist(), strict=True))
     # what each distinct chunk adds to its text's base: tokens, known tokens, sum of log10(c + 1)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.fromiter((count[w] for own in words for w in own), np.int64, int(sizes.sum()))
     of = np.repeat(np.arange(len(words)), sizes)
     sums = (sizes, np.bincount(of, weights=flat > 0, minlength=len(words)), np.bincount(of, weights=np.log10(flat + 1.0), minlength=len(words)))
-    base = np.column_stack(sums).astype(np.float64)
-    whole, end = log10(tokens + distinct + 1), count[END_WORD]
-    bits = _block_bits(list(number), dict(zip(told.column("bucket").to_pylist(), told.column("odds").to_pylist(), strict=True)), buckets)
-    out: dict[str, list] = {f.name: [] for f in OUT}
-    for doc_id, text in zip(ids, texts, strict=True):
-        part = chunks_of(text)
-        own = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
-        n, known, logs = (base.take(own, axis=0).sum(axis=0) + (1, end > 0, log10(end + 1))).tolist()
-        values = (doc_id, is_held_out(doc_id), int(n), int(known), tokens, logs - n * whole, -text_bits(bits, own) / log2(10))
-        for name, value in zip(out, values, strict=True):
-            out[name].append(value)
+    n, known, logs = (np.add.reduceat(x[places], begins) + end for x, end in zip(sums, (1, count[END_WORD] > 0, log10(count[END_WORD] + 1)), strict=True))
+    base = logs - n * log10(tokens + distinct + 1)
+    del words, count, flat, of
+    codes = _codes(chunks, places, begins, held, by_bucket["codes"], buckets, bits)
+    total = text_bits(places, codes, begins, *_letters(chunks, by_bucket["odds"], buckets, bits))
+    size = np.array([len(t.encode()) + 1 for t in texts])
+    out = {"doc_id": ids, "held_out": held, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": [tokens] * len(ids), "base_score": base, "score": -total * log10(2), "bits_per_byte": total / size}
     return pa.Table.from_batches([batch_of(out, OUT)])
 
 
 def score_documents(docs: DataFrame, block_bytes: int = 10 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (the end counts as a byte) of every row."""
     spark = docs.sparkSession
     prepare(spark)
     blocks = Blocks(docs, block_bytes)
-    buckets = blocks.n
-    told = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets)), ASK).groupBy("bucket").applyInArrow(lambda t: freed(_tell(t)), TOLD)
+    buckets, bits = blocks.n, context_bits(blocks.size)
+    told = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets, bits)), ASK).groupBy("bucket").applyInArrow(lambda t: freed(_tell(t)), TOLD)
     told = materialize(told, "word-counts")
     distinct, tokens = told.agg(F.sum("distinct"), F.sum("tokens")).first()
     both = blocks.frame.groupBy("block").cogroup(told.groupBy("block"))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.applyInArrow(lambda left, right: freed(_score(left, right, buckets, distinct or 0, tokens or 0)), schema)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+    return both.applyInArrow(lambda left, right: freed(_score(left, right, buckets, bits, distinct or 0, tokens or 0)), schema)
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
