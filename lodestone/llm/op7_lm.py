@@ -37,12 +37,13 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import cache
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +55,8 @@ CONTEXTS = 3
 SYMBOL = 9  # bits of a symbol
 SCALE = 1 / 16  # of the int8 log odds
 LIMIT = 9.0
-SEGMENT = 1 << 14  # bits of a text that share their weights
+SEGMENT = 1 << 13  # bits of a text that share their weights
 BASE = 0xD1B54A32D192ED03  # of the hash of the word so far
-LOOK = 16  # bytes that the word context reaches back
 INPUTS = 4  # of the mixer: three contexts and a constant; a flag's odds, a constant and two zeros
 TAG = 12  # bits of a chunk after its context
 FLAG = 8  # the first gate of flags: eight gates of letters come before
@@ -66,7 +66,8 @@ BANDS = 24  # of confidence, half a nat each
 BAND_RATE = 0.03
 #: Weights that each text begins with: of letters (first step of a symbol, later ones), of flags.
 START = ((0.25, 0.45, 0.45, 0.0), (0.35, 0.4, 0.35, 0.0), (1.0, 0.0, 0.0, 0.0))
-BATCH_BITS = 6 << 20  # mixed side by side
+FLAGS = 1024  # codes of a flag and its streak
+BATCH_BITS = 8 << 20  # mixed side by side
 END_WORD = b"\n"  # no word has a line feed
 HELD_OUT = (7, 2)
 #: The letters that get short codes, by falling frequency.
@@ -115,49 +116,61 @@ def symbols_of(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all chunks in a row, each with its space or end, and where each chunk begins."""
     coded = [c.rstrip(" ").encode() for c in chunks]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
-    symbols = np.frombuffer(b" ".join(coded) + b" ", np.uint8).astype(np.int64)
+    symbols = np.frombuffer(b" ".join(coded) + b" ", np.uint8).astype(np.int16)
     ends = np.cumsum(sizes)
     last = np.fromiter((c.endswith(" ") for c in chunks), bool, len(chunks))
     symbols[ends[last] - 1] = 256
     return symbols, ends - sizes
 
 
-def pairs_of(symbols: np.ndarray, begins: np.ndarray, bits: int) -> list[np.ndarray]:
+def pairs_of(symbols: np.ndarray, begins: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """For each of CONTEXTS the keys of the pairs (what stands before a symbol in its chunk, the symbol): the
     context's number and value, and in the lowest SYMBOL bits the symbol."""
     n = len(symbols)
-    s = symbols.astype(np.uint64)
-    after = s + np.uint64(1)  # 0: nothing
-    place = np.arange(n)
-    start = np.repeat(begins, np.diff(np.r_[begins, n]))
-    inside = place - start
-    two = np.zeros(n, np.uint64)
-    four = np.zeros(n, np.uint64)
-    for k in range(1, 5):
-        x = np.zeros(n, np.uint64)
-        x[k:] = after[:-k]
-        x[inside < k] = 0
-        four |= x << np.uint64(SYMBOL * (k - 1))
-        if k == 2:
-            two = four.copy()
-    # the word so far: at most LOOK bytes since the chunk's begin or a line feed
-    line = np.maximum.accumulate(np.where(symbols == 10, place, -1))
-    length = np.minimum(place - np.maximum(np.r_[-1, line[:-1]] + 1, start), LOOK)
-    word = np.zeros(n, np.uint64)
-    at, power = place, 1
-    for k in range(1, LOOK + 1):
-        at = at[length[at] >= k]
-        power = power * BASE % (1 << 64)
-        word[at] += after[at - k] * np.uint64(power)
-    word = mix(word) >> np.uint64(64 - 4 - bits)
-    return [(np.uint64(tag) << np.uint64(62)) | (value << np.uint64(SYMBOL)) | s for tag, value in enumerate((two, four, word))]
+    after = symbols.astype(np.uint16)
+    after += 1  # 0: nothing
+    start = np.repeat(begins.astype(np.int32), np.diff(np.r_[begins, n]))
+
+    def keys(tag: int, value: np.ndarray) -> np.ndarray:
+        value <<= np.uint64(SYMBOL)
+        value |= np.uint64(tag << 62)
+        value |= symbols.astype(np.uint64)
+        return value
+
+    def last(many: int) -> np.ndarray:
+        value = np.zeros(n, np.uint64)
+        inside = np.arange(n, dtype=np.int32) - start
+        for k in range(1, many + 1):
+            x = np.zeros(n, np.uint64)
+            x[k:] = after[:-k]
+            x[inside < k] = 0
+            value |= x << np.uint64(SYMBOL * (k - 1))
+        return value
+
+    yield keys(0, last(2))
+    yield keys(1, last(4))
+    # the word so far: what stands since the chunk's begin or a line feed, as the difference of two sums of powers
+    line = np.maximum.accumulate(np.where(symbols == 10, np.arange(n, dtype=np.int32), np.int32(-1))) + 1
+    np.maximum(start[1:], line[:-1], out=start[1:])
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, BASE, np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(after * power, dtype=np.uint64)]
+    word = sums[:-1] - sums[start]
+    del sums, line
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, pow(BASE, -1, 1 << 64), np.uint64)])
+    word *= power[start]
+    del power, start
+    word = mix(word)
+    word >>= np.uint64(64 - 4 - bits)
+    yield keys(2, word)
 
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The order of ascending keys by (bucket of the context, key), and (bucket, from, to) in that order."""
     bucket = mix(keys >> np.uint64(SYMBOL)) % np.uint64(buckets)
+    if buckets < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    cuts = [0, *np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)).tolist()]
     return order, [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
 
 
@@ -206,9 +219,11 @@ def walk_odds(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... sizes[0] of them, and so on for each pair."""
+    """starts[0], starts[0] + 1, ... sizes[0] of them, and so on for each pair; as int32."""
     ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def context_bits(size: int) -> int:
@@ -271,28 +286,39 @@ def flag_codes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def flag_items() -> tuple[np.ndarray, np.ndarray]:
     """Inputs (1024, INPUTS) and gates of the flags of each code and streak (4 x code + streak)."""
-    code_, streak = np.divmod(np.arange(1024), 4)
+    code_, streak = np.divmod(np.arange(FLAGS), 4)
     sign = np.where(code_ >> 5 & 1, 1, -1)
-    inputs = np.zeros((1024, INPUTS), np.int8)
+    inputs = np.zeros((FLAGS, INPUTS), np.int8)
     inputs[:, 0] = sign * ((code_ & 31) - 16) * 4
     inputs[:, 1] = sign * 16
     return inputs, (FLAG + 4 * (np.maximum(code_ >> 6, 1) - 1) + streak).astype(np.uint8)
 
 
-def letter_items(symbols: np.ndarray, begins: np.ndarray, starts: list[np.ndarray], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and gates of all bits of all chunks, and the bits of each chunk.
+def letter_items(symbols: np.ndarray, begins: np.ndarray, starts: Iterable[np.ndarray], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and gates of all flags, then of all bits of all chunks; and the bits of each chunk.
 
     starts: for each context where in odds the walk of each symbol begins."""
     steps, begin, _, bits = code()
-    size = steps[symbols]
-    inputs = np.zeros((int(size.sum()), INPUTS), np.int8)
+    size = steps.astype(np.int32)[symbols]
+    ends = np.cumsum(size)
+    total = int(ends[-1])
+    inputs, gates = np.zeros((FLAGS + total, INPUTS), np.int8), np.empty(FLAGS + total, np.uint8)
+    inputs[:FLAGS], gates[:FLAGS] = flag_items()
+
+    def fill(k: int, values: np.ndarray, start: np.ndarray, slice_: int = 1 << 18) -> None:
+        for at in range(0, len(symbols), slice_):
+            own = size[at : at + slice_]
+            to = FLAGS + int(ends[at] - own[0])
+            rows = ranges(start[at : at + slice_], own)
+            inputs[to : to + len(rows), k] = values.take(rows)
+
     for k, start in enumerate(starts):
-        inputs[:, k] = odds.take(ranges(start, size))
-    inputs[:, CONTEXTS] = np.where(bits.take(ranges(begin[symbols], size)) > 0, 16, -16)
-    place = np.arange(len(symbols)) - np.repeat(begins, np.diff(np.r_[begins, len(symbols)]))
-    gate = np.repeat((np.minimum(place, 3) * 2 + 1).astype(np.uint8), size)
-    gate[np.cumsum(size) - size] -= 1
-    return inputs, gate, np.add.reduceat(size, begins) if len(begins) else np.zeros(0, np.int64)
+        fill(k, odds, start)
+    fill(CONTEXTS, np.where(bits, 16, -16).astype(np.int8), begin[symbols])
+    place = np.arange(len(symbols), dtype=np.int32) - np.repeat(begins.astype(np.int32), np.diff(np.r_[begins, len(symbols)]))
+    gates[FLAGS:] = np.repeat((np.minimum(place, 3) * 2 + 1).astype(np.uint8), size)
+    gates[FLAGS + ends - size] -= 1
+    return inputs, gates, np.add.reduceat(size, begins, dtype=np.int64)
 
 
 def start_weights() -> np.ndarray:
@@ -300,82 +326,94 @@ def start_weights() -> np.ndarray:
     return np.array([START[2 if g >= FLAG else g % 2] for g in range(GATES)])
 
 
-def mixed_bits(inputs: np.ndarray, gates: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bits of each lane: `sizes` rows of inputs and gates from `starts` on, at least one. Inputs are log odds of the bit that was, in sixteenths.
+def mixed_bits(inputs: np.ndarray, gates: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits of each lane, `sizes` places of rows from `starts` on, at least one; the longest first. rows: places in
+    inputs and gates. Inputs are log odds of the bit that was, in sixteenths.
 
-    All lanes advance together, the longest first, each with weights and bands of its own."""
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
+    All lanes advance together, each with weights and bands of its own."""
     n = len(sizes)
-    packed = np.ascontiguousarray(inputs).view(np.int32).ravel()
-    weights = np.tile(start_weights(), (n, 1))
-    right = np.tile(1 / (1 + np.exp(-(np.arange(BANDS) + 0.5) / 2)), n * GATES)
+    packed = inputs.view(np.int32).ravel()
+    weights = np.tile(start_weights().astype(np.float32), (n, 1)).view(np.complex128).ravel()  # one value for a set: taken at once
+    right = np.tile((1 / (1 + np.exp(-(np.arange(BANDS) + 0.5) / 2))).astype(np.float32), n * GATES)
+    one, rate, band_rate = np.float32(1), np.float32(RATE), np.float32(BAND_RATE)
     lane = np.arange(n) * GATES
     total = np.zeros(n)
-    stride = 64
-    for at in range(0, int(sizes[0]), stride):
-        many = int(np.searchsorted(-sizes, -at))  # lanes longer than `at`
-        place = np.minimum(starts[:many] + at + np.arange(stride)[:, None], len(packed) - 1)
-        x_all = packed.take(place).view(np.int8).reshape(stride, many, INPUTS) * SCALE
+    longest, stride = int(sizes[0]), 32
+    wide = np.searchsorted(-sizes, -np.arange(longest + 1)).tolist()  # lanes longer than a step
+    for at in range(0, longest, stride):
+        many = wide[at]
+        place = rows.take(starts[:many] + at + np.arange(stride)[:, None], mode="clip")
+        x_all = packed.take(place).view(np.int8).reshape(stride, many, INPUTS) * np.float32(SCALE)
         gate_all = gates.take(place) + lane[:many]
-        for t in range(min(stride, int(sizes[0]) - at)):
-            m = int(np.searchsorted(-sizes[:many], -(at + t)))
+        band_all = (gate_all * BANDS).astype(np.int32)
+        odds = np.ones((2, stride, many), np.float32)  # of the bit that was, by the mix and by its band
+        for t in range(min(stride, longest - at)):
+            m = wide[at + t]
             x, gate = x_all[t, :m], gate_all[t, :m]
-            w = weights.take(gate, axis=0)
-            dot = np.einsum("ij,ij->i", w, x)
+            w = weights.take(gate)
+            own = w.view(np.float32).reshape(m, INPUTS)
+            dot = np.einsum("ij,ij->i", own, x)
             np.clip(dot, -LIMIT, LIMIT, out=dot)
-            size = np.abs(dot)
-            sure = 1 / (1 + np.exp(-size))  # of the likelier bit
             hit = dot >= 0
-            band = (size * 2).astype(np.int64)
-            band += gate * BANDS
+            band = (np.abs(dot) * 2).astype(np.int32)
+            band += band_all[t, :m]
+            np.negative(dot, out=dot)
+            np.exp(dot, out=dot)
+            dot += one
+            np.reciprocal(dot, out=odds[0, t, :m])
             told = right.take(band)
-            both = 0.5 * (sure + told)
-            total[:m] -= np.log2(np.where(hit, both, 1 - both))
-            right[band] = told + BAND_RATE * (hit - told)
-            w += (RATE * np.where(hit, 1 - sure, sure))[:, None] * x
+            np.copyto(odds[1, t, :m], one - told)
+            np.copyto(odds[1, t, :m], told, where=hit)
+            told += band_rate * (hit - told)
+            right[band] = told
+            np.subtract(one, odds[0, t, :m], out=dot)
+            dot *= rate
+            own += dot[:, None] * x
             weights[gate] = w
-    out = np.empty(n)
-    out[order] = total
-    return out
+        total[:many] -= np.log2(0.5 * (odds[0] + odds[1])).sum(axis=0, dtype=np.float64)
+    return total
 
 
 def text_bits(chunks: np.ndarray, codes: np.ndarray, begins: np.ndarray, inputs: np.ndarray, gates: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bits of each text. chunks, codes: chunk and flag of all places in a row; begins: of the texts; the others: letter_items()."""
+    """Bits of each text. chunks, codes: chunk and flag of all places in a row; begins: of the texts; the others: letter_items(), after flag_items()."""
     n = len(chunks)
-    flag_inputs, flag_gates = flag_items()
-    inputs, gates = np.concatenate([flag_inputs, inputs]), np.concatenate([flag_gates, gates])
-    size_of = np.r_[np.ones(1024, np.int64), sizes]
-    start_of = np.cumsum(size_of) - size_of
+    size_of = np.r_[np.ones(FLAGS, np.int64), sizes]
+    start_of = (np.cumsum(size_of) - size_of).astype(np.int32)
     asked = codes > 0
     hit = asked & (codes >> 5 & 1 > 0)
-    streak, before = np.zeros(n, np.int64), np.ones(n, bool)
+    streak, before = np.zeros(n, np.int8), np.ones(n, bool)
     place = np.arange(n) - np.repeat(begins, np.diff(np.r_[begins, n]))
     for k in range(1, 4):
         before[k:] &= hit[:-k]
         before &= place >= k
         streak += before
-    items = np.column_stack([np.where(asked, 4 * codes.astype(np.int64) + streak, -1), np.where(hit, -1, 1024 + chunks)]).ravel()
-    text = np.repeat(np.arange(len(begins)), 2 * np.diff(np.r_[begins, n]))
+    items = np.column_stack([np.where(asked, 4 * codes.astype(np.int32) + streak, -1), np.where(hit, -1, FLAGS + chunks)]).astype(np.int32).ravel()
+    text = np.repeat(np.arange(len(begins), dtype=np.int32), 2 * np.diff(np.r_[begins, n]))
     text, items = text[items >= 0], items[items >= 0]
     size = size_of[items]
     done = np.cumsum(size) - size
-    part = (done - done[np.searchsorted(text, np.arange(len(begins)))][text]) // SEGMENT
+    part = (done - done[np.searchsorted(text, np.arange(len(begins), dtype=np.int32))][text]) // SEGMENT
     first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (part[1:] != part[:-1])])  # items that begin a lane
     lane_size = np.add.reduceat(size, first)
     lane_items = np.diff(np.r_[first, len(items)])
+    del done, part, place, before, streak
     order = np.argsort(-lane_size, kind="stable")
     lane_bits = np.empty(len(first))
     for lanes in np.split(order, np.flatnonzero(np.diff(np.cumsum(lane_size[order]) // BATCH_BITS)) + 1):
         own = items[ranges(first[lanes], lane_items[lanes])]
         rows = ranges(start_of[own], size_of[own])
         ends = np.cumsum(lane_size[lanes])
-        lane_bits[lanes] = mixed_bits(inputs.take(rows, axis=0), gates.take(rows), ends - lane_size[lanes], lane_size[lanes])
+        lane_bits[lanes] = mixed_bits(inputs, gates, rows, ends - lane_size[lanes], lane_size[lanes])
     return np.bincount(text[first], weights=lane_bits, minlength=len(begins))
 
 
-def words_of(text: str) -> list[bytes]:
-    return [*text.encode().lower().split(), END_WORD]
+def lowered(chunks: list[str]) -> list[list[bytes]]:
+    """The words of each chunk, A-Z lower-cased."""
+    spaces = bytes.maketrans(b"\t\v\f\r", b"\n\n\n\n")
+    plain = "\0".join(chunks).encode().lower().translate(spaces).replace(b" ", b"").split(b"\0")
+    if len(plain) != len(chunks):  # zero bytes within
+        plain = [c.encode().lower() for c in chunks]
+    return [[c] if c and b"\n" not in c else c.split() for c in plain]
 
 
 ASK = "bucket long, block long, payload binary, counts binary, keys binary, times binary, follow binary, met binary"
@@ -385,14 +423,19 @@ OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens",
 
 def places_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct chunks of texts in ascending order, the chunk of each place of all texts in a row, and where each text begins."""
-    chunks: set[str] = set()
-    for text in texts:  # cut again below: chunks of all texts at once take many times the room of the texts
-        chunks.update(chunks_of(text))
-    names = sorted(chunks)
-    number = {c: k for k, c in enumerate(names)}
-    places = [np.fromiter(map(number.__getitem__, own), np.int32, len(own)) for own in map(chunks_of, texts)]
-    sizes = np.fromiter(map(len, places), np.int64, len(places))
-    return names, np.concatenate(places), np.cumsum(sizes) - sizes
+    parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    ends = parts.offsets.to_numpy()[1:].astype(np.int64)
+    coded = parts.flatten().dictionary_encode()
+    places = 2 * coded.indices.to_numpy().astype(np.int64)
+    names = coded.dictionary.to_pylist()
+    del parts, coded
+    places[ends - 1] += 1  # the last of a text
+    there = np.flatnonzero(np.bincount(places, minlength=2 * len(names))).tolist()
+    chunks = [names[k >> 1] + " " * (k & 1) for k in there]
+    order = sorted(range(len(chunks)), key=chunks.__getitem__)
+    number = np.zeros(2 * len(names), np.int32)
+    number[np.array(there)[order]] = np.arange(len(order))
+    return [chunks[k] for k in order], number[places], np.r_[0, ends[:-1]]
 
 
 def _hashes(chunks: list[str]) -> np.ndarray:
@@ -403,20 +446,24 @@ def _ask(table: pa.Table, buckets: int, bits: int) -> pa.Table:
     ids, texts = block_rows(table)
     held = np.array([is_held_out(i) for i in ids], bool)
     chunks, places, text_begins = places_of(texts)
+    del texts
     learned = np.repeat(~held, np.diff(np.r_[text_begins, len(places)]))
     seen = np.bincount(places[learned], minlength=len(chunks))
-    counts: Counter[bytes] = Counter()
-    for chunk, often in zip(chunks, seen.tolist(), strict=True):
-        for word in chunk.encode().lower().split():
-            counts[word] += often
+    counts: dict[bytes, int] = {}
+    for words, often in zip(lowered(chunks), seen.tolist(), strict=True):
+        for word in words:
+            counts[word] = counts.get(word, 0) + often
     counts[END_WORD] = int((~held).sum())
     asked = dict(bucketed(set(counts), buckets))
     symbols, begins = symbols_of(chunks)
-    often = np.repeat(seen.astype(np.float64), np.diff(np.r_[begins, len(symbols)]))
+    often = np.repeat(seen, np.diff(np.r_[begins, len(symbols)]))
     found = []
     for keys in pairs_of(symbols, begins, bits):
-        keys, inverse = np.unique(keys, return_inverse=True)
-        found.append((keys, np.bincount(inverse, weights=often).astype(np.int64)))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        found.append((keys[first], np.add.reduceat(often[order], first)))
+        del keys, order, first
     keys, times = (np.concatenate(x) for x in zip(*found, strict=True))  # ascending: the context's number is on top
     del found, symbols, often
     order, cuts = dealt(keys, buckets)
@@ -494,15 +541,21 @@ def _letters(chunks: list[str], told: dict[int, bytes], buckets: int, bits: int)
     """letter_items() of a block's distinct chunks in ascending order, by what the buckets told."""
     steps = code()[0]
     symbols, begins = symbols_of(chunks)
-    found = [np.unique(keys, return_inverse=True) for keys in pairs_of(symbols, begins, bits)]
+    found = []
+    for keys in pairs_of(symbols, begins, bits):
+        keys, inverse = np.unique(keys, return_inverse=True)
+        found.append((keys, inverse.astype(np.int32)))
+    del inverse
     keys = np.concatenate([x for x, _ in found])
+    found = [(len(x), inverse) for x, inverse in found]
     order, cuts = dealt(keys, buckets)
     odds = np.concatenate([np.frombuffer(unpack_bytes(told[b]), np.int8) for b, _, _ in cuts])
     size = steps[(keys[order] & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)]
-    start = np.empty(len(keys), np.int64)
+    start = np.empty(len(keys), np.int32)
     start[order] = np.cumsum(size) - size
-    base = np.cumsum([0, *[len(x) for x, _ in found]])
-    return letter_items(symbols, begins, [start[at + inverse] for at, (_, inverse) in zip(base, found, strict=False)], odds)
+    del keys, order, size
+    base = np.cumsum([0, *[n for n, _ in found]])
+    return letter_items(symbols, begins, (start[at + inverse] for at, (_, inverse) in zip(base, found, strict=False)), odds)
 
 
 def _codes(chunks: list[str], places: np.ndarray, begins: np.ndarray, held: np.ndarray, told: dict[int, bytes], buckets: int, bits: int) -> np.ndarray:
@@ -517,7 +570,9 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, bits: int, distinct: in
     ids, texts = block_rows(docs)
     held = np.array([is_held_out(i) for i in ids], bool)
     chunks, places, begins = places_of(texts)
-    words = [c.encode().lower().split() for c in chunks]
+    size = np.fromiter((len(t.encode()) + 1 for t in texts), np.int64, len(texts))
+    del texts
+    words = lowered(chunks)
     by_bucket = {name: dict(zip(told.column("bucket").to_pylist(), told.column(name).to_pylist(), strict=True)) for name in ("counts", "odds", "codes")}
     count: dict[bytes, int] = {}
     for bucket, own in bucketed(set().union(*words) | {END_WORD}, buckets):
@@ -532,12 +587,11 @@ def _score(docs: pa.Table, told: pa.Table, buckets: int, bits: int, distinct: in
     del words, count, flat, of
     codes = _codes(chunks, places, begins, held, by_bucket["codes"], buckets, bits)
     total = text_bits(places, codes, begins, *_letters(chunks, by_bucket["odds"], buckets, bits))
-    size = np.array([len(t.encode()) + 1 for t in texts])
     out = {"doc_id": ids, "held_out": held, "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": [tokens] * len(ids), "base_score": base, "score": -total * log10(2), "bits_per_byte": total / size}
     return pa.Table.from_batches([batch_of(out, OUT)])
 
 
-def score_documents(docs: DataFrame, block_bytes: int = 10 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = 7 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (the end counts as a byte) of every row."""
     spark = docs.sparkSession
     prepare(spark)

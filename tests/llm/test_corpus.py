@@ -120,7 +120,7 @@ def plain_scores(docs):
         symbols = [*chunk.rstrip(" ").encode(), 256 if chunk.endswith(" ") else 32]
         for i, s in enumerate(symbols):
             line = max([k + 1 for k in range(i) if symbols[k] == 10], default=0)
-            before = [tuple(symbols[max(0, i - 2) : i]), tuple(symbols[max(0, i - 4) : i]), tuple(symbols[max(line, i - 16) : i])]
+            before = [tuple(symbols[max(0, i - 2) : i]), tuple(symbols[max(0, i - 4) : i]), tuple(symbols[line:i])]
             for step, at in enumerate(range(begin[s], begin[s] + steps[s])):
                 yield 2 * min(i, 3) + min(step, 1), [(k, c, nodes[at]) for k, c in enumerate(before)], bits[at]
 
@@ -193,7 +193,7 @@ def plain_scores(docs):
 
 
 def test_bits_follow_the_mixer(spark):
-    """Every bit against a mixer in plain Python with exact contexts; hashed slots would mix some of these 2,000 words."""
+    """Every bit against a mixer in plain Python (in double precision; the operator mixes in single) with exact contexts; hashed slots would mix some of these 2,000 words."""
     rng = np.random.default_rng(9)
     words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(2_000)]
     docs = [(i, " ".join(words[at : at + 100])) for i, at in enumerate(range(0, len(words), 100))]
@@ -203,8 +203,8 @@ def test_bits_follow_the_mixer(spark):
     want = plain_scores(docs)
     assert sum(op7_lm.code()[0][b] for b in dict(docs)[103].encode()) > op7_lm.SEGMENT
     for (i, t), score in zip(docs, want, strict=True):
-        assert abs(got[i]["score"] - score) < 1e-9 * abs(score)
-        assert abs(got[i]["bits_per_byte"] * (len(t.encode()) + 1) * log10(2) + score) < 1e-9 * abs(score)
+        assert abs(got[i]["score"] - score) < 1e-5 * abs(score)
+        assert abs(got[i]["bits_per_byte"] * (len(t.encode()) + 1) * log10(2) + score) < 1e-5 * abs(score)
 
 
 def test_repeated_texts_score_apart(spark):
