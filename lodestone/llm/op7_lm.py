@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, batch_of, block_rows, doc_columns, documents, freed, materialize, mix, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed, materialize, mix, pack_bytes, pack_counts, pack_keys, prepare, unpack_bytes, unpack_counts, unpack_keys
 from lodestone.llm.op4_bpe import bucketed, join_words, split_words
 
 CONTEXTS = 3
@@ -174,26 +174,6 @@ def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, i
     return order, [(b, x, y) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys: the differences' bytes by their place."""
-    return pack_bytes(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_keys(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts, most of which are small, as bytes by their place."""
-    return pack_bytes(np.ascontiguousarray(counts.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(unpack_bytes(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
-
-
 def walks(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of each symbol, and the places of all their walks in the arrays of code(), one after another."""
     steps, begin, _, _ = code()

@@ -1,14 +1,17 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every indexed block.
+"""Substring dedup by relative Lempel-Ziv parsing against every indexed reference block.
 
-Reference blocks are ascending ranges of doc_id (see common). A block's index is the sorted hashes of the
-windows of WINDOW words that start in it, each with its first start; the indexes meet in buckets of the hash
-range, where every window learns the earliest block that holds it. Back in its block a document is factored
-greedily: a factor starts at a window with an earlier source and grows word by word while the next window has
-one in the same block. Where a factor ends the window at the boundary is looked up for itself, so no window
-that straddles two factors is missed. Factors have WINDOW words at least; their words are the duplicate spans.
+Reference blocks are ascending ranges of doc_id (see common). The hashes of all windows of WINDOW words meet
+in buckets of the hash range, where every window learns the earliest block that holds it. A block then sends each stretch of
+windows with one earlier block there, as words; equal stretches of all blocks are sent once. The reference block
+factors a stretch greedily against the index of its own windows: it looks up the window at hand, compares word by word
+with the first place that holds it, extends the match as far as both texts agree, and goes on at the factor's boundary,
+with the first window that reaches beyond it. So no window that straddles two factors is missed. Stretches whose
+source lies in their own block are factored there in the same way, against the places before them. Factors of WINDOW
+words at least become duplicate spans; each has its source document and start.
 
-A window sends one entry from each block that holds it, however often it stands there. Hashes have 64 bits
-over 64-bit word hashes: among n distinct windows a false match has a chance of about n**2 / 2**65.
+A window sends one entry from each block that holds it, however often it stands there, and a stretch is parsed once for
+all documents that share it. No word goes on the strength of a hash: words are compared. Two windows with one 64-bit
+hash can only hide a repeat (among n distinct windows and r repeated ones a chance of about n * r / 2**64).
 
 Defined results: windows are ordered by (doc_id, start), rows of one id by their text, null ids first. A null
 text has no words. Shorter documents keep all words. An empty table gives an empty result; other columns
@@ -17,21 +20,34 @@ are not read.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, documents, freed, mix, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, documents, freed, materialize, mix, pack_bytes, pack_keys, prepare, unpack_bytes, unpack_keys
 
 WINDOW = 20
 SEED = 11
 _MEMO = HashMemo(SEED)
 _BASE = 0x9E3779B97F4A7C15
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NONE = np.uint32(0xFFFFFFFF)
-SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_block", pa.int64())]))
+NO_ID = np.iinfo(np.int64).min
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())]))
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", SPAN), ("kept", pa.string())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
+#: A stretch of a block: words once for each (source, key, check), its places as pairs (row, start). Factors, where they
+#: are known, as (start in the stretch, words, source document, start there); those of the block itself in one row without a source.
+STRETCH = pa.schema([("block", pa.int64()), ("source", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("words", pa.binary()), ("places", pa.binary()), ("factors", pa.binary())])
+FACTORED = pa.schema([("source", pa.int64()), ("key", pa.int64()), ("check", pa.int64()), ("factors", pa.binary())])
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
 def window_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -45,13 +61,66 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     return mix(total)
 
 
-def _index(texts: list[str], width: int) -> tuple[list[list[bytes]], list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, windows of each, and over all windows the sorted distinct hashes, first places and inverse."""
-    words = [t.encode().split() for t in texts]
-    each = [window_hashes(w, width) for w in words]
-    hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
-    distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    return words, [len(x) for x in each], distinct, first, inverse
+class Reference:
+    """The texts of a block: all words in a row, where each text begins, and the hash and place of each window."""
+
+    def __init__(self, texts: list[str], width: int):
+        parts = [t.encode().split() for t in texts]
+        self.width = width
+        self.ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+        self.begins = np.r_[0, self.ends[:-1]].astype(np.int64)
+        each = [window_hashes(p, width) for p in parts]
+        self.sizes = np.array([len(x) for x in each], np.int64)
+        self.hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        ends = np.cumsum(self.sizes)
+        self.places = np.arange(len(self.hashes)) + np.repeat(self.begins - (ends - self.sizes), self.sizes)
+        self.words = [w for p in parts for w in p]
+
+    def text_of(self, place: int) -> int:
+        return int(np.searchsorted(self.ends, place, side="right"))
+
+    def common(self, words: list[bytes], at: int, end: int, place: int) -> int:
+        """How many words from words[at] on, up to `end`, equal those from `place` on in its text."""
+        limit = min(end - at, int(self.ends[self.text_of(place)]) - place)
+        same, step = 0, 2 * self.width
+        while same < limit:
+            step = min(step, limit - same)
+            if words[at + same : at + same + step] == self.words[place + same : place + same + step]:
+                same += step
+                step *= 2
+            elif step == 1:
+                break
+            else:
+                step = (step + 1) // 2
+        return same
+
+    def factors(self, words: list[bytes], begin: int, end: int, found: np.ndarray) -> list[tuple[int, int, int]]:
+        """Greedy factors (place in words, words, place here) of words[begin:end]; found: for the window at each place from begin on, where it first stands here, or -1."""
+        out = []
+        known = np.flatnonzero(found >= 0)
+        at = 0
+        while True:
+            at = int(np.searchsorted(known, at))
+            if at == len(known):
+                return out
+            at = int(known[at])
+            same = self.common(words, begin + at, end, int(found[at]))
+            if same < self.width:  # another window with the same hash
+                at += 1
+                continue
+            out.append((begin + at, same, int(found[at])))
+            at += same - self.width + 1
+
+    def first_places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the window of each hash first stands, or -1."""
+        wanted = np.unique(hashes)
+        if not len(wanted) or not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(wanted, self.hashes), len(wanted) - 1)
+        here = np.flatnonzero(wanted[at] == self.hashes)
+        first = np.full(len(wanted), -1)
+        first[at[here[::-1]]] = self.places[here[::-1]]
+        return first[np.searchsorted(wanted, hashes)]
 
 
 def _slices(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -65,10 +134,11 @@ def _slices(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def _send(table: pa.Table, width: int, buckets: int) -> pa.Table:
-    distinct = _index(block_rows(table)[1], width)[2]
+    each = [window_hashes(t.encode().split(), width) for t in block_rows(table)[1]]
+    distinct = np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
     cuts = _slices(distinct, buckets)
     block = table.column("block")[0].as_py()
-    return pa.Table.from_batches([batch_of({"bucket": [c[0] for c in cuts], "block": [block] * len(cuts), "payload": [distinct[a:b].tobytes() for _, a, b in cuts]}, ENTRY)])
+    return pa.Table.from_batches([batch_of({"bucket": [c[0] for c in cuts], "block": [block] * len(cuts), "payload": [pack_keys(distinct[a:b]) for _, a, b in cuts]}, ENTRY)])
 
 
 def _find(table: pa.Table) -> pa.Table:
@@ -76,7 +146,7 @@ def _find(table: pa.Table) -> pa.Table:
     blocks = table.column("block").to_numpy()
     order = np.argsort(blocks, kind="stable")
     payloads = table.column("payload")
-    arrays = [np.frombuffer(payloads[int(i)].as_buffer(), np.uint64) for i in order]
+    arrays = [unpack_keys(payloads[int(i)].as_py()) for i in order]
     sizes = [len(a) for a in arrays]
     hashes = np.concatenate(arrays)
     owner = np.repeat(blocks[order].astype(np.uint32), sizes)
@@ -92,62 +162,136 @@ def _find(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch_of(out, ENTRY)])
 
 
-def factors(source: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (first word, words, source block) of one document; source: of each window, -1 for none."""
-    if not len(source):
-        return []
-    starts = np.flatnonzero(np.r_[True, source[1:] != source[:-1]])
-    ends = np.r_[starts[1:], len(source)]
-    return [(int(a), int(b - a + width - 1), int(source[a])) for a, b in zip(starts, ends, strict=True) if source[a] >= 0]
-
-
-def _remove(docs: pa.Table, answers: pa.Table, width: int, buckets: int, carry: tuple[str, ...], layout: bool) -> pa.Table:
+def _stretches(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
+    """Stretches of a block's documents whose source is another block, and the factors of those whose source is this one."""
     block = docs.column("block")[0].as_py()
-    rows = block_table(docs)
-    ids, texts = rows.column("doc_id").to_pylist(), [t or "" for t in rows.column("text").to_pylist()]
-    words, sizes, distinct, first, inverse = _index(texts, width)
+    ids, texts = block_rows(docs)
+    here = Reference(texts, width)
+    del texts
+    distinct, first, inverse = np.unique(here.hashes, return_index=True, return_inverse=True)
     got = dict(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))
     of_hash = np.full(len(distinct), -1, np.int64)
     for bucket, a, b in _slices(distinct, buckets):
         part = np.frombuffer(unpack_bytes(got[bucket]), np.uint32)
         of_hash[a:b] = np.where(part == NONE, -1, part.astype(np.int64))
     source = of_hash[inverse]
-    later = (source < 0) & (first[inverse] != np.arange(len(inverse)))  # earlier in this block itself
-    source[later] = block
+    repeat = first[inverse]  # the first window here with the same hash
+    own = np.where((source < 0) & (repeat != np.arange(len(repeat))), here.places[repeat] if len(repeat) else repeat, -1)
+    rows: dict[tuple[int, int, int], list] = {}
+    local: list[tuple] = []
+    places: list[tuple[int, int]] = []
+    ends = np.cumsum(here.sizes)
+    for row in np.flatnonzero(here.sizes).tolist():
+        span = slice(int(ends[row] - here.sizes[row]), int(ends[row]))
+        begin, end, of = int(here.begins[row]), int(here.ends[row]), source[span]
+        if (own[span] >= 0).any():
+            for at, length, place in here.factors(here.words, begin, end, own[span]):
+                text = here.text_of(place)
+                places.append((row, at - begin))
+                local.append((0, length, NO_ID if ids[text] is None else ids[text], place - int(here.begins[text])))
+        if (of >= 0).any():
+            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True])
+            for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+                if of[a] >= 0:
+                    words = b" ".join(here.words[begin + a : begin + b + width - 1])
+                    key = (int(of[a]), xxhash.xxh64_intdigest(words, 1) >> 1, xxhash.xxh64_intdigest(words, 2) >> 1)
+                    rows.setdefault(key, [words]).append((row, a))
+    out: dict[str, list] = {f.name: [] for f in STRETCH}
+    flat = lambda x: np.array(x, np.int64).tobytes()
+    found = [(block, *key, pack_bytes(value[0]), flat(value[1:]), None) for key, value in rows.items()]
+    if local:
+        found.append((block, None, None, None, None, flat(places), flat(local)))
+    for values in found:
+        for name, value in zip(out, values, strict=True):
+            out[name].append(value)
+    return pa.Table.from_batches([batch_of(out, STRETCH)])
+
+
+def _parse(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
+    """The factors of all stretches that name this block as their source."""
+    out: dict[str, list] = {f.name: [] for f in FACTORED}
+    if docs.num_rows and asked.num_rows:
+        block = docs.column("block")[0].as_py()
+        ids, texts = block_rows(docs)
+        here = Reference(texts, width)
+        del texts
+        stretches = [unpack_bytes(w.as_py()).split(b" ") for w in asked.column("words")]
+        hashes = [window_hashes(words, width) for words in stretches]
+        first = here.first_places(np.concatenate(hashes))
+        at = 0
+        for key, check, words, own in zip(asked.column("key").to_pylist(), asked.column("check").to_pylist(), stretches, hashes, strict=True):
+            found = []
+            for start, length, place in here.factors(words, 0, len(words), first[at : at + len(own)]):
+                text = here.text_of(place)
+                found.append((start, length, NO_ID if ids[text] is None else ids[text], place - int(here.begins[text])))
+            at += len(own)
+            for name, value in zip(out, (block, key, check, np.array(found, np.int64).tobytes()), strict=True):
+                out[name].append(value)
+    return pa.Table.from_batches([batch_of(out, FACTORED)])
+
+
+def without(text: bytes, spans: list[re.Match], hit: np.ndarray) -> str:
+    """The text without the words that are hit and the white space after each."""
+    out, at = [], 0
+    edges = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        out.append(text[at : spans[a].start()])
+        at = spans[b].start() if b < len(spans) else len(text)
+    return b"".join([*out, text[at:]]).decode()
+
+
+def _remove(docs: pa.Table, factored: pa.Table, carry: tuple[str, ...], layout: bool) -> pa.Table:
+    rows = block_table(docs)
+    ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+    of_row: dict[int, list[tuple]] = {}
+    for places, factors, whole in zip(factored.column("places"), factored.column("factors"), factored.column("source").is_valid().to_pylist(), strict=True):
+        at = np.frombuffer(places.as_py(), np.int64).reshape(-1, 2).tolist()
+        found = np.frombuffer(factors.as_py(), np.int64).reshape(-1, 4).tolist()
+        pairs = ((p, f) for p in at for f in found) if whole else zip(at, found, strict=True)
+        for (row, start), (offset, length, doc, source_start) in pairs:
+            of_row.setdefault(row, []).append((start + offset, length, doc, source_start))
     out: dict[str, list] = {f.name: [] for f in OUT}
-    at = 0
-    for doc_id, text, own, n in zip(ids, texts, words, sizes, strict=True):
-        spans = factors(source[at : at + n], width)
-        at += n
+    for row, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
+        own = (text or "").encode().split()
+        spans = sorted(of_row.get(row, ()))
         hit = np.zeros(len(own), bool)
-        for start, length, _ in spans:
+        for start, length, _, _ in spans:
             hit[start : start + length] = True
         removed = int(hit.sum())
-        kept = b" ".join([w for w, gone in zip(own, hit.tolist(), strict=True) if not gone] if removed else own).decode()
-        values = (doc_id, len(own), removed, [{"start": a, "length": b, "source_block": c} for a, b, c in spans], text if layout and not removed else kept)
+        if layout:
+            kept = without(text.encode(), list(_WORD.finditer(text.encode())), hit) if removed else text
+        else:
+            kept = b" ".join([w for w, gone in zip(own, hit.tolist(), strict=True) if not gone] if removed else own).decode()
+        values = (doc_id, len(own), removed, [{"start": a, "length": b, "source_doc": None if c == NO_ID else c, "source_start": d} for a, b, c, d in spans], kept)
         for name, value in zip(out, values, strict=True):
             out[name].append(value)
-    found = pa.Table.from_batches([batch_of(out, OUT)])
+    done = pa.Table.from_batches([batch_of(out, OUT)])
     for c in carry:
-        found = found.append_column(c, rows.column(c))
-    return found
+        done = done.append_column(c, rows.column(c))
+    return done
 
 
 def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 << 20, carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, spans (start, length, source_block) and kept (words joined by a space) of every row.
+    """doc_id, n_words, n_removed, spans (start, length, source_doc, source_start) and kept (words joined by a space) of every row.
 
-    carry: further columns of docs to return; their names must differ from these. layout: a text that loses
-    no word is kept as it is, with its white space.
+    carry: further columns of docs to return; their names must differ from these. layout: kept is the text itself, a null
+    too, without the words that go and the white space after each.
     """
     prepare(docs.sparkSession)
     blocks = Blocks(docs, block_bytes, carry)
-    buckets = blocks.n
-    sent = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_send(t, width, buckets)), "bucket long, block long, payload binary")
+    buckets, frame = blocks.n, blocks.frame
+    sent = frame.groupBy("block").applyInArrow(lambda t: freed(_send(t, width, buckets)), "bucket long, block long, payload binary")
     found = sent.groupBy("bucket").applyInArrow(lambda t: freed(_find(t)), "bucket long, block long, payload binary")
-    both = blocks.frame.groupBy("block").cogroup(found.groupBy("block"))
-    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long,source_block:long>>, kept string"
+    asked = frame.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda left, right: freed(_stretches(left, right, width, buckets)), ddl(STRETCH))
+    asked = materialize(asked, "stretches")
+    distinct = asked.where("source is not null").groupBy("source", "key", "check").agg(F.first("words").alias("words"))
+    factored = frame.groupBy("block").cogroup(distinct.withColumnRenamed("source", "block").groupBy("block")).applyInArrow(lambda left, right: freed(_parse(left, right, width)), ddl(FACTORED))
+    remote = asked.select("block", "source", "key", "check", "places").join(factored, ["source", "key", "check"]).select("block", "source", "places", "factors")
+    local = asked.where("source is null").select("block", "source", "places", "factors")
+    both = frame.groupBy("block").cogroup(remote.unionByName(local).groupBy("block"))
+    schema = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,length:long,source_doc:long,source_start:long>>, kept string"
     schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return both.applyInArrow(lambda left, right: freed(_remove(left, right, width, buckets, carry, layout)), schema)
+    return both.applyInArrow(lambda left, right: freed(_remove(left, right, carry, layout)), schema)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

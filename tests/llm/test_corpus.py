@@ -4,11 +4,13 @@ from collections import Counter, defaultdict
 from math import exp, log, log2, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
 from lodestone.llm import op5_neardup, op7_lm, op8_substring, op10_licenses
+from lodestone.llm.common import _pack, pack_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -241,12 +243,40 @@ def test_substrings(spark, odd, rows, empty, block):
             seen.add(w)
         want[doc_id, len(words), sum(hit), " ".join(w for w, h in zip(words, hit, strict=True) if not h)] += 1
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == want
+    texts = defaultdict(list)
+    for r in rows:
+        texts[r[0]].append(WORD.findall(r[1] or ""))
     for r in got:
         assert all(s["length"] >= 20 for s in r["spans"])
         assert len({k for s in r["spans"] for k in range(s["start"], s["start"] + s["length"])}) == r["n_removed"]
+        for s in r["spans"]:  # a copy of the source it names, word by word, which lies before it
+            assert any(own[s["start"] : s["start"] + s["length"]] == source[s["source_start"] : s["source_start"] + s["length"]] for own in texts[r["doc_id"]] if len(own) == r["n_words"] for source in texts[s["source_doc"]])
+            assert (s["source_doc"] is not None, s["source_doc"] or 0) <= (r["doc_id"] is not None, r["doc_id"] or 0)
+            assert s["source_doc"] != r["doc_id"] or len(texts[r["doc_id"]]) > 1 or s["source_start"] < s["start"]
     assert op8_substring.remove_repeats(empty).count() == 0
 
 
+def test_layout_and_nulls_stay(spark):
+    passage = "\n".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "a\n" + passage), (2, None), (3, "b \n\n c\t" + passage + "\n\nd  e\n"), (4, " x \n y ")], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in op8_substring.remove_repeats(docs, layout=True).collect()}
+    assert got == {1: "a\n" + passage, 2: None, 3: "b \n\n c\td  e\n", 4: " x \n y "}
+
+
+def test_equal_hashes_remove_nothing(monkeypatch):
+    """All windows share one hash: only words decide."""
+    monkeypatch.setattr(op8_substring, "window_hashes", lambda words, width: np.full(max(0, len(words) - width + 1), 5, np.uint64))
+    texts = [" ".join(f"{c}{i}" for i in range(50)) for c in "abc"]
+    block = lambda texts, n: pa.Table.from_batches(list(_pack(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})]), np.zeros(0, np.int64)))).set_column(0, "block", pa.array([n], pa.int64()))
+    none = pa.table({"bucket": [0], "payload": [pack_bytes(np.array([op8_substring.NONE]).tobytes())]})
+    assert op8_substring._stretches(block(texts, 0), none, 20, 1).num_rows == 0
+    earlier = pa.table({"bucket": [0], "payload": [pack_bytes(np.array([0], np.uint32).tobytes())]})
+    asked = op8_substring._stretches(block(texts[1:] + texts[:1], 1), earlier, 20, 1)
+    assert asked.num_rows == 3
+    got = op8_substring._parse(block(texts, 0), asked, 20)
+    assert [len(f.as_py()) for f in got.column("factors")] == [0, 0, 32]  # the copy of the first text alone
+
+
 def test_licenses(spark, odd, rows, empty):
     mit = op10_licenses.TEMPLATES[0][1]
     words = mit.split()
