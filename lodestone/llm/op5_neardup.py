@@ -1,17 +1,18 @@
 """SimHash near-dedup through a Gray-order hierarchical index.
 
-Distinct fingerprints stand under upper nodes, each a mask of bits that all fingerprints below it share
-and their value. The roots are three masks of 21 or 22 bits: fingerprints that differ in at most two bits
-agree on one of them. A node with more than NODE_LIMIT fingerprints gets three children, which fix a third
-of its free bits each, and again at most two differences leave one child shared; after three levels a
-node has 20 free bits, which bounds its size for good. Below a node, fingerprints in the order of their Gray
-rank are cut into leaves of LEAF and, FANOUT at a time, into inner nodes with shared masked patterns; a
-search walks down from all pairs of a fingerprint and a root and drops a whole group as soon as its
-accumulated differences exceed the radius.
-
-A node reports for each fingerprint only the least one it is connected with inside the node, never all
+Distinct fingerprints are sorted by their Gray rank and cut into ranges; each range is a subtree of one index.
+A node of the index holds the bits that all fingerprints below it share, less those its parent holds already. A search
+walks down from the roots, adds up its differences from the bits of the nodes it meets, and drops a whole group as soon
+as the sum exceeds the radius. Over the ranges stands one more tree, built on the driver from the shared bits of each
+range (at most MOST_RANGES rows); every fingerprint walks it first and is sent to those earlier ranges that may hold a neighbour.
+There, and within its own range, the walk goes on to leaves of LEAF fingerprints. Guests of a range come in lots of LOT.
+
+A lot reports for each fingerprint only the least one it is connected with inside the lot, never all
 pairs; stars over those edges give the components.
 
+The operator takes other fingerprints as well, with a radius, a group number (size classes: only fingerprints of neighbouring
+classes link) and a second, wide fingerprint that must be near, too. keep_one() uses these for five-word similarity: see there.
+
 Defined results: null texts, empty texts and texts without words have the zero fingerprint and link like
 any other. Repeated rows share a component. A null id is never a component's id unless the component has no
 other, which then gets a null. Empty tables give empty results.
@@ -20,6 +21,7 @@ other, which then gets a null. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import batch_of, doc_columns, documents, freed, materialize, prepare
+from lodestone.llm.common import HashMemo, doc_columns, documents, freed, materialize, mix, prepare
 from lodestone.llm.graph import components
 
 RADIUS = 2
 WIDTH = 3
-NODE_LIMIT = 50_000
-LEAF, FANOUT = 32, 16
-SPLITS = 3  # RADIUS + 1 parts, so that one is free of differences
-LEVELS = 3
+LEAF, FANOUT = 16, 8
+#: Ranges: one for so many fingerprints, but at least LEAST_RANGES where they suffice, and at most MOST_RANGES.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 20, 64, 1024
+LOT = 1 << 20  # guests of a range that are searched together
+FRONTIER = 1 << 21  # pairs of a search and a node that are looked at together
+#: Near duplicates: five-word shingles of similarity 0.8 or more. Fingerprints of distinct words within NEAR bits, and of
+#: the shingles within NEAR_WIDE of 256 bits (38 are expected at 0.8). Sizes differ by at most a class of ratio 1 / 0.8.
+NEAR_WORDS, NEAR, NEAR_WIDE, SIMILAR = 5, 6, 44, 0.8
 
 
 def fingerprint(text: str) -> int:
@@ -69,40 +75,70 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return doc_columns(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+_MEMO = HashMemo(3)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+WIDE = 4  # 64-bit words of a wide fingerprint
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def similarity_print(text: str) -> tuple[int, bytes, int]:
+    """Fingerprint of a text's distinct words (A-Z lower-cased), wide fingerprint of its distinct five-word shingles (a shorter
+    text is one), and size class by their number."""
+    words = text.encode().lower().split()
+    if not words:
+        return 0, bytes(8 * WIDE), -1
+    hashes = _MEMO.hashes(words)
+    n = max(1, len(words) - NEAR_WORDS + 1)
+    shingles = hashes[:n].copy()
+    for k in range(1, min(NEAR_WORDS, len(words))):
+        shingles = mix(shingles * _MUL + hashes[k : k + n])
+    shingles = np.unique(shingles)
+    wide = [majority(mix(shingles + np.uint64(k) * _MUL)) for k in range(WIDE)]
+    return majority(np.unique(hashes)), np.array(wide, np.uint64).tobytes(), int(log(len(shingles)) / -log(SIMILAR))
+
+
 def stamp(docs: DataFrame) -> DataFrame:
-    """docs and the column fp, written once, with a row number uid: every reader sees the same rows and numbers."""
+    """docs and the columns fp, wide and grp of similarity_print(), written once, with a row number uid: every reader sees the same rows and numbers."""
     prepare(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t or "") for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], names=[*names, "fp"])
+            found = [similarity_print(t or "") for t in batch.column(at).to_pylist()]
+            prints = pa.array(np.array([f for f, _, _ in found], np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints, pa.array([w for _, w, _ in found], pa.binary()), pa.array([g for _, _, g in found], pa.int64())], names=[*names, "fp", "wide", "grp"])
             freed()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return materialize(docs.mapInArrow(run, f"{schema}, fp long").withColumn("uid", F.monotonically_increasing_id()), "stamped")
+    return materialize(docs.mapInArrow(run, f"{schema}, fp long, wide binary, grp long").withColumn("uid", F.monotonically_increasing_id()), "stamped")
 
 
-def keep_one(docs: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
-    """The row of the least (doc_id, text) in each group of near duplicates, null ids last. docs must have no columns fp or uid."""
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The row of the least (doc_id, text) in each group of near duplicates, null ids last.
+
+    Near duplicates have a five-word similarity of 0.8 or more, as their fingerprints tell it: candidates are fingerprints of
+    distinct words within NEAR bits (a few edits in a text change few words but five shingles each), which link if their wide fingerprints
+    of shingles are within NEAR_WIDE bits as well. Groups are what such links connect. docs must have no columns fp, wide, grp or uid."""
     rows = stamp(docs)
-    found = components_of(rows.select(F.col("uid").alias("doc_id"), "fp"), limit).select(F.col("doc_id").alias("uid"), "component_id")
+    elements = materialize(rows.groupBy("fp", "wide", "grp").agg(F.min("uid").alias("key")), "distinct-prints")
+    member = components(near_edges(elements, NEAR, NEAR_WIDE, 1, least_ranges=16))
+    root_of = elements.join(member.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("fp", "wide", "grp", F.coalesce("root", "key").alias("root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("uid").alias("uid"))
-    first = rows.select("uid", rank.alias("rank")).join(found, "uid").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.uid")
+    of_element = rows.groupBy("fp", "wide", "grp").agg(F.min(rank).alias("rank"))
+    first = of_element.join(root_of, ["fp", "wide", "grp"]).groupBy("root").agg(F.min("rank").alias("rank")).select("rank.uid")
     return rows.join(first, "uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def child_masks(mask: int) -> list[int]:
-    """mask with one third of its free bits fixed as well, for each third."""
-    free = [b for b in range(64) if not mask >> b & 1]
-    cuts = [round(i * len(free) / SPLITS) for i in range(SPLITS + 1)]
-    return [mask | sum(1 << b for b in free[cuts[i] : cuts[i + 1]]) for i in range(SPLITS)]
+def signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -135,122 +171,174 @@ class Union:
 
 
 class GrayIndex:
-    """Hierarchical index over distinct uint64 codes in Gray order."""
-
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = codes[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # shared mask and value of each node, the leaves first
-        low = high = self.codes
-        width = LEAF
-        while True:
+    """Hierarchical index over uint64 codes, sorted by (group, Gray rank).
+
+    lows and highs: bits that all and any code below each entry have, for an index over ranges; codes themselves else.
+    """
+
+    def __init__(self, lows: np.ndarray, highs: np.ndarray, least: np.ndarray, most: np.ndarray, leaf: int = LEAF):
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = []  # own bits, value, least and greatest group, entries a node; the leaves first
+        self.tested = self.dropped = 0
+        rows = [(lows, highs, least, most)]
+        widths = [1]
+        while len(rows[-1][0]) > FANOUT:
+            width = leaf if len(rows) == 1 else FANOUT
+            low, high, least, most = rows[-1]
             starts = np.arange(0, len(low), width)
-            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
-            self.levels.append((~(low ^ high), low))
-            if len(low) <= FANOUT:
-                return
-            width = FANOUT
-
-    def pairs(self, radius: int, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (in self.codes) i < j of all codes within the radius, a block of searches at a time."""
-        for at in range(0, len(self.codes), step):
-            found = np.arange(at, min(at + step, len(self.codes)))
-            query, node = (x.ravel() for x in np.meshgrid(found, np.arange(len(self.levels[-1][0])), indexing="ij"))
-            for depth in range(len(self.levels) - 1, -1, -1):
-                mask, value = self.levels[depth]
-                near = np.bitwise_count((self.codes[query] ^ value[node]) & mask[node]) <= radius
-                width, n = (LEAF, len(self.codes)) if depth == 0 else (FANOUT, len(self.levels[depth - 1][0]))
-                query, node = np.repeat(query[near], width), (node[near, None] * width + np.arange(width)).ravel()
-                inside = node < n
-                query, node = query[inside], node[inside]
-            near = (query < node) & (np.bitwise_count(self.codes[query] ^ self.codes[node]) <= radius)
-            yield query[near], node[near]
-
-
-def local_roots(codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For distinct codes of one node: the least (signed) code that each is connected with there."""
-    index = GrayIndex(codes)
-    sets = Union(len(codes))
-    for i, j in index.pairs(radius):
+            rows.append((np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
+            widths.append(width)
+        for k, (low, high, least, most) in enumerate(rows):
+            own = ~(low ^ high)
+            if k + 1 < len(rows):  # what the parent holds already is not held again
+                above = ~(rows[k + 1][0] ^ rows[k + 1][1])
+                own = own & ~np.repeat(above, widths[k + 1])[: len(own)]
+            self.levels.append((own, low, least, most, widths[k]))
+
+    def near(self, codes: np.ndarray, groups: np.ndarray, radius: int, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place in codes, entry) within the radius and with groups at most `apart`, some at a time.
+
+        For entries that are ranges: those that may hold such a code."""
+        top = len(self.levels) - 1
+        step = max(1, FRONTIER // max(1, len(self.levels[top][0])))
+        for at in range(0, len(codes) if len(self.levels[0][0]) else 0, step):
+            query, node = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, len(codes)), dtype=np.int32), np.arange(len(self.levels[top][0]), dtype=np.int32), indexing="ij"))
+            waiting = [(top, query, node, np.zeros(len(query), np.uint8))]
+            while waiting:
+                depth, query, node, sum_ = waiting.pop()
+                own, value, least, most, width = self.levels[depth]
+                sum_ = sum_ + np.bitwise_count((codes[query] ^ value[node]) & own[node])
+                good = sum_ <= radius
+                of = groups[query]
+                good &= (least[node] <= of + apart) & (most[node] >= of - apart)
+                self.tested += len(good)
+                query, node, sum_ = query[good], node[good], sum_[good]
+                self.dropped += len(good) - len(query)
+                if depth == 0:
+                    yield query, node
+                    continue
+                n = len(self.levels[depth - 1][0])
+                each = max(1, FRONTIER // width)
+                for cut in range(0, len(query), each):
+                    own_query, own_sum = np.repeat(query[cut : cut + each], width), np.repeat(sum_[cut : cut + each], width)
+                    below = (node[cut : cut + each, None] * np.int32(width) + np.arange(width, dtype=np.int32)).ravel()
+                    if below.max() >= n:
+                        there = below < n
+                        own_query, own_sum, below = own_query[there], own_sum[there], below[there]
+                    waiting.append((depth - 1, own_query, below, own_sum))
+
+
+def index_of(codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, GrayIndex]:
+    """The order of the codes, and the index over them in that order."""
+    order = np.lexsort((gray_rank(codes), groups))
+    return order, GrayIndex(codes[order], codes[order], groups[order], groups[order])
+
+
+ELEMENT = pa.schema([("range", pa.int64()), ("lot", pa.int64()), ("guest", pa.bool_()), ("key", pa.int64()), ("fp", pa.int64()), ("grp", pa.int64()), ("wide", pa.binary())])
+ELEMENTS = "range long, lot long, guest boolean, key long, fp long, grp long, wide binary"
+
+
+def _route(batches: Iterator[pa.RecordBatch], ranges: np.ndarray, tree: GrayIndex, radius: int, apart: int) -> Iterator[pa.RecordBatch]:
+    """Every element as a guest of the earlier ranges that may hold a neighbour."""
+    names = [f.name for f in ELEMENT]
+    for batch in batches:
+        own = np.searchsorted(ranges, batch.column("range").to_numpy())
+        for query, entry in tree.near(batch.column("fp").to_numpy().view(np.uint64), batch.column("grp").to_numpy(), radius, apart):
+            there = entry < own[query]
+            rows = batch.take(pa.array(query[there]))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges[entry[there]], pa.int64()), pa.array(np.zeros(rows.num_rows, np.int64)), pa.array(np.ones(rows.num_rows, bool)), *[rows.column(c) for c in names[3:]]], names=names)
+
+
+def _connect(table: pa.Table, radius: int, wide_radius: int | None, apart: int) -> tuple[np.ndarray, np.ndarray, GrayIndex]:
+    """The keys of a lot, for each the least key it is connected with there, and the index that was searched. Members
+    search among themselves in the first lot alone."""
+    guest = table.column("guest").to_numpy(zero_copy_only=False)
+    table = pa.concat_tables([table.filter(pa.array(~guest)), table.filter(pa.array(guest))]).combine_chunks()
+    n = int((~guest).sum())
+    keys, codes, groups = table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("grp").to_numpy()
+    wide = None
+    if wide_radius is not None:
+        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64).reshape(len(keys), -1)
+    order, index = index_of(codes[:n], groups[:n])
+    sets = Union(len(keys))
+    asking = np.arange(len(keys)) if table.column("lot")[0].as_py() == 0 else np.arange(n, len(keys))
+    for query, entry in index.near(codes[asking], groups[asking], radius, apart):
+        i, j = asking[query], order[entry]
+        once = (i >= n) | (i < j)
+        i, j = i[once], j[once]
+        if wide is not None:
+            close = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_radius
+            i, j = i[close], j[close]
         sets.link(i, j)
-    values = index.codes.view(np.int64)
-    least = np.full(len(codes), np.iinfo(np.int64).max)
-    np.minimum.at(least, sets.root, values)
-    out = np.empty(len(codes), np.int64)
-    out[index.order] = least[sets.root]
-    return out
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (mask, value, fp): the edges of each node. Rows wait until their node is complete."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    held = np.zeros((0, 3), np.int64)
-
-    def edges(rows: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]) if len(rows) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(rows)])
-        fps, u, v = np.ascontiguousarray(rows[:, 2]), [], []
-        pair = starts[sizes == 2]  # most nodes hold two: compared all at once
-        close = np.bitwise_count((fps[pair] ^ fps[pair + 1]).view(np.uint64)) <= RADIUS
-        u.append(np.maximum(fps[pair], fps[pair + 1])[close])
-        v.append(np.minimum(fps[pair], fps[pair + 1])[close])
-        for at, size in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            part = fps[at : at + size]
-            root = local_roots(part.view(np.uint64))
-            u.append(part[part != root])
-            v.append(root[part != root])
-        return batch_of({"u": np.concatenate(u), "v": np.concatenate(v)}, schema)
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, sets.root, keys)
+    return keys, least[sets.root], index
 
-    for batch in batches:
-        held = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])]) if batch.num_rows else held
-        if len(held):
-            last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))
-            done = last[-1] + 1 if len(last) else 0
-            if done:
-                yield edges(held[:done])
-                held = held[done:]
-    if len(held):
-        yield edges(held)
-
-
-def near_edges(distinct: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints (long column fp) within the radius."""
-    nodes = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
-    found: DataFrame | None = None
-    masks = [0]
-    for level in range(LEVELS):
-        masks_of = {m: child_masks(m) for m in masks}
-        masks = [c for kids in masks_of.values() for c in kids]
-        kids = None
-        for m, own in masks_of.items():
-            arm = F.array(*[F.lit(signed(c)).cast("long") for c in own])
-            kids = F.when(F.col("mask") == signed(m), arm) if kids is None else kids.when(F.col("mask") == signed(m), arm)
-        below = nodes.select("fp", F.explode(kids).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
-        last = level + 1 == LEVELS
-        sizes = below.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-        hot = None
-        if not last:
-            hot = materialize(sizes.where(F.col("n") > limit), "hot-nodes")
-            if hot.isEmpty():
-                hot = None
-        small = below.join(sizes if hot is None else sizes.where(F.col("n") <= limit), ["mask", "value"]).select("mask", "value", "fp")
-        edges = small.repartition("mask", "value").sortWithinPartitions("mask", "value", "fp").mapInArrow(_search, "u long, v long")
-        found = edges if found is None else found.unionAll(edges)
-        if hot is None:
-            break
-        nodes = below.join(hot, ["mask", "value"], "left_semi").select("fp", "mask")
-    return found
-
-
-def near_duplicates(docs: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
+
+def _edges(table: pa.Table, radius: int, wide_radius: int | None, apart: int) -> pa.Table:
+    keys, least, _ = _connect(table, radius, wide_radius, apart)
+    far = keys != least
+    return pa.table({"u": pa.array(keys[far]), "v": pa.array(least[far])})
+
+
+def lots(elements: DataFrame, radius: int, apart: int = 0, least_ranges: int = LEAST_RANGES, lot: int = LOT) -> DataFrame:
+    """Members of each range and the guests that the tree over the ranges sends there, in lots."""
+    spark = elements.sparkSession
+    n = elements.count()
+    ranges = max(1, min(least_ranges, n // 1024), min(MOST_RANGES, n // RANGE_ROWS))
+    prefix = elements.withColumn("rank", F.col("fp"))
+    for shift in (1, 2, 4, 8, 16, 32):
+        prefix = prefix.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", shift)))
+    prefix = prefix.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))  # in signed order
+    dealt = prefix.repartitionByRange(ranges, "grp", "rank").withColumn("range", F.spark_partition_id().cast("long"))
+    dealt = materialize(dealt.select("range", "key", "fp", "grp", "wide"), "ranges")
+    # at most MOST_RANGES rows reach the driver
+    shared = sorted(dealt.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp"), F.min("grp"), F.max("grp")).collect())
+    table = np.array([tuple(r) for r in shared], np.int64).reshape(-1, 5)
+    numbers, low, high, first, last = np.ascontiguousarray(table.T)
+    tree = GrayIndex(low.view(np.uint64), high.view(np.uint64), first, last, FANOUT)
+    guests = materialize(dealt.mapInArrow(lambda it: _route(it, numbers, tree, radius, apart), ELEMENTS), "guests")
+    members = dealt.select("range", F.lit(0).cast("long").alias("lot"), F.lit(False).alias("guest"), "key", "fp", "grp", "wide")
+    many = {r["range"]: -(-r["n"] // lot) for r in guests.groupBy("range").agg(F.count("*").alias("n")).collect()}  # as many rows
+    if max(many.values(), default=1) > 1:
+        sizes = spark.createDataFrame(sorted(many.items()), "range long, lots long")
+        guests = guests.join(F.broadcast(sizes), "range").withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots"))).select(*[f.name for f in ELEMENT])
+        members = members.drop("lot").join(F.broadcast(sizes), "range", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1))).select(*[f.name for f in ELEMENT])
+    return members.unionByName(guests)
+
+
+def near_edges(elements: DataFrame, radius: int = RADIUS, wide_radius: int | None = None, apart: int = 0, least_ranges: int = LEAST_RANGES, lot: int = LOT) -> DataFrame:
+    """Edges (u, v) of keys that connect all elements within the radius.
+
+    elements: a written table (key, fp, and, for a wide_radius, wide), distinct in its keys; with grp, only elements
+    whose groups differ by at most `apart` link."""
+    for name, kind in (("grp", "long"), ("wide", "binary")):
+        if name not in elements.columns:
+            elements = elements.withColumn(name, F.lit(0 if name == "grp" else None).cast(kind))
+    dealt = lots(elements, radius, apart, least_ranges, lot)
+    return dealt.groupBy("range", "lot").applyInArrow(lambda t: freed(_edges(t, radius, wide_radius, apart)), "u long, v long")
+
+
+def pruning(elements: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """For each range: its members and guests, the pairs of a search and a node that were looked at, and those that were dropped there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, _, index = _connect(table, radius, None, 0)
+        guests = int(np.count_nonzero(table.column("guest").to_numpy(zero_copy_only=False)))
+        return pa.table({"range": [table.column("range")[0].as_py()], "members": [len(keys) - guests], "guests": [guests], "tested": [index.tested], "dropped": [index.dropped]})
+
+    dealt = lots(elements.select("key", "fp", F.lit(0).cast("long").alias("grp"), F.lit(None).cast("binary").alias("wide")), radius)
+    return dealt.groupBy("range", "lot").applyInArrow(run, "range long, members long, guests long, tested long, dropped long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    return components_of(materialize(fingerprints(docs), "fingerprints"), limit)
+    return components_of(materialize(fingerprints(docs), "fingerprints"))
 
 
-def components_of(prints: DataFrame, limit: int = NODE_LIMIT) -> DataFrame:
+def components_of(prints: DataFrame, least_ranges: int = LEAST_RANGES, lot: int = LOT) -> DataFrame:
     """(doc_id, fp, component_id) of every row of a written table (doc_id, fp)."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    member = components(near_edges(distinct, limit))
+    member = components(near_edges(distinct.select(F.col("fp").alias("key"), "fp"), least_ranges=least_ranges, lot=lot))
     root_of = distinct.join(member.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = root_of.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = root_of.join(least, "root").select("fp", "component_id")

@@ -54,11 +54,16 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = _MEMO.hashes(words)
-    total = np.zeros(n, np.uint64)
-    for k in range(width):
-        total = total * np.uint64(_BASE) + h[k : k + n]
-    return mix(total)
+    part, size = _MEMO.hashes(words), 1  # of `size` words from each on; doubled, and added up to the width
+    total, have = None, 0
+    while True:
+        if width & size:
+            total = part if total is None else part[: len(words) - have - size + 1] * np.uint64(pow(_BASE, have, 1 << 64)) + total[size:]
+            have += size
+        if 2 * size > width:
+            return mix(total)
+        part = part[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + part[size:]
+        size *= 2
 
 
 class Reference:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from math import exp, log, log2, log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -41,22 +42,20 @@ def plain_components(fps, radius=2):
 
 
 def test_near_duplicates(spark, odd, rows, empty):
-    small = [r for r in rows if len(r[1] or "") < 20_000]
-    got = op5_neardup.near_duplicates(odd.where("coalesce(length(text), 0) < 20000")).collect()
-    fps = [plain_fingerprint(r[1] or "") for r in small]
+    got = op5_neardup.near_duplicates(odd).collect()
+    fps = [plain_fingerprint(r[1] or "") for r in rows]
     groups = plain_components(fps)
     least = {}
-    for g, r in zip(groups, small, strict=True):
+    for g, r in zip(groups, rows, strict=True):
         if r[0] is not None:
             least[g] = min(least.get(g, r[0]), r[0])
-    want = Counter((r[0], f, least.get(g)) for r, f, g in zip(small, fps, groups, strict=True))
+    want = Counter((r[0], f, least.get(g)) for r, f, g in zip(rows, fps, groups, strict=True))
     assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
     assert op5_neardup.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("limit", [1, 4, 50_000])
-def test_index_finds_chains(spark, limit):
-    """Planted chains, dense families and far values, for any size of a node."""
+def planted_codes():
+    """Chains, dense families and far values."""
     rng = np.random.default_rng(7)
     codes = set()
     for _ in range(12):
@@ -66,19 +65,67 @@ def test_index_finds_chains(spark, limit):
             c ^= sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False))
     hub = int(rng.integers(0, 2**63))
     codes |= {hub ^ (1 << i) for i in range(64)} | {0, 1, 3, 2**64 - 1}
-    codes = sorted(codes)
-    prints = spark.createDataFrame([(i, op5_neardup.signed(c)) for i, c in enumerate(codes)], "doc_id long, fp long")
-    got = {r["doc_id"]: r["component_id"] for r in op5_neardup.components_of(prints, limit).collect()}
-    assert [got[i] for i in range(len(codes))] == plain_components(codes)
+    codes |= {int(x) for x in rng.integers(0, 2**63, 4000)}
+    return sorted(codes)
 
 
-def test_gray_index_is_exact():
+@pytest.mark.parametrize("lot", [100, 1 << 20])
+def test_index_finds_chains(spark, lot):
+    """Across ranges and lots."""
+    codes = planted_codes()
+    prints = spark.createDataFrame([(i, op5_neardup.signed(c)) for i, c in enumerate(codes)], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in op5_neardup.components_of(prints, lot=lot).collect()}
+    close = np.array(codes, np.uint64)
+    near = [(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(close[:i] ^ close[i]) <= 2).tolist()]
+    root = list(range(len(codes)))
+    for i, j in near * 30:
+        root[i] = root[j] = min(root[i], root[j])
+    assert [got[i] for i in range(len(codes))] == root
+
+
+def test_groups_are_pruned(spark):
+    """The index, not a comparison of all, finds the neighbours: whole ranges and most groups are dropped unseen."""
+    codes = np.unique(np.random.default_rng(12).integers(0, 2**63, 60_000)).astype(np.int64)
+    n = len(codes)
+    got = op5_neardup.pruning(spark.createDataFrame(pd.DataFrame({"key": codes, "fp": codes}))).collect()
+    assert len(got) > 40 and sum(r["members"] for r in got) == n
+    assert sum(r["guests"] for r in got) < 0.6 * n * (len(got) - 1) / 2
+    assert sum(r["tested"] for r in got) < n * n / 15 and sum(r["dropped"] for r in got) > 0.5 * sum(r["tested"] for r in got)
+
+
+@pytest.mark.parametrize(("radius", "apart"), [(0, 0), (2, 0), (6, 1)])
+def test_gray_index_is_exact(radius, apart):
     rng = np.random.default_rng(8)
-    codes = np.unique(rng.integers(0, 2**20, 3000).astype(np.uint64) << np.uint64(7))
-    index = op5_neardup.GrayIndex(codes)
-    got = {(int(index.codes[a]), int(index.codes[b])) for i, j in index.pairs(2, step=100) for a, b in zip(i, j, strict=True)}
-    want = {(a, b) for k, a in enumerate(codes.tolist()) for b in codes[k + 1 :][np.bitwise_count(codes[k + 1 :] ^ np.uint64(a)) <= 2].tolist()}
-    assert {tuple(sorted(p)) for p in got} == want
+    codes = rng.integers(0, 2**20, 3000).astype(np.uint64) << np.uint64(7)
+    groups = rng.integers(0, 9, 3000)
+    order, index = op5_neardup.index_of(codes, groups)
+    found = [(q.tolist(), order[e].tolist()) for q, e in index.near(codes, groups, radius, apart)]
+    got = {(a, b) for i, j in found for a, b in zip(i, j, strict=True)}
+    want = {(a, int(b)) for a in range(3000) for b in np.flatnonzero((np.bitwise_count(codes ^ codes[a]) <= radius) & (abs(groups - groups[a]) <= apart))}
+    assert got == want and sum(len(i) for i, _ in found) == len(got)
+
+
+def test_similar_texts_are_found(spark):
+    """Copies with edited words, of five-word similarity 0.8 or more: at least nine of ten go, texts of their own all stay."""
+    rng = np.random.default_rng(11)
+    common = ["the", "of", "and", "a", "in", "to"]
+    words = common * 60 + ["".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(3000)]
+    docs, copies = [], []
+    for i in range(200):
+        own = rng.choice(words, rng.integers(80, 500)).tolist()
+        docs.append((i, " ".join(own)))
+        for k in range(3):
+            edited = list(own)
+            for at in rng.choice(len(own), max(1, int(len(own) * rng.uniform(0.002, 0.02))), replace=False):
+                edited[at] = str(rng.choice(words)) + "x"
+            a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (own, edited))
+            if len(a & b) >= 0.8 * len(a | b):
+                docs.append((1000 + 3 * i + k, " ".join(edited)))
+                copies.append(1000 + 3 * i + k)
+    kept = {r["doc_id"] for r in op5_neardup.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(copies) > 400
+    assert {i for i, _ in docs if i < 1000} <= kept
+    assert sum(i not in kept for i in copies) >= 0.9 * len(copies)
 
 
 def test_language_model(spark, odd, rows, empty):
@@ -310,8 +357,9 @@ def test_pipeline_stages(spark, odd, rows, empty, labels, tmp_path):
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
     texts = [r["text"] or "" for r in docs.collect()]
-    fps = [plain_fingerprint(r["text"] or "") for r in spark.read.parquet(str(tmp_path / "near_dedup")).collect()]
-    assert len(set(plain_components(fps))) == len(fps)
+    left = [WORD.findall((r["text"] or "").lower()) for r in spark.read.parquet(str(tmp_path / "near_dedup")).collect()]
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in left]
+    assert not any(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(shingles) for b in shingles[:i])
     windows = Counter(w for t in texts for w in zip(*[WORD.findall(t)[k:] for k in range(20)]))
     before = Counter(w for r in spark.read.parquet(str(tmp_path / "near_dedup")).collect() for w in zip(*[WORD.findall(r["text"] or "")[k:] for k in range(20)]))
     assert max(before.values()) > 1 and sum(windows.values()) < sum(before.values())
