@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as Parquet and
 read again before the next. All but the last return the columns of documents as they came.
+
+Defined results, in every stage: nulls in any column stay as they are, a null text counts as an empty one, repeated
+rows are rows of their own, an empty table gives an empty result, columns may have any names beside doc_id and text.
 """
 
 from __future__ import annotations
@@ -22,20 +25,24 @@ def _renamed(docs: DataFrame) -> Renamed:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts (under 50 words) go; equal texts fare alike, and the threshold is inclusive."""
     rows, names = _renamed(docs)
     judged = op3_quality.judge(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select(*rows.columns).toDF(*names)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group of near duplicates."""
+    """One document, the least doc_id, of each group of near duplicates (five-word similarity of 0.8 or more; see op5_neardup.keep_one).
+
+    Of rows with one id the one whose text has the least hash stays; null ids stay only in groups without another. Texts without words are one group."""
     rows, names = _renamed(docs)
     return op5_neardup.keep_one(rows).toDF(*names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without words that lie in a passage found earlier; n_chars follows a text that changed."""
+    """All documents, without words that lie in a passage found earlier and the white space after each; n_chars follows a text that changed.
+
+    Earlier: by doc_id (null ids first, rows of one id by their text), then by place. A null text stays null."""
     rows, names = _renamed(docs)
     carry = tuple(c for c in rows.columns if c not in ("doc_id", "text"))
     found = op8_substring.remove_repeats(rows, carry=carry, layout=True)
@@ -49,7 +56,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens. A null or empty text is its end token; null ids stay null."""
     return op9_packing.pack(docs)
 
 
