@@ -92,11 +92,17 @@ class Memo(dict):
 
 
 class CachedEncoder:
-    """ids of texts as little-endian uint16 bytes; the vocabulary must have at most 65536 ids."""
+    """ids of texts as little-endian uint16 bytes; the vocabulary must have at most 65536 ids.
+
+    Added tokens such as <|endoftext|> that stand in a text are one id each, as in the library's plain call."""
 
     def __init__(self, file: str, spaced: bool, room: float = 1.0):
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
+        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        assert not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in self.library.get_added_tokens_decoder().values())
+        self.added = {content: array("H", [i]).tobytes() for content, i in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.library.encode_special_tokens = True  # texts are cut at added tokens before they get there
         assert self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.model = self.library.model
         self.spaced = spaced
@@ -131,15 +137,22 @@ class CachedEncoder:
     def _join(self, parts: list[str]) -> bytes:
         return self.heads[parts[0]] + b"".join(map(self.mids.__getitem__, parts[1:]))
 
+    def _encode(self, text: str) -> bytes:
+        self.doubtful = False
+        ids = self._join(text.split(" "))
+        if self.doubtful and self.spaced:  # cut where it is certain instead
+            first, *rest = _CUT.split(text)
+            ids = self._join([first, *(c[1:] for c in rest)])
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            self.doubtful = False
-            ids = self._join(text.split(" "))
-            if self.doubtful and self.spaced:  # cut where it is certain instead
-                first, *rest = _CUT.split(text)
-                ids = self._join([first, *(c[1:] for c in rest)])
-            out.append(ids)
+            if self.at_added and any(content in text for content in self.added):
+                parts = self.at_added.split(text)  # every other part is an added token
+                out.append(b"".join(self.added[p] if k & 1 else self._encode(p) if p else b"" for k, p in enumerate(parts)))
+            else:
+                out.append(self._encode(text))
         return out
 
 

@@ -10,13 +10,12 @@ from tokenizers import Tokenizer
 from lodestone.llm import op4_bpe, op6_orc, op9_packing
 from lodestone.llm.tokens import CachedEncoder, encoder
 
-ODD = ["", " ", "  two  spaces \n x", "a  b", "\xa0 x y\x85 z ", "it's They'LL  don't \n\n  x\t y", "١٢ ²³ ½ ÀÉ ǅ Σας İ é ́x", "<|endoftext|> a<|endoftext|>", "\x1c \x1f a  b", "漢字 かな😀 x", "A\rB \r\n C", "x" * 5000]
+ODD = ["", " ", "  two  spaces \n x", "a  b", "\xa0 x y\x85 z ", "it's They'LL  don't \n\n  x\t y", "١٢ ²³ ½ ÀÉ ǅ Σας İ é ́x", "<|endoftext|> a<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b <|startoftext|>c", "<|endoftext|>\n\n x <|endoftext", "<|END", "\x1c \x1f a  b", "漢字 かな😀 x", "A\rB \r\n C", "x" * 5000]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_encoder_is_the_library(name, rows):
     library = Tokenizer.from_file(P.path(name))
-    library.encode_special_tokens = True
     texts = ODD + [r[1] or "" for r in rows]
     want = [np.array(e.ids, np.uint16).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     assert encoder(name).encode(texts) == want
@@ -41,7 +40,6 @@ def test_orc_files(spark, odd, rows, empty, tmp_path):
     files = op6_orc.read_orc(spark, path)
     got = op6_orc.checksums(files).join(op6_orc.starts(files), "block").selectExpr("doc_id", "before + start as start", "n_tokens", "ids_crc32").orderBy("start").collect()
     library = Tokenizer.from_file(P.path(op6_orc.FILE))
-    library.encode_special_tokens = True
     order = sorted([(r[0], r[1] or "") for r in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     at = 0
     for r, (doc_id, text) in zip(got, order, strict=True):
@@ -55,7 +53,6 @@ def test_orc_files(spark, odd, rows, empty, tmp_path):
 def check_packing(pieces, texts, window=2048):
     """Every id once, sequences gapless, no padding but at lengths that are no power of two."""
     library = Tokenizer.from_file(P.path(op9_packing.FILE))
-    library.encode_special_tokens = True
     left = {}
     for doc_id, text in texts:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
