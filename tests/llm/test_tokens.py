@@ -87,13 +87,31 @@ def test_packing(spark, odd, rows, empty):
     assert op9_packing.pack(empty).count() == 0
 
 
-def test_plan_fills_windows():
+@pytest.mark.parametrize("docs", [1, 7, 500, 20_000])
+def test_plan_fills_windows(docs):
     rng = np.random.default_rng(4)
-    counts = np.bincount(rng.integers(1, 2048, 20_000), minlength=2049)
-    slots, taken, windows = op9_packing.plan(counts)
-    assert (taken <= counts).all() and windows * 2048 == int((taken * np.arange(2049)).sum())
-    assert taken.sum() > 0.8 * counts.sum()
-    assert op9_packing.tail_cuts(2048 * 3 + 1300) == [6144, 7168, 7424, 7440, 7444]
+    lengths = np.minimum(1 + rng.exponential(700, docs).astype(int), 2047)
+    counts = np.bincount(lengths, minlength=2049)
+    made = op9_packing.plan(counts)
+    total = int((counts * np.arange(2049)).sum())
+    assert (made.taken <= counts).all() and made.windows == total // 2048
+    r = np.sort(lengths)
+    rank = np.arange(docs) - np.searchsorted(r, r)
+    seen = {}
+    for pieces in op9_packing.place(made, 2048, r, r, rank, np.zeros(docs, np.int64)):
+        for _, length, window, offset in pieces:
+            seen.setdefault(window, []).append((offset, length))
+    for window, parts in seen.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 2048 or (window >= made.windows and at & (at - 1) == 0)
+    assert sum(n for parts in seen.values() for _, n in parts) == total
+    if docs == 20_000:
+        assert made.solved > 0.5 * total and made.solved + made.fitted > 0.98 * total and made.cut < 0.02 * docs
+        assert made.off <= 1e-3
+    assert op9_packing.tail_cuts(1300) == [0, 1024, 1280, 1296, 1300]
 
 
 def test_sha_of_ids(spark, sf):
