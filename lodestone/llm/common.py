@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -61,10 +62,12 @@ def freed(result=None):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where it is unset (tests), one of our own is set."""
+    """A new path in the folder that spark.checkpoint.dir names. Where it is unset, a local session (tests) gets one of its own; a cluster's executors share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -146,28 +149,67 @@ def batch_of(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
+def weights(rows: DataFrame, starts: np.ndarray) -> np.ndarray:
+    """The sum of the column size of rows (id, size) from each start up to the next; one row for each reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(starts), np.int64)
+        for batch in batches:
+            np.add.at(total, np.searchsorted(starts, batch.column(0).to_numpy(), side="right") - 1, batch.column(1).to_numpy())
+        here = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(here, pa.int64()), "size": pa.array(total[here], pa.int64())})
+
+    out = np.zeros(len(starts), np.int64)
+    for r in rows.mapInArrow(run, "at long, size long").groupBy("at").agg(F.sum("size").alias("size")).collect():
+        out[r["at"]] = r["size"]
+    return out
+
+
+def range_edges(docs: DataFrame, bytes_per_part: int) -> list[int]:
+    """Ascending edges that cut the ids that are not null into ranges of about so many bytes; one for each range but the last.
+
+    Ids are counted in bins of even width, about eight for a range, and bins that are too heavy in narrower ones, down to one id."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"))
+    low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    if low is None or total <= bytes_per_part:
+        return []
+    starts, sizes = [low], [total]
+    while True:
+        ends = [*starts[1:], high + 1]
+        narrow = [min(e - s, -(-8 * size // bytes_per_part)) if 2 * size > bytes_per_part else 1 for s, e, size in zip(starts, ends, sizes, strict=True)]
+        if max(narrow) == 1:
+            break
+        starts = [s + (e - s) * k // n for s, e, n in zip(starts, ends, narrow, strict=True) for k in range(n)]
+        sizes = weights(rows, np.array(starts, np.int64)).tolist()
+    edges, held = [], 0
+    for start, size in zip(starts, sizes, strict=True):
+        if held and held + size > bytes_per_part:
+            edges.append(start)
+            held = 0
+        held += size
+    return edges
+
+
 class Blocks:
     """Documents in blocks.
 
     frame: (block long, payload binary), dealt by block. n: number of blocks,
-    at least 1. Null ids go to block 0, and repeated rows stay in one block.
+    at least 1. Null ids go to the first blocks, repeated rows stay in one block. ordered: blocks ascend by doc_id;
+    else null ids are dealt to as many blocks as they fill, by their text.
     carry: further columns that travel with the documents.
     """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20, carry: tuple[str, ...] = ()):
+    def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20, carry: tuple[str, ...] = (), ordered: bool = True):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
         docs = doc_columns(docs)
-        size, count = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-        n = min(max(1, round((size or 0) / block_bytes)), max(1, count))
-        bounds: list[float] = []
-        if n > 1:
-            bounds = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)
-        edges = np.array(sorted({int(b) for b in bounds}), np.int64)
-        self.n, self.size = len(edges) + 1, size or 0
-        self.frame = rows.mapInArrow(lambda it: _pack(it, edges), "block long, payload binary")
+        self.size, none = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))), F.lit(0))).first()
+        edges = np.array(range_edges(docs, block_bytes), np.int64)
+        first = 1 if ordered else max(1, round(none / block_bytes))
+        self.n = len(edges) + first
+        self.frame = rows.mapInArrow(lambda it: _pack(it, edges, first=first), "block long, payload binary")
 
 
-def _pack(batches: Iterator[pa.RecordBatch], edges: np.ndarray, hold: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], edges: np.ndarray, hold: int = 32 << 20, first: int = 1) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("block", pa.int64()), ("payload", pa.binary())])
     held: list[pa.RecordBatch] = []
     size = 0
@@ -175,7 +217,10 @@ def _pack(batches: Iterator[pa.RecordBatch], edges: np.ndarray, hold: int = 32 <
     def flush() -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         ids = table.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-        at = np.searchsorted(edges, ids, side="right")
+        at = np.searchsorted(edges, ids, side="right") + (first - 1)
+        if first > 1:
+            none = np.flatnonzero(table.column("doc_id").is_null().to_numpy())
+            at[none] = [xxhash.xxh64_intdigest(table.column("text")[int(k)].as_py() or "") % first for k in none]
         order = np.argsort(at, kind="stable")
         cuts = np.flatnonzero(np.diff(at[order])) + 1
         blocks, payloads = [], []
@@ -211,12 +256,3 @@ def block_rows(table: pa.Table) -> tuple[list[int | None], list[str]]:
     """Ids and texts of block_table()."""
     docs = block_table(table)
     return docs.column("doc_id").to_pylist(), [t or "" for t in docs.column("text").to_pylist()]
-
-
-def range_edges(docs: DataFrame, rows_per_part: int, column: str = "doc_id") -> list[int]:
-    """Ascending edges that cut `column` into ranges of about so many rows; one for each range but the last."""
-    n = max(1, round(docs.count() / rows_per_part))
-    if n == 1:
-        return []
-    got = docs.where(F.col(column).isNotNull()).approxQuantile(column, [i / n for i in range(1, n)], 0.1 / n)
-    return sorted({int(x) for x in got})

@@ -70,7 +70,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def fingerprint_edits(docs: DataFrame, docs_per_part: int = 4000) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """Fingerprints of every text, of its edited text, and how near they and the next document are.
 
     The documents are dealt once, by ranges of doc_id; the highest documents of each range are dealt
@@ -78,7 +78,7 @@ def fingerprint_edits(docs: DataFrame, docs_per_part: int = 4000) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = doc_columns(docs)
-    edges = np.array(range_edges(docs, docs_per_part), np.int64)
+    edges = np.array(range_edges(docs, part_bytes), np.int64)
     whole = F.coalesce("doc_id", F.lit(NO_ID))
     tops = docs.select(whole.alias("doc_id")).mapInArrow(lambda it: _tops(it, edges), "part long, top long").groupBy("part").agg(F.max("top").alias("top")).collect()
     tops = sorted((r["part"], r["top"]) for r in tops)  # one pair for each range: bounded by their number

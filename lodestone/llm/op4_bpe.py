@@ -28,6 +28,8 @@ from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed,
 from lodestone.llm.tokens import cut, spaced_pre_tokens
 
 FILE = "byte_bpe_50k.tiktoken"
+#: Blocks for each bucket: their distinct words take far less room than their texts.
+WORDY = 4
 QUESTION = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
@@ -117,8 +119,8 @@ def _assemble(docs: pa.Table, answers: pa.Table, file: str, buckets: int) -> pa.
 def encode_decode(docs: DataFrame, file: str = FILE, block_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, ids as little-endian uint32 bytes, decoded bytes) of every row."""
     prepare(docs.sparkSession)
-    blocks = Blocks(docs, block_bytes)
-    buckets = blocks.n
+    blocks = Blocks(docs, block_bytes, ordered=False)
+    buckets = -(-blocks.n // WORDY)
     asked = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets)), "bucket long, block long, payload binary")
     answers = asked.groupBy("bucket").applyInArrow(lambda t: freed(_answer(t, file)), "bucket long, block long, payload binary")
     both = blocks.frame.groupBy("block").cogroup(answers.groupBy("block"))

@@ -40,8 +40,8 @@ RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 20, 64, 1024
 LOT = 1 << 20  # guests of a range that are searched together
 FRONTIER = 1 << 21  # pairs of a search and a node that are looked at together
 #: Near duplicates: five-word shingles of similarity 0.8 or more. Fingerprints of distinct words within NEAR bits, and of
-#: the shingles within NEAR_WIDE of 256 bits (38 are expected at 0.8). Sizes differ by at most a class of ratio 1 / 0.8.
-NEAR_WORDS, NEAR, NEAR_WIDE, SIMILAR = 5, 6, 44, 0.8
+#: the shingles within NEAR_WIDE of 256 bits (38 are expected at 0.8). Sizes differ by a ratio of at most 1 / 0.8, which is CLASSES size classes.
+NEAR_WORDS, NEAR, NEAR_WIDE, SIMILAR, CLASSES = 5, 6, 44, 0.8, 4
 
 
 def fingerprint(text: str) -> int:
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 _MEMO = HashMemo(3)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 WIDE = 4  # 64-bit words of a wide fingerprint
+_TURNS = np.arange(WIDE, dtype=np.uint64) * _MUL
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -93,15 +94,15 @@ def similarity_print(text: str) -> tuple[int, bytes, int]:
     text is one), and size class by their number."""
     words = text.encode().lower().split()
     if not words:
-        return 0, bytes(8 * WIDE), -1
+        return 0, bytes(8 * WIDE), -2 * CLASSES
     hashes = _MEMO.hashes(words)
     n = max(1, len(words) - NEAR_WORDS + 1)
     shingles = hashes[:n].copy()
     for k in range(1, min(NEAR_WORDS, len(words))):
         shingles = mix(shingles * _MUL + hashes[k : k + n])
     shingles = np.unique(shingles)
-    wide = [majority(mix(shingles + np.uint64(k) * _MUL)) for k in range(WIDE)]
-    return majority(np.unique(hashes)), np.array(wide, np.uint64).tobytes(), int(log(len(shingles)) / -log(SIMILAR))
+    wide = [majority(mix(shingles + m)) for m in _TURNS]
+    return majority(np.unique(hashes)), np.array(wide, np.uint64).tobytes(), int(log(len(shingles)) / -log(SIMILAR) * CLASSES)
 
 
 def stamp(docs: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     of shingles are within NEAR_WIDE bits as well. Groups are what such links connect. docs must have no columns fp, wide, grp or uid."""
     rows = stamp(docs)
     elements = materialize(rows.groupBy("fp", "wide", "grp").agg(F.min("uid").alias("key")), "distinct-prints")
-    member = components(near_edges(elements, NEAR, NEAR_WIDE, 1, least_ranges=16))
+    member = components(near_edges(elements, NEAR, NEAR_WIDE, CLASSES, least_ranges=16))
     root_of = elements.join(member.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left").select("fp", "wide", "grp", F.coalesce("root", "key").alias("root"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.col("uid").alias("uid"))
     of_element = rows.groupBy("fp", "wide", "grp").agg(F.min(rank).alias("rank"))
@@ -179,6 +180,7 @@ class GrayIndex:
     def __init__(self, lows: np.ndarray, highs: np.ndarray, least: np.ndarray, most: np.ndarray, leaf: int = LEAF):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]] = []  # own bits, value, least and greatest group, entries a node; the leaves first
         self.tested = self.dropped = 0
+        self.groups = (int(least.min()), int(most.max())) if len(least) else (0, 0)
         rows = [(lows, highs, least, most)]
         widths = [1]
         while len(rows[-1][0]) > FANOUT:
@@ -199,6 +201,7 @@ class GrayIndex:
 
         For entries that are ranges: those that may hold such a code."""
         top = len(self.levels) - 1
+        grouped = len(groups) > 0 and max(int(groups.max()), self.groups[1]) - min(int(groups.min()), self.groups[0]) > apart
         step = max(1, FRONTIER // max(1, len(self.levels[top][0])))
         for at in range(0, len(codes) if len(self.levels[0][0]) else 0, step):
             query, node = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, len(codes)), dtype=np.int32), np.arange(len(self.levels[top][0]), dtype=np.int32), indexing="ij"))
@@ -208,8 +211,9 @@ class GrayIndex:
                 own, value, least, most, width = self.levels[depth]
                 sum_ = sum_ + np.bitwise_count((codes[query] ^ value[node]) & own[node])
                 good = sum_ <= radius
-                of = groups[query]
-                good &= (least[node] <= of + apart) & (most[node] >= of - apart)
+                if grouped:
+                    of = groups[query]
+                    good &= (least[node] <= of + apart) & (most[node] >= of - apart)
                 self.tested += len(good)
                 query, node, sum_ = query[good], node[good], sum_[good]
                 self.dropped += len(good) - len(query)
@@ -291,18 +295,24 @@ def lots(elements: DataFrame, radius: int, apart: int = 0, least_ranges: int = L
     prefix = prefix.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))  # in signed order
     dealt = prefix.repartitionByRange(ranges, "grp", "rank").withColumn("range", F.spark_partition_id().cast("long"))
     dealt = materialize(dealt.select("range", "key", "fp", "grp", "wide"), "ranges")
-    # at most MOST_RANGES rows reach the driver
-    shared = sorted(dealt.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp"), F.min("grp"), F.max("grp")).collect())
-    table = np.array([tuple(r) for r in shared], np.int64).reshape(-1, 5)
-    numbers, low, high, first, last = np.ascontiguousarray(table.T)
+    # one row for each partition reaches the driver; small neighbours become one range
+    shared = sorted(dealt.groupBy("range").agg(F.bit_and("fp"), F.bit_or("fp"), F.min("grp"), F.max("grp"), F.count("*")).collect())
+    numbers, low, high, first, last, sizes = np.array([tuple(r) for r in shared], np.int64).reshape(-1, 6).T.copy()
+    begins = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) * ranges // max(1, n), prepend=-1))
+    if len(begins) < len(numbers):
+        of = np.repeat(numbers[begins], np.diff(np.r_[begins, len(numbers)]))
+        names = spark.createDataFrame(list(zip(numbers.tolist(), of.tolist(), strict=True)), "range long, whole long")
+        dealt = dealt.join(F.broadcast(names), "range").select(F.col("whole").alias("range"), "key", "fp", "grp", "wide")
+        numbers, low, high = numbers[begins], np.bitwise_and.reduceat(low, begins), np.bitwise_or.reduceat(high, begins)
+        first, last = np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins)
     tree = GrayIndex(low.view(np.uint64), high.view(np.uint64), first, last, FANOUT)
     guests = materialize(dealt.mapInArrow(lambda it: _route(it, numbers, tree, radius, apart), ELEMENTS), "guests")
     members = dealt.select("range", F.lit(0).cast("long").alias("lot"), F.lit(False).alias("guest"), "key", "fp", "grp", "wide")
     many = {r["range"]: -(-r["n"] // lot) for r in guests.groupBy("range").agg(F.count("*").alias("n")).collect()}  # as many rows
     if max(many.values(), default=1) > 1:
-        sizes = spark.createDataFrame(sorted(many.items()), "range long, lots long")
-        guests = guests.join(F.broadcast(sizes), "range").withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots"))).select(*[f.name for f in ELEMENT])
-        members = members.drop("lot").join(F.broadcast(sizes), "range", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1))).select(*[f.name for f in ELEMENT])
+        known = spark.createDataFrame(sorted(many.items()), "range long, lots long")
+        guests = guests.join(F.broadcast(known), "range").withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots"))).select(*[f.name for f in ELEMENT])
+        members = members.drop("lot").join(F.broadcast(known), "range", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1))).select(*[f.name for f in ELEMENT])
     return members.unionByName(guests)
 
 

@@ -575,7 +575,7 @@ def score_documents(docs: DataFrame, block_bytes: int = 7 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (the end counts as a byte) of every row."""
     spark = docs.sparkSession
     prepare(spark)
-    blocks = Blocks(docs, block_bytes)
+    blocks = Blocks(docs, block_bytes, ordered=False)
     buckets, bits = blocks.n, context_bits(blocks.size)
     told = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_ask(t, buckets, bits)), ASK).groupBy("bucket").applyInArrow(lambda t: freed(_tell(t)), TOLD)
     told = materialize(told, "word-counts")

@@ -47,7 +47,7 @@ def test_automaton_against_fnmatch():
 
 
 def test_fingerprints_and_successors(spark, odd, rows, empty):
-    got = [r.asDict() for r in op2_simhash.fingerprint_edits(odd, docs_per_part=7).collect()]
+    got = [r.asDict() for r in op2_simhash.fingerprint_edits(odd, part_bytes=3000).collect()]
     order = sorted([(r[0], r[1] or "") for r in rows], key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     want = []
     for i, (doc_id, text) in enumerate(order):
