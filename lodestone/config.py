@@ -61,11 +61,16 @@ class RankerConfig:
     brand_demote_factor: float = 0.1
     bm25_norm_factor: float = 10.0
     l2: float = 1.0
+    feature_fraction: float = 0.8
+    bagging_fraction: float = 0.8
+    neg_bagging_fraction: float = 0.3
+    bagging_freq: int = 1  # 0: no bagging
 
     def __post_init__(self) -> None:
-        for name in ("max_depth", "rounds", "min_rows_in_leaf", "early_stopping_rounds", "neg_downsample_ratio", "bm25_norm_factor", "learning_rate", "test_size"):
+        for name in ("max_depth", "rounds", "min_rows_in_leaf", "early_stopping_rounds", "neg_downsample_ratio", "bm25_norm_factor", "learning_rate", "test_size", "feature_fraction", "bagging_fraction", "neg_bagging_fraction"):
             _check(name, getattr(self, name), 0, strict=True)
-        for name in ("learning_rate", "test_size", "brand_demote_threshold", "brand_demote_factor"):
+        _check("bagging_freq", self.bagging_freq, 0)
+        for name in ("feature_fraction", "bagging_fraction", "neg_bagging_fraction", "learning_rate", "test_size", "brand_demote_threshold", "brand_demote_factor"):
             _check(name, getattr(self, name), 0, 1)
 
 

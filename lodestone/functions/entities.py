@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed, text
+from lodestone.functions.joins import against_all
 
 FORMS = {"brand": fixed.BRAND_FORMS, "category": fixed.CATEGORY_FORMS}
 
@@ -34,8 +35,8 @@ def forms_table(spark: SparkSession) -> DataFrame:
 def first_brand(queries: DataFrame, brands: DataFrame, query: str = "query") -> DataFrame:
     """queries with query_brand: the first brand (name, ordinal) that the normalised query contains, else null.
 
-    The brand table is a dimension of a few hundred names: it is broadcast for the containment join.
+    The brand table is a dimension of a few hundred names; it is counted before it is broadcast for the containment join.
     """
-    hits = queries.select(query).distinct().join(F.broadcast(brands), F.contains(normalize_query(F.col(query)), F.col("name")))
+    hits = against_all(queries.select(query).distinct(), brands, "name").where(F.contains(normalize_query(F.col(query)), F.col("name")))
     best = hits.groupBy(query).agg(F.min_by("name", "ordinal").alias("query_brand"))
     return queries.join(best, query, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELLED, HARD, FILLER = 0, 1, 2
@@ -19,17 +19,27 @@ def relative_score(retrieved: DataFrame) -> DataFrame:
     return retrieved.withColumn("relative", F.col("score") / top)
 
 
-def tiers(retrieved: DataFrame, labels: DataFrame, threshold: float = 0.7, share: float = 0.25) -> DataFrame:
-    """(qid, pid, tier, tier_rank). retrieved: qid, pid, score, brand_match; labels: qid, pid, relevance."""
+def _tiered(kept: DataFrame, labels: DataFrame, hard: Column) -> DataFrame:
     labelled = labels.groupBy("qid", "pid").agg(F.max("relevance").alias("relevance"))
-    kept = relative_score(above_quartile(retrieved, share)).join(labelled.select("qid", "pid"), ["qid", "pid"], "left_anti")
-    hard = (F.col("relative") > threshold) & (F.col("brand_match") == 0)
-    new = kept.select("qid", "pid", F.when(hard, HARD).otherwise(FILLER).alias("tier"), "score")
+    new = kept.join(labelled.select("qid", "pid"), ["qid", "pid"], "left_anti").select("qid", "pid", F.when(hard, HARD).otherwise(FILLER).alias("tier"), "score")
     own = labelled.select("qid", "pid", F.lit(LABELLED).alias("tier"), F.col("relevance").cast("double").alias("score"))
     w = Window.partitionBy("qid", "tier").orderBy(F.desc("score"), "pid")
     return own.unionByName(new).select("qid", "pid", "tier", F.row_number().over(w).alias("tier_rank"))
 
 
+def tiers(retrieved: DataFrame, labels: DataFrame, threshold: float = 0.7, share: float = 0.25) -> DataFrame:
+    """(qid, pid, tier, tier_rank). retrieved: qid, pid, score, brand_match; labels: qid, pid, relevance."""
+    kept = relative_score(above_quartile(retrieved, share))
+    return _tiered(kept, labels, (F.col("relative") > threshold) & (F.col("brand_match") == 0))
+
+
+def semantic_tiers(retrieved: DataFrame, labels: DataFrame, keep: float = 0.5, hard: float = 0.6) -> DataFrame:
+    """tiers() of a retrieval by cosine alone (score): items over `keep` stay, those over `hard` of another brand are hard negatives.
+
+    These are squared distances of unit vectors under 1.0 and under 0.8."""
+    return _tiered(retrieved.where(F.col("score") > keep), labels, (F.col("score") > hard) & (F.col("brand_match") == 0))
+
+
 def compose(tiered: DataFrame, k: int, max_hard: int = 10) -> DataFrame:
     """(qid, pid, tier, place): labelled, then at most max_hard hard negatives, then filler, cut at k."""
     w = Window.partitionBy("qid").orderBy("tier", "tier_rank")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import entities, fixed
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.sources.providers import Embeddings
+from lodestone.sources.stores import written
 
 
 def with_catalog_columns(catalog: DataFrame) -> DataFrame:
@@ -66,6 +68,22 @@ def hashed_similarities(pairs: DataFrame, dimension: int = 64) -> DataFrame:
     return out.withColumn("cross_lingual", F.when(translated != T.one_space(F.col("query")), V.cosine(other, item)).otherwise(F.col("semantic")))
 
 
+def similarities(pairs: DataFrame, embeddings: Embeddings) -> DataFrame:
+    """semantic and cross_lingual of pairs (query, title, ...) by a provider's vectors of the distinct texts; 0 where one has none."""
+    words = pairs.withColumn("_translated", T.translate_words(F.col("query")))
+    texts = words.select(F.explode(F.array("query", "title", "_translated")).alias("text")).where("text is not null").distinct()
+    known = written(embeddings.vectors(texts, "text", "text"), "vectors")
+
+    def side(name: str) -> DataFrame:
+        return known.select(F.col("key").alias(name), F.col("vector").alias(f"{name}_v"))
+
+    rows = words.join(side("query"), "query", "left").join(side("title"), "title", "left").join(side("_translated"), "_translated", "left")
+    sim = lambda c: F.coalesce(V.cosine(F.col(c), F.col("title_v")), F.lit(0.0))
+    rows = rows.withColumn("semantic", sim("query_v"))
+    other = F.when(F.col("_translated") != T.one_space(F.col("query")), sim("_translated_v")).otherwise(F.col("semantic"))
+    return rows.withColumn("cross_lingual", other).drop("_translated", "query_v", "title_v", "_translated_v")
+
+
 def feature_stats(matrix: DataFrame) -> DataFrame:
     """(feature, mean, std): population deviation."""
     pairs = F.stack(F.lit(len(fixed.FEATURES)), *[x for n in fixed.FEATURES for x in (F.lit(n), F.col(n).cast("double"))]).alias("feature", "value")

@@ -1,24 +1,28 @@
-"""Learning to rank on Spark ML trees: pairwise lambda gradients with linear gain, and early stopping.
+"""Learning to rank on Spark ML trees: pairwise lambda gradients with linear gain, bagging, and early stopping.
 
 Each round ranks the rows of every group, sums the lambda gradients of all pairs with different labels in
-the group, fits a regression tree to them, and replaces the tree's leaves by Newton steps. Gradients and scores
-are written out every round, so plans stay short and lost executors cost little; metrics come every MEASURE rounds.
+the group, fits a regression tree to them on a share of the rows and features, and replaces the tree's leaves by Newton steps. Gradients
+and scores are written out every round, so plans stay short and lost executors cost little; metrics come every MEASURE rounds.
+A fitted model is a list of plain tables, one for each tree: it is scored in batches by NumPy, with or without Spark.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.config import RankerConfig
 from lodestone.functions import fixed
-from lodestone.operators import evaluate
+from lodestone.operators import evaluate, sampling
 from lodestone.sources.stores import inside, written
 
 MEASURE = 5
@@ -28,7 +32,8 @@ def gradients(rows: DataFrame) -> DataFrame:
     """rows (qid, pid, relevance, score) with lambda and hessian: NDCG-weighted pairwise logistic."""
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
     best = Window.partitionBy("qid").orderBy(F.desc("relevance"), "pid")
-    ranked = rows.select("qid", "pid", "relevance", "score", (1 / F.log2(F.row_number().over(w) + 1)).alias("d"), (F.col("relevance") / F.log2(F.row_number().over(best) + 1)).alias("ideal"))
+    ranked = rows.where(F.col("qid").cast("string") != sampling.EXTRA)  # copies of one label: no pair differs
+    ranked = ranked.select("qid", "pid", "relevance", "score", (1 / F.log2(F.row_number().over(w) + 1)).alias("d"), (F.col("relevance") / F.log2(F.row_number().over(best) + 1)).alias("ideal"))
     ranked = ranked.withColumn("idcg", F.sum("ideal").over(Window.partitionBy("qid"))).where("idcg > 0").drop("ideal")
     low = ranked.select("qid", F.col("pid").alias("pid2"), F.col("relevance").alias("r2"), F.col("score").alias("s2"), F.col("d").alias("d2"))
     pairs = ranked.join(low, "qid").where("relevance > r2")  # inside a group of at most the candidate limit
@@ -40,30 +45,92 @@ def gradients(rows: DataFrame) -> DataFrame:
     return rows.join(total, ["qid", "pid"], "left").fillna(0.0, ["g", "h"])
 
 
+@dataclass
+class Tree:
+    """Nodes in arrays: the feature asked (-1: a leaf), its threshold, the nodes for values up to it and over it, and a leaf's value."""
+
+    feature: list[int]
+    threshold: list[float]
+    low: list[int]
+    high: list[int]
+    value: list[float]
+
+    @classmethod
+    def of(cls, fitted: DecisionTreeRegressionModel, columns: list[int], leaves: dict[int, float]) -> Tree:
+        """A fitted tree over some of the features, with the values of its leaves, which are numbered from left to right."""
+        made = cls([], [], [], [], [])
+        leaf = 0
+
+        def walk(node) -> int:
+            nonlocal leaf
+            at = len(made.feature)
+            inner = node.numDescendants() > 0
+            split = node.split() if inner else None
+            made.feature.append(columns[split.featureIndex()] if inner else -1)
+            made.threshold.append(float(split.threshold()) if inner else 0.0)
+            made.value.append(0.0 if inner else leaves.get(leaf, 0.0))
+            made.low.append(at)
+            made.high.append(at)
+            if inner:
+                made.low[at] = walk(node.leftChild())
+                made.high[at] = walk(node.rightChild())
+            else:
+                leaf += 1
+            return at
+
+        walk(fitted._java_obj.rootNode())
+        return made
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        feature, threshold, low, high = (np.array(a) for a in (self.feature, self.threshold, self.low, self.high))
+        at = np.zeros(len(x), np.int64)
+        rows = np.arange(len(x))
+        while (feature[at] >= 0).any():
+            at = np.where(x[rows, feature[at]] <= threshold[at], low[at], high[at])  # a leaf leads to itself
+        return np.array(self.value)[at]
+
+
+def share_of(seed: int, *keys: str) -> Column:
+    return sampling.order_of(seed, *keys) / F.lit(float(1 << 32))
+
+
 @dataclass
 class LambdaRanker:
     config: RankerConfig = field(default_factory=RankerConfig)
     features: tuple[str, ...] = fixed.FEATURES
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
-    leaves: list[dict[int, float]] = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
+    gains: list[list[float]] = field(default_factory=list)
     history: list[dict] = field(default_factory=list)
 
-    def _assembled(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(self.features), outputCol="_x", handleInvalid="keep").transform(rows)
+    def _bag(self, rows: DataFrame, n: int, seed: int) -> DataFrame:
+        """The rows that round n fits on: bagging_fraction of all, and of the irrelevant ones neg_bagging_fraction; drawn anew every bagging_freq rounds."""
+        if not self.config.bagging_freq:
+            return rows
+        turn = seed + n // self.config.bagging_freq
+        kept = share_of(turn, "qid", "pid") < self.config.bagging_fraction
+        return rows.where(kept & ((F.col("relevance") > 0) | (share_of(turn + 7919, "qid", "pid") < self.config.neg_bagging_fraction)))
 
     def fit(self, train: DataFrame, val: DataFrame, seed: int = 42) -> LambdaRanker:
-        spark = train.sparkSession
-        sides = {"train": self._assembled(train), "val": self._assembled(val)}
-        rows = {k: written(df.select("qid", "pid", "relevance", "_x", F.lit(0.0).alias("score")), "scores") for k, df in sides.items()}
+        names = list(self.features)
+        rows = {k: written(df.select("qid", "pid", "relevance", *names, F.lit(0.0).alias("score")), "scores") for k, df in {"train": train, "val": val}.items()}
         best, best_round = -1.0, 0
         for n in range(self.config.rounds):
             graded = written(gradients(rows["train"]), "gradients")
-            tree = DecisionTreeRegressor(featuresCol="_x", labelCol="g", maxDepth=self.config.max_depth, minInstancesPerNode=self.config.min_rows_in_leaf, leafCol="_leaf", predictionCol="_p", seed=seed + n).fit(graded)
-            sums = tree.transform(graded).groupBy("_leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # one row a leaf
+            drawn = np.random.default_rng(seed + n).choice(len(names), max(1, round(self.config.feature_fraction * len(names))), replace=False)
+            columns = sorted(int(c) for c in drawn)
+            assembled = VectorAssembler(inputCols=[names[c] for c in columns], outputCol="_x", handleInvalid="keep").transform(graded)
+            bag = self._bag(assembled, n, seed)
+            if bag.isEmpty():
+                bag = assembled
+            tree = DecisionTreeRegressor(featuresCol="_x", labelCol="g", maxDepth=self.config.max_depth, minInstancesPerNode=self.config.min_rows_in_leaf, leafCol="_leaf", predictionCol="_p", seed=seed + n).fit(bag)
+            sums = tree.transform(bag).groupBy("_leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # one row a leaf
             leaves = {int(r["_leaf"]): self.config.learning_rate * r["g"] / (r["h"] + self.config.l2) for r in sums}
-            self.trees.append(tree)
-            self.leaves.append(leaves)
-            rows = {k: written(self._add(df, tree, leaves), "scores") for k, df in rows.items()}
+            self.trees.append(Tree.of(tree, columns, leaves))
+            gains = [0.0] * len(names)
+            for c, v in zip(columns, tree.featureImportances.toArray(), strict=True):
+                gains[c] = float(v)
+            self.gains.append(gains)
+            rows = {k: written(self._scored(df, self.trees[-1:], "score"), "scores") for k, df in rows.items()}
             if (n + 1) % MEASURE == 0 or n + 1 == self.config.rounds:
                 metric = {k: evaluate.ndcg(df, 5).agg(F.avg("ndcg")).first()[0] or 0.0 for k, df in rows.items()}
                 self.history.append({"round": n + 1, **metric})
@@ -71,55 +138,62 @@ class LambdaRanker:
                     best, best_round = metric["val"], n + 1
                 elif n + 1 - best_round >= self.config.early_stopping_rounds:
                     break
-        self.trees, self.leaves = self.trees[:best_round], self.leaves[:best_round]
-        spark.catalog.clearCache()
+        self.trees, self.gains = self.trees[:best_round], self.gains[:best_round]
         return self
 
-    @staticmethod
-    def _add(rows: DataFrame, tree: DecisionTreeRegressionModel, leaves: dict[int, float], column: str = "score") -> DataFrame:
-        value = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in leaves.items() for x in (k, float(v))]), F.col("_leaf").cast("int")), F.lit(0.0))
-        return tree.transform(rows).withColumn(column, F.col(column) + value).drop("_leaf", "_p")
+    def scores(self, x: np.ndarray, trees: list[Tree] | None = None) -> np.ndarray:
+        """Scores of a matrix whose columns are the features; needs no Spark."""
+        total = np.zeros(len(x))
+        for tree in self.trees if trees is None else trees:
+            total += tree.scores(x)
+        return total
+
+    def _scored(self, rows: DataFrame, trees: list[Tree], column: str) -> DataFrame:
+        """rows with the trees' sum added to column."""
+        names, order = list(self.features), rows.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.column_stack([np.asarray(batch.column(order.index(c)).to_numpy(zero_copy_only=False), np.float64) for c in names])
+                own = batch.column(order.index(column)).to_numpy(zero_copy_only=False) + self.scores(x, trees)
+                yield pa.RecordBatch.from_arrays([pa.array(own) if c == column else batch.column(k) for k, c in enumerate(order)], names=order)
+
+        return rows.mapInArrow(run, rows.schema)
 
     def predict(self, rows: DataFrame, column: str = "score") -> DataFrame:
-        out = self._assembled(rows).withColumn(column, F.lit(0.0))
-        for tree, leaves in zip(self.trees, self.leaves, strict=True):
-            out = self._add(out, tree, leaves, column)
-        return out.drop("_x")
+        """rows with their scores: one pass of NumPy over each batch, for any number of trees."""
+        return self._scored(rows.withColumn(column, F.lit(0.0)), self.trees, column)
 
     def importances(self, spark: SparkSession) -> DataFrame:
         """(feature, importance), the largest first; zeros are listed as well."""
-        total = [0.0] * len(self.features)
-        for tree in self.trees:
-            for i, v in enumerate(tree.featureImportances.toArray()):
-                total[i] += float(v)
-        whole = sum(total) or 1.0
-        return spark.createDataFrame([(n, v / whole) for n, v in zip(self.features, total, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+        total = np.sum(self.gains, axis=0) if self.gains else np.zeros(len(self.features))
+        whole = float(total.sum()) or 1.0
+        return spark.createDataFrame([(n, float(v) / whole) for n, v in zip(self.features, total, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
     def diagnostics(self, spark: SparkSession) -> DataFrame:
         """Of each measured round the metrics, their gap and its verdict."""
         rows = spark.createDataFrame([(h["round"], h["train"], h["val"]) for h in self.history], "round int, train double, val double")
         return gap_verdict(rows)
 
+    def to_json(self) -> str:
+        return json.dumps({"features": list(self.features), "trees": [vars(t) for t in self.trees], "gains": self.gains, "history": self.history})
+
+    @classmethod
+    def of_json(cls, text: str, config: RankerConfig | None = None) -> LambdaRanker:
+        made = json.loads(text)
+        return cls(config or RankerConfig(), tuple(made["features"]), [Tree(**t) for t in made["trees"]], made["gains"], made["history"])
+
     def save(self, base: str, name: str) -> None:
         spark = SparkSession.active()
-        path = inside(base, name)
-        for k, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree={k}")
-        meta = {"features": list(self.features), "leaves": [{str(k): v for k, v in x.items()} for x in self.leaves], "history": self.history}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{path}/meta")
+        spark.createDataFrame([(self.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(inside(base, name))
 
     @classmethod
     def load(cls, base: str, name: str, config: RankerConfig | None = None) -> LambdaRanker:
-        spark = SparkSession.active()
-        path = inside(base, name)
-        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        leaves = [{int(k): v for k, v in x.items()} for x in meta["leaves"]]
-        trees = [DecisionTreeRegressionModel.load(f"{path}/tree={k}") for k in range(len(leaves))]
-        return cls(config or RankerConfig(), tuple(meta["features"]), trees, leaves, meta["history"])
+        return cls.of_json(SparkSession.active().read.text(inside(base, name)).first()[0], config)
 
     def export(self, path: str) -> None:
-        """The trees as JSON text, for readers without Spark."""
-        Path(path).write_text(json.dumps({"features": list(self.features), "trees": [t.toDebugString for t in self.trees], "leaves": self.leaves}))
+        """One JSON file that of_json() loads, with or without Spark."""
+        Path(path).write_text(self.to_json())
 
 
 def gap_verdict(rows: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.config import VectorStoreConfig
 from lodestone.functions import vectors as V
-
-#: A query set of at most so many rows is broadcast against the vectors; a larger one is dealt in blocks.
-BROADCAST_QUERIES = 20_000
-
+from lodestone.functions.joins import against_all
 
 def checked_vectors(df: DataFrame, column: str, dimension: int, max_rows: int | None = None) -> DataFrame:
     """df, or ValueError if a vector has a wrong size, is not finite, or there are too many."""
@@ -24,36 +24,60 @@ def checked_vectors(df: DataFrame, column: str, dimension: int, max_rows: int |
 def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self: bool = True, blocks: int = 32) -> DataFrame:
     """(qid, doc_idx, sim, rank): exact cosine top k of (qid, q) against (doc_idx, v), both unit vectors.
 
-    Each task keeps its k best of a query before anything is shuffled (WindowGroupLimit). The queries are
-    counted: few are broadcast; many are cut into blocks that meet blocks of vectors in an equi-join.
-    """
+    Each task keeps its k best of a query before anything is shuffled (WindowGroupLimit)."""
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_idx")
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = vectors.crossJoin(F.broadcast(queries))
-    else:
-        left = vectors.withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)])))
-        pairs = left.join(queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")), "block").drop("block")
+    pairs = against_all(vectors, queries, "qid", blocks)
     if exclude_self:
         pairs = pairs.where("qid <> doc_idx")
     found = pairs.select("qid", "doc_idx", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("sim"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 80, bits: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate top k: random hyperplanes give each vector a bucket in every table; only sharers of a bucket are compared."""
-    import numpy as np
+def search(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, store: VectorStoreConfig | None = None, exclude_self: bool = False) -> DataFrame:
+    """semantic_topk() of checked input: ValueError for k beyond 1..max_k, and for vectors of another dimension, that are not finite, or too many."""
+    store = store or VectorStoreConfig()
+    if not 1 <= k <= store.max_k:
+        raise ValueError(f"k={k} is not within 1..{store.max_k}")
+    checked_vectors(queries, "q", dimension)
+    checked_vectors(vectors, "v", dimension, store.max_vectors)
+    return semantic_topk(queries, vectors, k, exclude_self)
+
+
+WORDS = 8  # of 64 bits in a signature
+
+
+def signatures(rows: DataFrame, column: str, dimension: int, seed: int = 42) -> DataFrame:
+    """rows with `signature`, WORDS longs: on which side of as many random planes as they have bits the vector lies."""
+    planes = np.random.default_rng(seed).standard_normal((64 * WORDS, dimension)).astype(np.float32)
+    names = rows.columns
+    at = names.index(column)
+
+    def run(batches):
+        for batch in batches:
+            vectors = np.array(batch.column(at).to_pylist(), np.float32).reshape(batch.num_rows, -1)
+            longs = np.packbits(vectors @ planes.T > 0, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(np.ascontiguousarray(longs[:, k])) for k in range(WORDS)]], names=[*names, *[f"s{k}" for k in range(WORDS)]])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", s{k} long" for k in range(WORDS))
+    return rows.mapInArrow(run, schema)
 
-    dimension = vectors.select(F.size("v")).first()[0]
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dimension))
 
-    def keyed(df: DataFrame, column: str) -> DataFrame:
-        table = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in planes])
-        sides = F.transform(table, lambda p: F.when(V.dot(F.col(column), p) > 0, 1).otherwise(0))
-        rows = df.withColumn("sides", sides).select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"))
-        key = F.aggregate(F.slice("sides", F.col("table") * bits + 1, F.lit(bits)), F.lit(0), lambda k, x: k * 2 + x)
-        return rows.withColumn("key", key).drop("sides")
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """Approximate top k by random hyperplanes: signatures of all vectors are compared bit by bit, and of each query the
+    nearest 10 k and a `share` of all are ranked by their cosine.
 
-    pairs = keyed(queries, "q").select("qid", "table", "key").join(keyed(vectors, "v").select("doc_idx", "table", "key"), ["table", "key"]).where("qid <> doc_idx").select("qid", "doc_idx").distinct()
+    A comparison is WORDS xors in generated code instead of a sum over the dimension. Tables of buckets would
+    meet nearly all pairs here: neighbours at a cosine of 0.3 share few bits in a row."""
+    first = vectors.select(F.size("v")).first()
+    if first is None:
+        return semantic_topk(queries, vectors, k)
+    near = 10 * k + int(share * vectors.count())
+    asked = signatures(queries, "q", first[0], seed).select("qid", *[F.col(f"s{i}").alias(f"t{i}") for i in range(WORDS)])
+    stored = signatures(vectors, "v", first[0], seed).select("doc_idx", *[f"s{i}" for i in range(WORDS)])
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    pairs = against_all(stored, asked, "qid").where("qid <> doc_idx").select("qid", "doc_idx", apart.alias("apart"))
+    closest = Window.partitionBy("qid").orderBy("apart", "doc_idx")
+    pairs = pairs.withColumn("near", F.row_number().over(closest)).where(F.col("near") <= near).select("qid", "doc_idx")
     found = pairs.join(queries, "qid").join(vectors, "doc_idx").select("qid", "doc_idx", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("sim"))
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_idx")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

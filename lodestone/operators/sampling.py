@@ -41,6 +41,19 @@ def _kth(groups: DataFrame, k: int) -> Column | None:
     return None
 
 
+def first_by_hash(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """The first n rows by the hash of (qid, pid): whole ranges of the hash, and of the last range what is wanting."""
+    hashed = rows.withColumn("_h", order_of(seed, "qid", "pid"))
+    width = 1 << 20
+    before = 0
+    for row in sorted(hashed.groupBy(F.expr(f"_h div {width}").alias("b")).count().collect(), key=lambda r: r["b"]):  # at most 4096 ranges
+        if before + row["count"] >= n:
+            last = hashed.where(F.expr(f"_h div {width}") == row["b"]).orderBy("_h", "qid", "pid").limit(n - before)
+            return hashed.where(F.expr(f"_h div {width}") < row["b"]).unionByName(last).drop("_h")
+        before += row["count"]
+    return rows
+
+
 def downsample_negatives(rows: DataFrame, ratio: float = 3.0, seed: int = 42) -> DataFrame:
     """All positives and max(P, int(P * ratio)) negatives of each group; groups without positives lose all rows."""
     group = Window.partitionBy("qid")
@@ -63,6 +76,6 @@ def upsample_rare(rows: DataFrame, label: int = 1, target: float = 0.15, seed: i
     each, more = divmod(need, rare)
     own = rows.where(F.col("relevance") == label)
     copies = own.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(each)))).drop("_k") if each else own.limit(0)
-    last = own.orderBy(order_of(seed, "qid", "pid"), "qid", "pid").limit(more)
+    last = first_by_hash(own, more, seed)
     extra = copies.unionByName(last).withColumn("qid", F.lit(EXTRA).cast(rows.schema["qid"].dataType))
     return rows.unionByName(extra)

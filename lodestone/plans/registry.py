@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import RankerConfig
-from lodestone.functions import entities, fixed
+from lodestone.config import EngineConfig, RankerConfig
+from lodestone.functions import entities, fixed, language
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
+from lodestone.functions.joins import against_all
 from lodestone.operators import bm25, candidates, evaluate, features, guardrails, model, retrieval, sampling, synth
-from lodestone.sources import interactions, stores
+from lodestone.sources import interactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,13 +116,14 @@ def bm25_topk(spark, sf):
 @query(bm25_sql(DOCS, BENCH) + " select sc.qid, sc.doc_idx, round(score, 6) as score from sc join qs on qs.qid = sc.qid join corpus on corpus.doc_idx = sc.doc_idx where contains(corpus.text, qs.query)")
 def bm25_candidate_scores(spark, sf):
     docs, asked = _documents(spark, sf), _benchmark(spark, sf)
-    pairs = docs.join(F.broadcast(asked), F.contains("text", "query")).select("qid", "doc_idx")
+    pairs = against_all(docs, asked, "qid").where(F.contains("text", "query")).select("qid", "doc_idx")
     return bm25.scores(docs, asked, candidates=pairs).select("qid", "doc_idx", F.round("score", 6).alias("score"))
 
 
 @query(bm25_sql(DOCS, BENCH) + " select n_docs, round(avgdl, 6) as avgdl, n_terms, round(avg_idf, 6) as avg_idf from st, av")
 def corpus_stats(spark, sf):
-    return bm25.corpus_stats(bm25.doc_tokens(_documents(spark, sf))).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("avg_idf", 6).alias("avg_idf"))
+    docs = _documents(spark, sf)
+    return bm25.corpus_stats(bm25.postings(bm25.doc_tokens(docs)), docs.count()).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("avg_idf", 6).alias("avg_idf"))
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +141,7 @@ def semantic_topk(spark, sf):
 from embeddings a, embeddings b where a.vec_id % 50 = 0""")
 def semantic_sim_clip(spark, sf):
     q, v = _vectors(spark, sf)
-    return v.crossJoin(F.broadcast(q)).select("qid", "doc_idx", F.round(V.similarity_of_distance(V.squared_distance(F.col("q"), F.col("v"))), 6).alias("sim"))  # a stated query set against all rows
+    return against_all(v, q, "qid").select("qid", "doc_idx", F.round(V.similarity_of_distance(V.squared_distance(F.col("q"), F.col("v"))), 6).alias("sim"))  # a stated query set against all rows
 
 
 @query()
@@ -178,12 +180,29 @@ def hybrid_rrf_topk(spark, sf):
 # ---- text ---------------------------------------------------------------------------------------------------
 
 
+def grams_sql(rows: str, keep: str) -> str:
+    """keep and gram of rows (keep, text)."""
+    return f"(select {keep}, unnest(list_transform(range(1, length(w) + 1), lambda i: substring(' ' || w || ' ', i, 3))) as gram from (select {keep}, unnest({tok('text')}) as w from {rows}))"
+
+
+@query(f"""with g as {grams_sql('(select * from documents where lang is not null)', 'lang')}, c as (select lang, gram, count(*) as n from g group by all),
+base as (select lang, sum(n) as total, (select count(distinct gram) from c) as v from c group by lang),
+m as (select lang, gram, ln((n + 1) / (total + v + 1)) as logp from c join base using (lang)), z as (select lang, ln(1 / (total + v + 1)) as none from base),
+a as (select key, gram, count(*) as c from {grams_sql('(select item_id as key, text from benchmark)', 'key')} group by all),
+s as (select a.key, z.lang, round(sum(a.c * coalesce(m.logp, z.none)), 6) as score from a cross join z left join m on m.gram = a.gram and m.lang = z.lang group by all),
+b as (select key, lang from (select *, row_number() over (partition by key order by score desc, lang) as n from s) where n = 1)
+select item_id as key, coalesce(lang, 'en') as lang from benchmark left join b on key = item_id""")
+def language_id(spark, sf):
+    asked = read(spark, sf, "benchmark")
+    return language.classify(asked, language.fit(read(spark, sf, "documents")), "item_id")
+
+
 @query(f"""select a.item_id as a, b.item_id as b, round(coalesce(len(list_intersect({tok('a.text')}, {tok('b.text')})) / nullif(len(list_distinct({tok('a.text')} || {tok('b.text')})), 0), 0), 6) as jaccard
-from benchmark a, benchmark b""")
+from benchmark a, benchmark b where a.item_id % 50 = 0""")
 def jaccard_pairs(spark, sf):
-    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("a"), T.tokens(F.col("text")).alias("x"))
-    other = rows.select(F.col("a").alias("b"), F.col("x").alias("y"))
-    return rows.crossJoin(F.broadcast(other)).select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))  # the benchmark is the query set
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").alias("b"), T.tokens(F.col("text")).alias("y"))
+    asked = rows.where("b % 50 = 0").select(F.col("b").alias("a"), F.col("y").alias("x"))
+    return against_all(rows, asked, "a").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
 @query("select t.p_type as query, count(*) as n, count_if(contains(lower(p.p_name || ' ' || p.p_type), lower(t.p_type))) as n_match from (select distinct p_type from part) t, part p group by all")
@@ -191,7 +210,7 @@ def exact_title_match(spark, sf):
     part = read(spark, sf, "part")
     kinds = part.select(F.col("p_type").alias("query")).distinct()
     title = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    return part.crossJoin(F.broadcast(kinds)).groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.contains(title, entities.normalize_query(F.col("query")))).alias("n_match"))
+    return against_all(part, kinds, "query").groupBy("query").agg(F.count("*").alias("n"), F.count_if(F.contains(title, entities.normalize_query(F.col("query")))).alias("n_match"))
 
 
 @query(f"select item_id, len({tok('text')}) as n_tokens, len(list_distinct({tok('text')})) as query_len from benchmark")
@@ -260,7 +279,7 @@ h as (select query, min_by(name, ordinal) as query_brand from q join b on contai
 select q.query, h.query_brand from q left join h on h.query = q.query""")
 def brand_match_join(spark, sf):
     part = read(spark, sf, "part")
-    brands = part.select("p_brand").distinct().select(F.lower("p_brand").alias("name"), F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("p_brand")).alias("ordinal"))  # a dimension of few names
+    brands = part.select("p_brand").distinct().select(F.lower("p_brand").alias("name"), F.col("p_brand").alias("ordinal"))
     asked = part.select(F.concat(F.lit("Buy "), "p_brand", F.lit(" "), "p_type", F.lit(" or "), "p_brand", F.lit("1")).alias("query")).distinct()
     return entities.first_brand(asked, brands)
 
@@ -404,6 +423,18 @@ def hard_negative_mining(spark, sf):
     return candidates.tiers(_retrieved(spark, sf), _labels(spark, sf))
 
 
+COSINE = f"(select qid, pid, (score % 100) / 100.0 as score, brand_match from {RETRIEVED})"
+
+
+@query(f"""with lab as (select qid, pid, max(relevance) as relevance from {LABELS} group by all),
+fresh as (select * from {COSINE} anti join lab using (qid, pid) where score > 0.5),
+t as (select qid, pid, 0 as tier, relevance::double as score from lab union all select qid, pid, case when score > 0.6 and brand_match = 0 then 1 else 2 end, score from fresh)
+select qid, pid, tier, row_number() over (partition by qid, tier order by score desc, pid) as tier_rank from t""")
+def semantic_candidates(spark, sf):
+    found = _retrieved(spark, sf).withColumn("score", (F.col("score") % 100) / 100.0)
+    return candidates.semantic_tiers(found, _labels(spark, sf))
+
+
 @query(f"with {COMPOSED} select * from comp")
 def candidate_compose(spark, sf):
     return candidates.compose(hard_negative_mining(spark, sf), 100)
@@ -566,7 +597,7 @@ def ablation(spark, sf):
 def full_catalog_eval(spark, sf):
     docs, asked = _documents(spark, sf), _benchmark(spark, sf)
     found = bm25.scores(docs, asked).select("qid", F.col("doc_idx").alias("pid"), F.round("score", 6).alias("score"))
-    truth = docs.join(F.broadcast(asked), F.contains("text", "query")).select("qid", F.col("doc_idx").alias("pid"), F.lit(1).alias("relevance"))
+    truth = against_all(docs, asked, "qid").where(F.contains("text", "query")).select("qid", F.col("doc_idx").alias("pid"), F.lit(1).alias("relevance"))
     rows = found.join(truth, ["qid", "pid"], "left").fillna(0, ["relevance"])
     return evaluate.mean_metrics(rows).select(F.round("ndcg", 6).alias("ndcg"), F.round("mrr", 6).alias("mrr"))
 
@@ -629,19 +660,13 @@ def hard_negative_queries(spark, sf):
 # ---- model and streams --------------------------------------------------------------------------------------
 
 
-def _judged(spark, sf):
-    """The best 40 of each supplier's items (the candidates of a query) with a few features, for the model."""
-    best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "pid"))
-    rows = candidates.useful_groups(_scored(spark, sf).withColumn("rank", best).where("rank <= 40"))
-    names = fixed.FEATURES
-    return rows.select("qid", "pid", "query", "category", "relevance", *[(F.col("score") + 0.1 * F.col("relevance") if n == "semantic_sim" else F.col("brand_match").cast("double") if n == "brand_match" else F.lit(0.0)).cast("float").alias(n) for n in names])
-
-
 @query()
 def train_rank(spark, sf):
-    rows = stores.written(sampling.group_split(_judged(spark, sf)), "train-rank")
-    ranker = model.LambdaRanker(RankerConfig(rounds=5, max_depth=3)).fit(rows.where("split = 'train'"), rows.where("split = 'val'"))
-    return ranker.diagnostics(spark)
+    """Metrics of the rounds of a ranker trained on all composed candidates of the plain interactions, with their full features."""
+    from lodestone.plans import serving
+
+    config = EngineConfig(ranker=RankerConfig(rounds=10))
+    return serving.train(*serving.demo_tables(spark, sf), config).diagnostics(spark)
 
 
 @query()
@@ -665,7 +690,7 @@ def streaming_first_seen(spark, sf):
     return streams.first_seen(spark, sf)
 
 
-@query()
+@query("select (event_id % 4)::int as relevance, count(*) as n from events group by all")
 def streaming_ingest(spark, sf):
     from lodestone.plans import streams
 

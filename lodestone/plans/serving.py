@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from lodestone.config import EngineConfig, RankerConfig
 from lodestone.functions import text as T
-from lodestone.functions import vectors as V
 from lodestone.operators import bm25, candidates, evaluate, features, guardrails, model, retrieval, sampling, synth
-from lodestone.sources import stores
+from lodestone.sources import providers, stores
 
 
-def retrieve(queries: DataFrame, items: DataFrame, config: EngineConfig, hybrid: bool = True) -> DataFrame:
-    """(qid, pid, score, rank) of queries (qid, query) over items with catalog columns."""
+def retrieve(queries: DataFrame, items: DataFrame, config: EngineConfig, hybrid: bool = True, embeddings: providers.Embeddings | None = None) -> DataFrame:
+    """(qid, pid, score, rank) of queries (qid, query) over items with catalog columns; embeddings: where vectors come from."""
     k = config.data.retrieval_k
-    asked = queries.select("qid", V.hashed_embedding(T.tokens(F.col("query"))).alias("q"))
-    given = items.select(F.col("pid").alias("doc_idx"), V.hashed_embedding(F.col("title_tokens")).alias("v"))
-    meaning = retrieval.semantic_topk(asked, given, 2 * k if hybrid else k, exclude_self=False)
+    embeddings = embeddings or providers.HashedWords()
+    asked = embeddings.vectors(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("vector").alias("q"))
+    given = embeddings.vectors(items, "pid", "title").select(F.col("key").alias("doc_idx"), F.col("vector").alias("v"))
+    meaning = retrieval.search(asked, given, 2 * k if hybrid else k, embeddings.dimension, config.vectors)
     if hybrid:
         lexical = bm25.topk(items.select(F.col("pid").alias("doc_idx"), F.col("title").alias("text")), queries, 2 * k)
         found = retrieval.rrf([(meaning, config.data.semantic_weight), (lexical, config.data.bm25_weight)], k, config.data.rrf_k)
@@ -26,38 +26,39 @@ def retrieve(queries: DataFrame, items: DataFrame, config: EngineConfig, hybrid:
     return found.select("qid", F.col("doc_idx").alias("pid"), "score", "rank")
 
 
-def featurize(pairs: DataFrame, queries: DataFrame, items: DataFrame, config: EngineConfig, keep: list[str]) -> DataFrame:
+def featurize(pairs: DataFrame, queries: DataFrame, items: DataFrame, config: EngineConfig, keep: list[str], embeddings: providers.Embeddings | None = None) -> DataFrame:
     """The features of pairs (qid, pid, ...), by BM25 over all items."""
     corpus = items.select(F.col("pid").alias("doc_idx"), F.col("title").alias("text"))
     lexical = bm25.scores(corpus, queries, candidates=pairs.select("qid", F.col("pid").alias("doc_idx"))).select("qid", F.col("doc_idx").alias("pid"), F.col("score").alias("bm25"))
     rows = pairs.join(queries, "qid").join(items, "pid").join(lexical, ["qid", "pid"], "left").fillna(0.0, ["bm25"])
-    return features.feature_matrix(features.hashed_similarities(rows), keep, config.ranker.bm25_norm_factor)
+    similar = features.similarities(rows, embeddings) if embeddings else features.hashed_similarities(rows)
+    return features.feature_matrix(similar, keep, config.ranker.bm25_norm_factor)
 
 
-def rank(queries: DataFrame, catalog: DataFrame, ranker: model.LambdaRanker, config: EngineConfig, k: int = 10, hybrid: bool = False) -> DataFrame:
+def rank(queries: DataFrame, catalog: DataFrame, ranker: model.LambdaRanker, config: EngineConfig, k: int = 10, hybrid: bool = False, embeddings: providers.Embeddings | None = None) -> DataFrame:
     """(qid, pid, title, brand, category, score, rank) for every query; a query that finds nothing has no row."""
     items = features.with_catalog_columns(catalog)
-    found = retrieve(queries, items, config, hybrid)
-    matrix = featurize(found.select("qid", "pid"), queries, items, config, ["qid", "pid", "query", "category"])
+    found = retrieve(queries, items, config, hybrid, embeddings)
+    matrix = featurize(found.select("qid", "pid"), queries, items, config, ["qid", "pid", "query", "category"], embeddings)
     scored = guardrails.serving_guardrails(ranker.predict(matrix).select("qid", "pid", "query", "category", "score", "brand_match"))
     cut = guardrails.score_gap_cut(scored, k)
     return cut.join(catalog.select("pid", "title", "brand"), "pid").select("qid", "pid", "title", "brand", "category", "score", "rank")
 
 
-def training_rows(interactions: DataFrame, catalog: DataFrame, config: EngineConfig, hybrid: bool = True) -> DataFrame:
+def training_rows(interactions: DataFrame, catalog: DataFrame, config: EngineConfig, hybrid: bool = True, embeddings: providers.Embeddings | None = None) -> DataFrame:
     """Features and relevance of the composed candidates of every query of interactions (qid, pid, query, relevance)."""
     items = features.with_catalog_columns(catalog)
     queries = interactions.groupBy("qid").agg(F.min("query").alias("query"))
     brand = features.match(F.col("brand_norm"), F.lower(T.one_space(F.col("query"))))
-    found = retrieve(queries, items, config, hybrid).join(queries, "qid").join(items.select("pid", "brand_norm"), "pid").select("qid", "pid", "score", brand.alias("brand_match"))
-    tiered = candidates.tiers(found, interactions, config.data.hard_negative_score)
+    found = retrieve(queries, items, config, hybrid, embeddings).join(queries, "qid").join(items.select("pid", "brand_norm"), "pid").select("qid", "pid", "score", brand.alias("brand_match"))
+    tiered = candidates.tiers(found, interactions, config.data.hard_negative_score) if hybrid else candidates.semantic_tiers(found, interactions)
     chosen = candidates.useful_groups(candidates.with_labels(candidates.compose(tiered, config.data.retrieval_k, config.data.max_hard_negatives), interactions))
-    return featurize(chosen.select("qid", "pid", "relevance"), queries, items, config, ["qid", "pid", "query", "category", "relevance"])
+    return featurize(chosen.select("qid", "pid", "relevance"), queries, items, config, ["qid", "pid", "query", "category", "relevance"], embeddings)
 
 
-def train(interactions: DataFrame, catalog: DataFrame, config: EngineConfig) -> model.LambdaRanker:
+def train(interactions: DataFrame, catalog: DataFrame, config: EngineConfig, hybrid: bool = True, embeddings: providers.Embeddings | None = None) -> model.LambdaRanker:
     """Split by group, sample, and fit."""
-    rows = stores.written(sampling.group_split(training_rows(interactions, catalog, config), config.ranker.test_size, config.data.seed), "training-rows")
+    rows = stores.written(sampling.group_split(training_rows(interactions, catalog, config, hybrid, embeddings), config.ranker.test_size, config.data.seed), "training-rows")
     sampled = sampling.upsample_rare(sampling.downsample_negatives(rows.where("split = 'train'"), config.ranker.neg_downsample_ratio, config.data.seed), seed=config.data.seed)
     return model.LambdaRanker(config.ranker).fit(sampled, rows.where("split = 'val'"), config.data.seed)
 
@@ -67,12 +68,19 @@ def ablation(rows: DataFrame, ranker: model.LambdaRanker) -> DataFrame:
     return evaluate.ablation(ranker.predict(rows, "full"), {"BM25": "bm25_score", "Semantic": "semantic_sim", "Full": "full"})
 
 
+def demo_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Plain interactions (qid, pid, query, relevance) of the parts, and the parts as a catalog."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    items = part.select(F.col("p_partkey").alias("pid"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
+    plain = synth.plain_queries(items).where("template_no <> 2").withColumn("qid", F.md5("query"))
+    return plain.select("qid", "pid", "query", "relevance"), items
+
+
 def demo(spark: SparkSession, sf: str) -> DataFrame:
     """Train on plain interactions of the parts, then rank the distinct brand-and-type queries."""
     config = EngineConfig(ranker=RankerConfig(rounds=3, max_depth=3))
+    interactions, items = demo_tables(spark, sf)
+    ranker = train(interactions, items, config)
     part = spark.read.parquet(f"{sf}/part.parquet")
-    items = part.select(F.col("p_partkey").alias("pid"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"))
-    plain = synth.plain_queries(items).where("template_no <> 2").withColumn("qid", F.md5("query"))
-    ranker = train(plain.select("qid", "pid", "query", "relevance"), items, config)
     asked = part.select(F.concat_ws(" ", "p_brand", "p_type").alias("query")).distinct().withColumn("qid", F.md5("query"))
     return rank(asked, items, ranker, config)

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.stores import shared_folder as _folder
 from lodestone.streaming import ingest as S
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream: their file, or folder of files."""
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -25,9 +16,28 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+SLICES = 8
+
+
+def _in_time(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """The events as a stream that comes slice by slice of their time, as a log does, and the width of a slice.
+
+    Inside a slice rows come in no order, so a row is late by one slice at most."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = rows.agg(F.min("ts").cast("double"), F.max("ts").cast("double")).first()
+    low, width = low or 0.0, max(1.0, ((high or 0.0) - (low or 0.0)) / SLICES)
+    path = _folder(spark, "stream-events")
+    at = F.least(F.floor((F.col("ts").cast("double") - low) / width), F.lit(SLICES - 1))
+    for k in range(SLICES):  # one folder after another: files are read by their age
+        rows.where(at == k).write.parquet(f"{path}/slice={k}")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path)
+    return source, f"{int(width) + 1} seconds"
+
+
 def windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly counts by event type; late is as long as the table, for its rows come in no order."""
-    rows = S.windowed_counts(_events(spark, sf), "ts", "event_type", late="100000 hours")
+    """Hourly counts by event type; the state of a window goes when the watermark, a slice behind the latest event, has passed it."""
+    events, late = _in_time(spark, sf)
+    rows = S.windowed_counts(events, "ts", "event_type", late=late)
     path = _folder(spark, "stream-windows")
     got = S.run_to_table(spark, rows, "update", path, _folder(spark, "stream-state"))
     last = got.withColumn("_at", F.regexp_extract(F.col("_metadata.file_path"), r"batch=(\d+)", 1).cast("long"))

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.config import DataConfig, EngineConfig, RankerConfig, with_overrides
+from lodestone.functions import fixed, joins, language
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
-from lodestone.operators import bm25, candidates, evaluate, guardrails, retrieval, sampling, synth
-from lodestone.plans import registry
-from lodestone.sources import interactions, stores
+from lodestone.operators import bm25, candidates, evaluate, features, guardrails, retrieval, sampling, synth
+from lodestone.plans import registry, serving
+from lodestone.sources import generated, interactions, providers, stores
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-RANDOM = ["augmented_catalog", "augmented_queries", "hard_negative_queries", "feature_vectors", "lsh_topk", "streaming_ingest"]
+RANDOM = ["augmented_catalog", "augmented_queries", "hard_negative_queries", "feature_vectors", "lsh_topk"]
 
 
 @pytest.fixture(scope="module")
@@ -186,16 +187,177 @@ def test_training_and_serving(spark, sf):
     assert got.columns == ["qid", "pid", "title", "brand", "category", "score", "rank"] and got.count() > 0
 
 
-def test_model_learns_and_is_stored(spark, sf, tmp_path):
+def ranking_rows(spark, n=60):
+    rows = [(f"q{q}", p, (q * p) % 3, (q * 7 + p) % 5 / 5.0) for q in range(n) for p in range(12)]
+    df = spark.createDataFrame(rows, "qid string, pid int, relevance int, noise double")
+    return df.select("qid", "pid", "relevance", *[(F.col("relevance") * 0.3 + F.col("noise") if c == "semantic_sim" else F.col("noise") if c == "jaccard" else F.lit(0.0)).cast("float").alias(c) for c in fixed.FEATURES])
+
+
+def test_model_learns_and_is_stored(spark, tmp_path):
     from lodestone.operators.model import LambdaRanker
 
-    rows = stores.written(sampling.group_split(registry._judged(spark, sf)), "rows")
-    ranker = LambdaRanker(RankerConfig(rounds=3, max_depth=2)).fit(rows.where("split = 'train'"), rows.where("split = 'val'"))
+    rows = stores.written(sampling.group_split(ranking_rows(spark)), "rows")
+    config = RankerConfig(rounds=5, max_depth=3, learning_rate=0.3)
+    ranker = LambdaRanker(config).fit(sampling.upsample_rare(rows.where("split = 'train'"), target=0.6), rows.where("split = 'val'"))
     assert ranker.history and ranker.importances(spark).first()["importance"] > 0
+    ndcg = lambda df: evaluate.ndcg(df, 5).agg(F.avg("ndcg")).first()[0]
+    assert ndcg(ranker.predict(rows)) > ndcg(rows.withColumn("score", F.col("jaccard").cast("double"))) + 0.05
     ranker.save(str(tmp_path), "model")
+    ranker.export(str(tmp_path / "model.json"))
     again = LambdaRanker.load(str(tmp_path), "model")
-    score = lambda m: sorted((r["qid"], r["pid"], round(r["score"], 9)) for r in m.predict(rows).collect())
+    score = lambda m: sorted((r["qid"], r["pid"], r["score"]) for r in m.predict(rows).collect())
     assert score(ranker) == score(again)
+    plain = LambdaRanker.of_json((tmp_path / "model.json").read_text())  # without Spark
+    held = rows.orderBy("qid", "pid").toPandas()
+    assert plain.scores(held[list(fixed.FEATURES)].to_numpy()) == pytest.approx([s for _, _, s in score(ranker)])
+
+
+def test_tree_tables_score_as_fitted(spark):
+    """A tree's table against the fitted tree itself, by its leaves."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    from lodestone.operators.model import Tree
+
+    rows = VectorAssembler(inputCols=["semantic_sim", "jaccard"], outputCol="_x").transform(ranking_rows(spark))
+    fitted = DecisionTreeRegressor(featuresCol="_x", labelCol="relevance", maxDepth=4, leafCol="_leaf").fit(rows)
+    made = Tree.of(fitted, [1, 0], {k: float(k) for k in range(40)})
+    got = fitted.transform(rows).select("jaccard", "semantic_sim", "_leaf").toPandas()
+    assert made.scores(got[["jaccard", "semantic_sim"]].to_numpy()).tolist() == got["_leaf"].tolist()
+
+
+def test_bags_keep_positives(spark):
+    from lodestone.operators.model import LambdaRanker
+
+    rows = ranking_rows(spark, 200)
+    all_, bag = ({r["relevance"] > 0: r["n"] for r in df.groupBy((F.col("relevance") > 0).alias("relevance")).agg(F.count("*").alias("n")).collect()} for df in (rows, LambdaRanker()._bag(rows, 0, 42)))
+    assert 0.75 < bag[True] / all_[True] < 0.85 and 0.18 < bag[False] / all_[False] < 0.3
+    assert LambdaRanker(RankerConfig(bagging_freq=0))._bag(rows, 0, 42).count() == rows.count()
+
+
+def test_search_checks_its_input(spark):
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, q array<double>")
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_idx int, v array<double>")
+    assert [r["doc_idx"] for r in retrieval.search(one, two, 2, 2).orderBy("rank").collect()] == [1, 2]
+    for call in (lambda: retrieval.search(one, two, 0, 2), lambda: retrieval.search(one, two, 1001, 2), lambda: retrieval.search(one, two, 1, 3)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_many_queries_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_QUERIES", 3)
+    rows, asked = spark.range(20), spark.range(10).withColumnRenamed("id", "qid")
+    assert joins.against_all(rows, asked, "qid").distinct().count() == 200
+    assert joins.against_all(rows, asked.limit(3), "qid").distinct().count() == 60
+
+
+def test_lsh_looks_at_few(spark, sf):
+    """Of all pairs only a small share is ranked by cosine."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((3000, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_idx int, v array<double>")
+    asked = vectors.where("doc_idx % 50 = 0").select(F.col("doc_idx").alias("qid"), F.col("v").alias("q"))
+    exact = {(r["qid"], r["doc_idx"]) for r in retrieval.semantic_topk(asked, vectors, 10).collect()}
+    found = {(r["qid"], r["doc_idx"]) for r in retrieval.lsh_topk(asked, vectors, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and 10 * 10 + 0.05 * 3000 < 0.1 * 3000
+
+
+def test_providers(spark):
+    items = spark.createDataFrame([(1, "red shoe", "b", "c"), (2, "blue phone", "b", "c"), (3, None, "b", "c")], "pid int, title string, brand string, category string")
+    asked = spark.createDataFrame([("q", "red shoe"), ("r", "buty")], "qid string, query string")
+    table = spark.createDataFrame([("red shoe", [2.0, 0.0]), ("blue phone", [0.0, 3.0]), ("shoes", [1.0, 1.0])], "text string, embedding array<double>")
+    given = providers.Given(table, 2)
+    full = features.with_catalog_columns(items)
+    found = serving.retrieve(asked, full, EngineConfig(), hybrid=False, embeddings=given)
+    assert [(r["qid"], r["pid"], r["score"]) for r in found.orderBy("rank").collect()] == [("q", 1, 1.0), ("q", 2, 0.0)]
+    pairs = asked.crossJoin(full)
+    got = {(r["qid"], r["pid"]): (r["semantic"], r["cross_lingual"]) for r in features.similarities(pairs, given).collect()}
+    assert got["q", 1] == (1.0, 1.0) and got["q", 3] == (0.0, 0.0) and got["r", 1][0] == 0.0 and got["r", 1][1] == pytest.approx(0.5**0.5)
+    lengths = providers.Encoded(lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    made = {r["key"]: r["vector"] for r in lengths.vectors(items, "pid", "title").collect()}
+    assert made[3] == [0.0, 1.0] and made[1] == pytest.approx([8 / 65**0.5, 1 / 65**0.5])
+    with pytest.raises(Exception, match="encoder gave"):
+        providers.Encoded(lambda texts: [[1.0] for _ in texts], 2).vectors(items, "pid", "title").collect()
+
+
+def test_generated_texts_are_cached(spark, tmp_path):
+    assert generated.json_in('Sure: {"title": "x", "n": 3, "none": null} bye') == {"title": "x", "n": "3"}
+    assert generated.json_in("no object") is None and generated.json_in("{broken") is None and generated.json_in(None) is None
+    rows = spark.createDataFrame([(f"k{i}", f"p{i}") for i in range(20)], "key string, prompt string").coalesce(1)
+
+    def ask(prompt):
+        if prompt in ("p3", "p9"):
+            raise OSError("no answer")
+        return '{"title": "' + prompt + '"}'
+
+    got = {r["key"]: r["made"] for r in generated.cached(rows, ask, str(tmp_path)).collect()}
+    assert len(got) == 20 and got["k3"] is None and got["k4"] == {"title": "p4"}
+    again = {r["key"]: r["made"] for r in generated.cached(rows, lambda p: '{"title": "new"}', str(tmp_path)).collect()}
+    assert again["k3"] == {"title": "new"} and again["k4"] == {"title": "p4"}
+    answers = generated.generate(rows, lambda p: None if p < "p3" else '{"a": "b"}').collect()
+    assert all(r["made"] is None for r in answers)  # after three failures in a row nothing is asked
+
+
+def test_language_of_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 200").select("doc_id", "lang", F.substring("text", 1, 2000).alias("text"))
+    found = language.classify(docs.where("doc_id % 5 = 0"), language.fit(docs.where("doc_id % 5 <> 0")), "doc_id")
+    right, n = found.join(docs.withColumnRenamed("lang", "true"), F.col("key") == F.col("doc_id")).agg(F.count_if(F.col("lang") == F.col("true")), F.count("*")).first()
+    assert n > 100 and right / n > 0.95
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id int, text string")
+    assert [r["lang"] for r in language.classify(odd, language.fit(docs), "doc_id", default="xx").collect()] == ["xx"] * 3
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """A row behind the watermark is left out, and a window that the watermark passed is closed."""
+    from lodestone.streaming import ingest as S
+
+    batches = [[("2024-01-01 00:10:00", "a", 1.0)], [("2024-01-01 05:00:00", "a", 2.0)], [("2024-01-01 05:05:00", "a", 0.0)], [("2024-01-01 00:20:00", "a", 4.0), ("2024-01-01 05:10:00", "a", 8.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "t string, kind string, value double").select(F.to_timestamp("t").alias("ts"), "kind", "value").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema("ts timestamp, kind string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in"))
+    got = S.run_to_table(spark, S.windowed_counts(source, "ts", "kind"), "update", str(tmp_path / "out"), str(tmp_path / "state"))
+    totals = {str(r["window_start"]): r["total"] for r in got.groupBy("window_start").agg(F.max("total").alias("total")).collect()}
+    assert totals == {"2024-01-01 00:00:00": 1.0, "2024-01-01 05:00:00": 10.0}
+
+
+def test_command_line(spark, tmp_path):
+    from lodestone.__main__ import main
+
+    interactions, items = serving.demo_tables(spark, "/root/testdata/sf0.001")
+    interactions.write.parquet(str(tmp_path / "interactions"))
+    items.write.parquet(str(tmp_path / "catalog"))
+    interactions.select("qid", "query").distinct().limit(5).write.parquet(str(tmp_path / "queries"))
+    common = ["--catalog", str(tmp_path / "catalog"), "--models", str(tmp_path / "models")]
+    main(["train", "--interactions", str(tmp_path / "interactions"), *common, "ranker.rounds=1", "data.retrieval_k=20"])
+    main(["rank", "--queries", str(tmp_path / "queries"), *common, "--out", str(tmp_path / "out"), "-k", "3"])
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == ["qid", "pid", "title", "brand", "category", "score", "rank"] and got.agg(F.max("rank")).first()[0] <= 3
+
+
+def test_feature_vectors_by_hand(spark, sf):
+    """The semantic columns and one-hots that the SQL of feature_matrix does not show."""
+    import hashlib
+
+    import numpy as np
+
+    def embed(words):
+        v = np.zeros(64)
+        for w in words:
+            v[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 64] += 1
+        return v
+
+    cos = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))) if a.any() and b.any() else 0.0
+    rows = registry._pairs(spark, sf).limit(60).collect()
+    for r in rows:
+        item = embed(r["title_tokens"])
+        assert r["semantic"] == pytest.approx(cos(embed(r["query"].lower().split()), item), abs=1e-6)
+    made = registry.queries()["feature_vectors"](spark, sf)
+    one = made.select((F.col("intent_brand_weight") + F.col("intent_sku_weight") + F.col("intent_generic_weight")).alias("s"), F.abs(F.col("semantic_channel") - (F.col("semantic_sim") + F.col("cross_lingual_sim")) / 2).alias("d"))
+    low, high, off = one.agg(F.min("s"), F.max("s"), F.max("d")).first()
+    assert 0 <= low and high <= 1 and off < 1e-6
 
 
 def test_config():
