@@ -79,6 +79,14 @@ def materialize(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialize(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), name)
     before = None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), name)
+        last, edges = edges, materialize(_small_star(_large_star(edges)), name)
+        discard(last)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return edges

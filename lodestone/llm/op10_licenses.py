@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +97,7 @@ def _phrase_places() -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the verified spans, of every row."""
     spark = docs.sparkSession
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase).alias("low"))
     words = words.select("doc_id", "low", F.array_remove(F.split("low", BETWEEN), "").alias("words"))
     grams = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get(F.col("words"), i + k) for k in range(1, K)]))
     rows = words.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("long").alias("n_words"), _phrase_places().alias("places"), grams.alias("grams"))

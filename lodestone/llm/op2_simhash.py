@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import HashMemo, batch_of, doc_columns, documents, mix, prepare, range_edges
+from lodestone.llm.common import HashMemo, batch_of, doc_columns, documents, materialize, mix, prepare, range_edges
 
 NO_ID = np.iinfo(np.int64).min
 SEED = 7
@@ -155,5 +155,25 @@ def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = 3, bl
     return pairs.select("query", "found", apart.cast("int").alias("distance")).distinct()
 
 
+def neighbours(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """Of every document whose id is divisible by 50: doc_id, fingerprint, n_near (other fingerprints of the table within the
+    radius) and nearest (the least distance to one, else null). Null ids are not asked about."""
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t or "") for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"])
+
+    prints = materialize(doc_columns(docs).mapInArrow(run, "doc_id long, print long"), "prints")
+    asked = prints.where("doc_id % 50 = 0")
+    near = near_fingerprints(asked, prints, radius).groupBy(F.col("query").alias("print")).agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"))
+    return asked.join(near, "print", "left").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.coalesce("n_near", F.lit(0)).alias("n_near"), "nearest")
+
+
+def fingerprint_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(documents(spark, sf_dir))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(documents(spark, sf_dir))

@@ -110,7 +110,8 @@ def judge(docs: DataFrame, labels: DataFrame | None, threshold: float = THRESHOL
     spark = docs.sparkSession
     prepare(spark)
     ratio = spark.sparkContext.broadcast(fit_ratio(docs, labels))  # 2**BITS floats
-    docs = docs.drop(*(name for name, _ in FIELDS if name in docs.columns and name not in ("doc_id", "text")))
+    taken = {name for name, _ in FIELDS} - {"doc_id", "text"}
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = docs.columns
 

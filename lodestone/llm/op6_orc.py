@@ -1,10 +1,10 @@
 """Token-id output as ORC: integer run-length encoding, row indexes and Bloom filters on document ids.
 
-Documents come in blocks, ascending ranges of doc_id; each block is one folder ``block=N`` with its rows in
-the order of (doc_id, text), so folders and stripes can be read in parallel, whole folders and stripes are
-skipped by their least and largest ids, and single ids by the Bloom filters.
+Documents come in blocks, ascending ranges of doc_id; up to FILE_BLOCKS neighbouring blocks make one file, whose rows ascend by
+(doc_id, text), as files do by their names. A file has several stripes: they can be read in parallel, stripes and rows of an index
+stride are skipped by their least and largest ids, and single ids by the Bloom filters.
 
-Columns of a file: row (its place in the block), doc_id, n_tokens, start (ids before it in the block), ids.
+Columns of a file: block, row (its place in the block), doc_id, n_tokens, start (ids before it in the block), ids.
 
 Defined results: a null text is empty and has the end id alone; null ids come first; repeated rows are
 written each; an empty table writes no row. Other columns are not read.
@@ -27,7 +27,9 @@ FILE = "byte_bpe_50k.json"
 END = 0
 ROW = "block long, row int, doc_id long, n_tokens int, start long, ids array<int>"
 ROW_INDEX = 1000
-STRIPE = 64 << 20
+STRIPE = 8 << 20
+#: Blocks of a file, and files that are wanted at least before a file gets more than one.
+FILE_BLOCKS, LEAST_FILES = 16, 48
 
 
 def _encode_block(table: pa.Table, file: str, end: int) -> pa.Table:
@@ -42,13 +44,32 @@ def _encode_block(table: pa.Table, file: str, end: int) -> pa.Table:
     return pa.table({"block": pa.array([block] * len(ids), pa.int64()), "row": pa.array(range(len(ids)), pa.int32()), "doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(sizes, pa.int32()), "start": pa.array(ends - sizes, pa.int64()), "ids": lists})
 
 
+def _encode_blocks(batches: Iterator[pa.RecordBatch], file: str, end: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ascending blocks, encoded block by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if held and a < b and held[0].column("block")[0].as_py() != blocks[a]:
+                yield from _encode_block(pa.Table.from_batches(held), file, end).to_batches()
+                held = []
+                freed()
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from _encode_block(pa.Table.from_batches(held), file, end).to_batches()
+
+
 def write_orc(docs: DataFrame, path: str, file: str = FILE, end: int = END, block_bytes: int = 8 << 20) -> None:
     """Encode every text of docs and write the ids, with `end` after each document, below path."""
     prepare(docs.sparkSession)
     blocks = Blocks(docs, block_bytes)
-    coded = blocks.frame.groupBy("block").applyInArrow(lambda t: freed(_encode_block(t, file, end)), ROW)
+    each = min(FILE_BLOCKS, max(1, blocks.n // LEAST_FILES))
+    dealt = blocks.frame.repartitionById(-(-blocks.n // each), F.expr(f"cast(block div {each} as int)")).sortWithinPartitions("block")
+    coded = dealt.mapInArrow(lambda it: _encode_blocks(it, file, end), ROW)
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}
-    coded.write.partitionBy("block").options(**options).orc(path)
+    coded.write.options(**options).orc(path)
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:

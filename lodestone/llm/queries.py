@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_urls.op1_url_filter,
         op2_simhash.op2_document_fingerprints,
+        op2_simhash.fingerprint_neighbours,
         op3_quality.op3_quality_rules,
         op4_bpe.op4_bpe_roundtrip,
         op5_neardup.op5_simhash_neardup,

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyarrow import orc
 from tokenizers import Tokenizer
 
 from lodestone.llm import op4_bpe, op6_orc, op9_packing
@@ -50,6 +51,28 @@ def test_orc_files(spark, odd, rows, empty, tmp_path):
     op6_orc.write_orc(empty, str(tmp_path / "none"))
 
 
+def test_orc_prunes(spark, tmp_path):
+    """Index strides are skipped by their least and largest ids, and ids that are not there by the Bloom filters; files have stripes."""
+    docs = spark.range(0, 40_000, 2).selectExpr("id as doc_id", "concat('some words of text ', id) as text")
+    path = str(tmp_path / "ids")
+    op6_orc.write_orc(docs, path, block_bytes=200_000)
+    parts = sorted((tmp_path / "ids").glob("*.orc"))
+    files = [orc.ORCFile(str(f)) for f in parts]
+    assert len(files) > 1 and all(f.nstripes >= 1 for f in files)
+    ids = [i for f in files for i in f.read(columns=["doc_id"]).column("doc_id").to_pylist()]
+    assert ids == list(range(0, 40_000, 2))  # ascending within files and by their names
+
+    def scanned(where):
+        df = op6_orc.read_orc(spark, path).where(where).select("doc_id")
+        plan = df._jdf.queryExecution().executedPlan()
+        df._jdf.queryExecution().toRdd().count()
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert scanned("doc_id is null or doc_id is not null") == 20_000
+    assert 1 <= scanned("doc_id = 20000") <= 2 * op6_orc.ROW_INDEX
+    assert scanned("doc_id = 20001") == 0
+
+
 def check_packing(pieces, texts, window=2048):
     """Every id once, sequences gapless, no padding but at lengths that are no power of two."""
     library = Tokenizer.from_file(P.path(op9_packing.FILE))
