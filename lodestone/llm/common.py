@@ -177,11 +177,27 @@ def range_edges(docs: DataFrame, bytes_per_part: int) -> list[int]:
     """Ascending edges that cut the ids that are not null into ranges of about so many bytes; one for each range but the last.
 
     Ids are counted in bins of even width, about eight for a range, and bins that are too heavy in narrower ones, down to one id."""
+    return _edges(docs, bytes_per_part, *sums(docs)[2:])
+
+
+def sums(docs: DataFrame) -> tuple:
+    """Bytes of all texts, of those without an id; least and greatest id, and the bytes of rows with one."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    has = F.col("doc_id").isNotNull()
+    got = docs.agg(F.sum(size), F.sum(F.when(~has, size)), F.min("doc_id"), F.max("doc_id"), F.sum(F.when(has, size + 16))).first()
+    return got[0] or 0, got[1] or 0, got[2], got[3], got[4] or 0
+
+
+def _edges(docs: DataFrame, bytes_per_part: int, low: int | None, high: int | None, total: int) -> list[int]:
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"))
-    low, high, total = rows.agg(F.min("id"), F.max("id"), F.sum("size")).first()
     if low is None or total <= bytes_per_part:
         return []
-    starts, sizes = [low], [total]
+    width = max(1, (high - low + 1) * bytes_per_part // (8 * total))
+    first, last = ((x // width if x >= 0 else -(-x // width)) for x in (low, high))  # as div cuts: towards zero
+    starts = [max(low, k * width if k > 0 else (k - 1) * width + 1) for k in range(first, last + 1)]
+    sizes = [0] * len(starts)
+    for r in rows.groupBy(F.expr(f"id div {width}L").alias("at")).agg(F.sum("size").alias("size")).collect():  # about eight rows for each range
+        sizes[r["at"] - first] = r["size"]
     while True:
         ends = [*starts[1:], high + 1]
         narrow = [min(e - s, -(-8 * size // bytes_per_part)) if 2 * size > bytes_per_part else 1 for s, e, size in zip(starts, ends, sizes, strict=True)]
@@ -210,8 +226,8 @@ class Blocks:
     def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20, carry: tuple[str, ...] = (), ordered: bool = True):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
         docs = doc_columns(docs)
-        self.size, none = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.octet_length("text"))), F.lit(0))).first()
-        edges = np.array(range_edges(docs, block_bytes), np.int64)
+        self.size, none, *ids = sums(docs)
+        edges = np.array(_edges(docs, block_bytes, *ids), np.int64)
         first = 1 if ordered else max(1, round(none / block_bytes))
         self.n = len(edges) + first
         self.frame = rows.mapInArrow(lambda it: _pack(it, edges, first=first), "block long, payload binary")

@@ -68,7 +68,7 @@ def write_orc(docs: DataFrame, path: str, file: str = FILE, end: int = END, bloc
     each = min(FILE_BLOCKS, max(1, blocks.n // LEAST_FILES))
     dealt = blocks.frame.repartitionById(-(-blocks.n // each), F.expr(f"cast(block div {each} as int)")).sortWithinPartitions("block")
     coded = dealt.mapInArrow(lambda it: _encode_blocks(it, file, end), ROW)
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}
+    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(ROW_INDEX), "orc.stripe.size": str(STRIPE)}
     coded.write.options(**options).orc(path)
 
 
