@@ -17,7 +17,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Most entries of a worker's tables.
-PIECES, MIDS, HEADS = 400_000, 600_000, 20_000
+PIECES, MIDS, HEADS = 250_000, 750_000, 20_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _PLAIN = re.compile("[\t\n\x21-\x7e\xa1-\xac\xae-\xff]*")
 
@@ -111,8 +111,9 @@ class CachedEncoder:
         self.doubtful = False  # a chunk was empty or ends in white space: the cut after it may be wrong
         piece = self.pieces = Memo(int(PIECES * room), self._of_piece)
         self.heads = Memo(int(HEADS * room), lambda c: b"".join(map(piece.__getitem__, self.pre_tokens("", c))), self._is_doubtful)
-        lead = " " if spaced else ""
-        self.mids = Memo(int(MIDS * room), lambda c: b"".join(map(piece.__getitem__, self.pre_tokens(lead, c))), self._is_doubtful)
+        self.lead = " " if spaced else ""
+        self.lead_letter = self.lead.translate(_LETTERS)
+        self.mids = Memo(int(MIDS * room), self._of_mid, self._is_doubtful)
 
     def _of_piece(self, piece: str) -> bytes:
         """One pre-token by the library's model; text that must be normalised first, by the whole library."""
@@ -120,6 +121,16 @@ class CachedEncoder:
             return array("H", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
         return array("H", self.library.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _of_mid(self, chunk: str) -> bytes:
+        """A later chunk, with the space before it. Letters of ASCII are one pre-token, and with one mark after them two."""
+        if chunk.isascii() or self.spaced:
+            if chunk.isalpha():
+                if chunk.isascii():
+                    return array("H", [t.id for t in self.model.tokenize(self.lead_letter + (chunk if self.spaced else chunk.lower()))]).tobytes()
+            elif chunk and chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return self.mids[chunk[:-1]] + self.pieces[chunk[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.pre_tokens(self.lead, chunk)))
+
     def _is_doubtful(self, chunk: str) -> bool:
         if not chunk or chunk[-1].isspace():
             self.doubtful = True
