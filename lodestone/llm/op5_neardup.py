@@ -37,8 +37,8 @@ WIDTH = 3
 LEAF, FANOUT = 16, 8
 #: Ranges: one for so many fingerprints, but at least LEAST_RANGES where they suffice, and at most MOST_RANGES.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1 << 20, 64, 1024
-LOT = 1 << 20  # guests of a range that are searched together
-FRONTIER = 1 << 21  # pairs of a search and a node that are looked at together
+LOT = 1 << 18  # guests of a range that are searched together
+FRONTIER = 1 << 16  # pairs of a search and a node that are looked at together
 #: Near duplicates: five-word shingles of similarity 0.8 or more. Fingerprints of distinct words within NEAR bits, and of
 #: the shingles within NEAR_WIDE of 256 bits (38 are expected at 0.8). Sizes differ by a ratio of at most 1 / 0.8, which is CLASSES size classes.
 NEAR_WORDS, NEAR, NEAR_WIDE, SIMILAR, CLASSES = 5, 6, 44, 0.8, 4
@@ -202,33 +202,39 @@ class GrayIndex:
         For entries that are ranges: those that may hold such a code."""
         top = len(self.levels) - 1
         grouped = len(groups) > 0 and max(int(groups.max()), self.groups[1]) - min(int(groups.min()), self.groups[0]) > apart
+
+        def stay(depth: int, query: np.ndarray, node: np.ndarray, sum_: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+            own, value, least, most, _ = self.levels[depth]
+            sum_ = sum_ + np.bitwise_count((codes[query] ^ value[node]) & own[node])
+            good = sum_ <= radius
+            if grouped:
+                of = groups[query]
+                good &= (least[node] <= of + apart) & (most[node] >= of - apart)
+            good = np.flatnonzero(good)
+            self.tested += len(query)
+            self.dropped += len(query) - len(good)
+            return depth, query[good], node[good], sum_[good]
+
         step = max(1, FRONTIER // max(1, len(self.levels[top][0])))
         for at in range(0, len(codes) if len(self.levels[0][0]) else 0, step):
             query, node = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + step, len(codes)), dtype=np.int32), np.arange(len(self.levels[top][0]), dtype=np.int32), indexing="ij"))
-            waiting = [(top, query, node, np.zeros(len(query), np.uint8))]
-            while waiting:
+            waiting = [stay(top, query, node, np.zeros(len(query), np.uint8))]
+            while waiting:  # the deepest first, so that little waits
                 depth, query, node, sum_ = waiting.pop()
-                own, value, least, most, width = self.levels[depth]
-                sum_ = sum_ + np.bitwise_count((codes[query] ^ value[node]) & own[node])
-                good = sum_ <= radius
-                if grouped:
-                    of = groups[query]
-                    good &= (least[node] <= of + apart) & (most[node] >= of - apart)
-                self.tested += len(good)
-                query, node, sum_ = query[good], node[good], sum_[good]
-                self.dropped += len(good) - len(query)
                 if depth == 0:
                     yield query, node
                     continue
-                n = len(self.levels[depth - 1][0])
+                width = self.levels[depth][4]
                 each = max(1, FRONTIER // width)
-                for cut in range(0, len(query), each):
-                    own_query, own_sum = np.repeat(query[cut : cut + each], width), np.repeat(sum_[cut : cut + each], width)
-                    below = (node[cut : cut + each, None] * np.int32(width) + np.arange(width, dtype=np.int32)).ravel()
-                    if below.max() >= n:
-                        there = below < n
-                        own_query, own_sum, below = own_query[there], own_sum[there], below[there]
-                    waiting.append((depth - 1, own_query, below, own_sum))
+                if len(query) > each:
+                    waiting.append((depth, query[each:], node[each:], sum_[each:]))
+                    query, node, sum_ = query[:each], node[:each], sum_[:each]
+                below = (node[:, None] * np.int32(width) + np.arange(width, dtype=np.int32)).ravel()
+                query, sum_ = np.repeat(query, width), np.repeat(sum_, width)
+                if len(below) and below.max() >= len(self.levels[depth - 1][0]):
+                    there = np.flatnonzero(below < len(self.levels[depth - 1][0]))
+                    query, below, sum_ = query[there], below[there], sum_[there]
+                waiting.append(stay(depth - 1, query, below, sum_))
 
 
 def index_of(codes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, GrayIndex]:
