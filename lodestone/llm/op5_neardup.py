@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import HashMemo, doc_columns, documents, freed, materialize, mix, prepare
+from lodestone.llm.common import HashMemo, distinct_of, doc_columns, documents, freed, materialize, mix, prepare
 from lodestone.llm.graph import components
 
 RADIUS = 2
@@ -100,9 +100,9 @@ def similarity_print(text: str) -> tuple[int, bytes, int]:
     shingles = hashes[:n].copy()
     for k in range(1, min(NEAR_WORDS, len(words))):
         shingles = mix(shingles * _MUL + hashes[k : k + n])
-    shingles = np.unique(shingles)
+    shingles = distinct_of(shingles)
     wide = [majority(mix(shingles + m)) for m in _TURNS]
-    return majority(np.unique(hashes)), np.array(wide, np.uint64).tobytes(), int(log(len(shingles)) / -log(SIMILAR) * CLASSES)
+    return majority(distinct_of(hashes)), np.array(wide, np.uint64).tobytes(), int(log(len(shingles)) / -log(SIMILAR) * CLASSES)
 
 
 def stamp(docs: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, documents, freed, materialize, mix, pack_bytes, pack_keys, prepare, unpack_bytes, unpack_keys
+from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, distinct_of, documents, freed, materialize, mix, pack_bytes, pack_keys, prepare, unpack_bytes, unpack_keys
 
 WINDOW = 20
 SEED = 11
-_MEMO = HashMemo(SEED)
+_MEMO = HashMemo(SEED, 300_000)
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NONE = np.uint32(0xFFFFFFFF)
@@ -66,20 +66,27 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
         size *= 2
 
 
-class Reference:
+class Windows:
+    """The words of texts in a row, where each text begins and ends, how many windows it has, and the hash and place of each window."""
+
+    def __init__(self, parts: list[list[bytes]], width: int):
+        sizes = np.array([len(p) for p in parts], np.int64)
+        self.words = [w for p in parts for w in p]
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.sizes = np.maximum(sizes - width + 1, 0)
+        ends = np.cumsum(self.sizes)
+        self.places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins - (ends - self.sizes), self.sizes)
+        hashes = window_hashes(self.words, width)
+        self.hashes = hashes[self.places] if len(self.places) else np.zeros(0, np.uint64)
+
+
+class Reference(Windows):
     """The texts of a block: all words in a row, where each text begins, and the hash and place of each window."""
 
     def __init__(self, texts: list[str], width: int):
-        parts = [t.encode().split() for t in texts]
+        super().__init__([t.encode().split() for t in texts], width)
         self.width = width
-        self.ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
-        self.begins = np.r_[0, self.ends[:-1]].astype(np.int64)
-        each = [window_hashes(p, width) for p in parts]
-        self.sizes = np.array([len(x) for x in each], np.int64)
-        self.hashes = np.concatenate(each) if each else np.zeros(0, np.uint64)
-        ends = np.cumsum(self.sizes)
-        self.places = np.arange(len(self.hashes)) + np.repeat(self.begins - (ends - self.sizes), self.sizes)
-        self.words = [w for p in parts for w in p]
 
     def text_of(self, place: int) -> int:
         return int(np.searchsorted(self.ends, place, side="right"))
@@ -118,7 +125,7 @@ class Reference:
 
     def first_places(self, hashes: np.ndarray) -> np.ndarray:
         """Where the window of each hash first stands, or -1."""
-        wanted = np.unique(hashes)
+        wanted = distinct_of(hashes)
         if not len(wanted) or not len(self.hashes):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(wanted, self.hashes), len(wanted) - 1)
@@ -139,8 +146,7 @@ def _slices(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def _send(table: pa.Table, width: int, buckets: int) -> pa.Table:
-    each = [window_hashes(t.encode().split(), width) for t in block_rows(table)[1]]
-    distinct = np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
+    distinct = distinct_of(Windows([t.encode().split() for t in block_rows(table)[1]], width).hashes)
     cuts = _slices(distinct, buckets)
     block = table.column("block")[0].as_py()
     return pa.Table.from_batches([batch_of({"bucket": [c[0] for c in cuts], "block": [block] * len(cuts), "payload": [pack_keys(distinct[a:b]) for _, a, b in cuts]}, ENTRY)])
@@ -221,15 +227,15 @@ def _parse(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
         here = Reference(texts, width)
         del texts
         stretches = [unpack_bytes(w.as_py()).split(b" ") for w in asked.column("words")]
-        hashes = [window_hashes(words, width) for words in stretches]
-        first = here.first_places(np.concatenate(hashes))
+        windows = Windows(stretches, width)
+        first = here.first_places(windows.hashes)
         at = 0
-        for key, check, words, own in zip(asked.column("key").to_pylist(), asked.column("check").to_pylist(), stretches, hashes, strict=True):
+        for key, check, words, own in zip(asked.column("key").to_pylist(), asked.column("check").to_pylist(), stretches, windows.sizes.tolist(), strict=True):
             found = []
-            for start, length, place in here.factors(words, 0, len(words), first[at : at + len(own)]):
+            for start, length, place in here.factors(words, 0, len(words), first[at : at + own]):
                 text = here.text_of(place)
                 found.append((start, length, NO_ID if ids[text] is None else ids[text], place - int(here.begins[text])))
-            at += len(own)
+            at += own
             for name, value in zip(out, (block, key, check, np.array(found, np.int64).tobytes()), strict=True):
                 out[name].append(value)
     return pa.Table.from_batches([batch_of(out, FACTORED)])
