@@ -37,6 +37,7 @@ _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NONE = np.uint32(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).min
+LOT = 16 << 20  # bytes of stretches that are parsed together against a block
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())]))
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", SPAN), ("kept", pa.string())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
@@ -282,7 +283,7 @@ def _remove(docs: pa.Table, factored: pa.Table, carry: tuple[str, ...], layout:
     return done
 
 
-def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 << 20, carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 << 20, carry: tuple[str, ...] = (), layout: bool = False, lot: int = LOT) -> DataFrame:
     """doc_id, n_words, n_removed, spans (start, length, source_doc, source_start) and kept (words joined by a space) of every row.
 
     carry: further columns of docs to return; their names must differ from these. layout: kept is the text itself, a null
@@ -296,7 +297,16 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 <<
     asked = frame.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lambda left, right: freed(_stretches(left, right, width, buckets)), ddl(STRETCH))
     asked = materialize(asked, "stretches")
     distinct = asked.where("source is not null").groupBy("source", "key", "check").agg(F.first("words").alias("words"))
-    factored = frame.groupBy("block").cogroup(distinct.withColumnRenamed("source", "block").groupBy("block")).applyInArrow(lambda left, right: freed(_parse(left, right, width)), ddl(FACTORED))
+    distinct = distinct.withColumnRenamed("source", "block")
+    # a reference block that very many stretches name is parsed against in lots; at most one row for LOT bytes of stretches
+    hot = asked.where("source is not null").groupBy(F.col("source").alias("block")).agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > lot)
+    hot = hot.select("block", F.expr(f"size div {lot} + 1").alias("lots"))
+    at, references = ["block"], frame
+    if not hot.isEmpty():
+        at = ["block", "lot"]
+        distinct = distinct.join(F.broadcast(hot), "block", "left").withColumn("lot", F.pmod("key", F.coalesce("lots", F.lit(1))))
+        references = frame.join(F.broadcast(hot), "block", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)))
+    factored = references.groupBy(*at).cogroup(distinct.groupBy(*at)).applyInArrow(lambda left, right: freed(_parse(left, right, width)), ddl(FACTORED))
     remote = asked.select("block", "source", "key", "check", "places").join(factored, ["source", "key", "check"]).select("block", "source", "places", "factors")
     local = asked.where("source is null").select("block", "source", "places", "factors")
     both = frame.groupBy("block").cogroup(remote.unionByName(local).groupBy("block"))

@@ -275,9 +275,9 @@ def test_code_is_complete():
     assert len(steps) == 257 and abs(sum(2.0 ** -int(s) for s in steps) - 1) < 1e-9
 
 
-@pytest.mark.parametrize("block", [8 << 20, 20_000])
-def test_substrings(spark, odd, rows, empty, block):
-    got = op8_substring.remove_repeats(odd, block_bytes=block, carry=("lang",)).collect()
+@pytest.mark.parametrize(("block", "lot"), [(8 << 20, 1 << 20), (20_000, 1 << 20), (20_000, 500)])
+def test_substrings(spark, odd, rows, empty, block, lot):
+    got = op8_substring.remove_repeats(odd, block_bytes=block, carry=("lang",), lot=lot).collect()
     order = sorted([(r[0], r[1] or "") for r in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     seen, want = set(), Counter()
     for doc_id, text in order:
