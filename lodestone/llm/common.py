@@ -14,10 +14,12 @@ gather more than one entry from each block.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +63,20 @@ def freed(result=None):
     return result
 
 
+def without_gc(f):
+    """f, with the search for reference cycles put off until it ends: it makes millions of objects and no cycle."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        gc.disable()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            gc.enable()
+
+    return run
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names. Where it is unset, a local session (tests) gets one of its own; a cluster's executors share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)

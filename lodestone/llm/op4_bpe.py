@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed, pack_bytes, prepare, unpack_bytes
+from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed, pack_bytes, prepare, unpack_bytes, without_gc
 from lodestone.llm.tokens import cut, spaced_pre_tokens
 
 FILE = "byte_bpe_50k.tiktoken"
@@ -79,6 +79,7 @@ def _chunks(texts: list[str]) -> tuple[list[list[str]], dict[str, list[str]], di
     return parts, {c: spaced_pre_tokens("", c) for c in {p[0] for p in parts}}, {c: spaced_pre_tokens(" ", c) for c in distinct}
 
 
+@without_gc
 def _ask(table: pa.Table, buckets: int) -> pa.Table:
     _, heads, mids = _chunks(block_rows(table)[1])
     words = {w.encode() for chunks in (heads, mids) for pieces in chunks.values() for w in pieces}
@@ -87,6 +88,7 @@ def _ask(table: pa.Table, buckets: int) -> pa.Table:
     return pa.Table.from_batches([batch_of({"bucket": [b for b, _ in asked], "block": [table.column("block")[0].as_py()] * n, "payload": [join_words(w) for _, w in asked]}, QUESTION)])
 
 
+@without_gc
 def _answer(table: pa.Table, file: str) -> pa.Table:
     encode = piece_encoder(file)
     known: dict[bytes, bytes] = {}
@@ -100,6 +102,7 @@ def _answer(table: pa.Table, file: str) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "payload": pa.array(answers, pa.binary())})
 
 
+@without_gc
 def _assemble(docs: pa.Table, answers: pa.Table, file: str, buckets: int) -> pa.Table:
     ids, texts = block_rows(docs)
     parts, heads, mids = _chunks(texts)

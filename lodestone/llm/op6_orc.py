@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, block_rows, documents, freed, prepare, shared_folder
+from lodestone.llm.common import Blocks, block_rows, documents, freed, prepare, shared_folder, without_gc
 from lodestone.llm.tokens import encoder
 
 FILE = "byte_bpe_50k.json"
@@ -32,6 +32,7 @@ STRIPE = 8 << 20
 FILE_BLOCKS, LEAST_FILES = 16, 48
 
 
+@without_gc
 def _encode_block(table: pa.Table, file: str, end: int) -> pa.Table:
     ids, texts = block_rows(table)
     tail = np.array([end], np.uint16).tobytes()

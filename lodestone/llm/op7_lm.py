@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed, materialize, mix, pack_bytes, pack_counts, pack_keys, prepare, unpack_bytes, unpack_counts, unpack_keys
+from lodestone.llm.common import Blocks, batch_of, block_rows, documents, freed, materialize, mix, pack_bytes, pack_counts, pack_keys, prepare, unpack_bytes, unpack_counts, unpack_keys, without_gc
 from lodestone.llm.op4_bpe import bucketed, join_words, split_words
 
 CONTEXTS = 3
@@ -422,6 +422,7 @@ def _hashes(chunks: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(c, 7) for c in chunks), np.uint64, len(chunks))
 
 
+@without_gc
 def _ask(table: pa.Table, buckets: int, bits: int) -> pa.Table:
     ids, texts = block_rows(table)
     held = np.array([is_held_out(i) for i in ids], bool)
@@ -467,6 +468,7 @@ def _ask(table: pa.Table, buckets: int, bits: int) -> pa.Table:
     return pa.Table.from_batches([batch_of(out, schema)])
 
 
+@without_gc
 def _tell(table: pa.Table) -> pa.Table:
     place: dict[bytes, int] = {}
     asked = []
@@ -546,6 +548,7 @@ def _codes(chunks: list[str], places: np.ndarray, begins: np.ndarray, held: np.n
     return codes[within, inverse]
 
 
+@without_gc
 def _score(docs: pa.Table, told: pa.Table, buckets: int, bits: int, distinct: int, tokens: int) -> pa.Table:
     ids, texts = block_rows(docs)
     held = np.array([is_held_out(i) for i in ids], bool)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, distinct_of, documents, freed, materialize, mix, pack_bytes, pack_keys, prepare, unpack_bytes, unpack_keys
+from lodestone.llm.common import Blocks, HashMemo, batch_of, block_rows, block_table, distinct_of, documents, freed, materialize, mix, pack_bytes, pack_keys, prepare, unpack_bytes, unpack_keys, without_gc
 
 WINDOW = 20
 SEED = 11
@@ -146,6 +146,7 @@ def _slices(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 
 
+@without_gc
 def _send(table: pa.Table, width: int, buckets: int) -> pa.Table:
     distinct = distinct_of(Windows([t.encode().split() for t in block_rows(table)[1]], width).hashes)
     cuts = _slices(distinct, buckets)
@@ -153,6 +154,7 @@ def _send(table: pa.Table, width: int, buckets: int) -> pa.Table:
     return pa.Table.from_batches([batch_of({"bucket": [c[0] for c in cuts], "block": [block] * len(cuts), "payload": [pack_keys(distinct[a:b]) for _, a, b in cuts]}, ENTRY)])
 
 
+@without_gc
 def _find(table: pa.Table) -> pa.Table:
     """For each block's entries of a bucket: the earliest block with the same hash, or NONE for itself."""
     blocks = table.column("block").to_numpy()
@@ -174,6 +176,7 @@ def _find(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch_of(out, ENTRY)])
 
 
+@without_gc
 def _stretches(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> pa.Table:
     """Stretches of a block's documents whose source is another block, and the factors of those whose source is this one."""
     block = docs.column("block")[0].as_py()
@@ -219,6 +222,7 @@ def _stretches(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> p
     return pa.Table.from_batches([batch_of(out, STRETCH)])
 
 
+@without_gc
 def _parse(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
     """The factors of all stretches that name this block as their source."""
     out: dict[str, list] = {f.name: [] for f in FACTORED}
@@ -252,6 +256,7 @@ def without(text: bytes, spans: list[re.Match], hit: np.ndarray) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
+@without_gc
 def _remove(docs: pa.Table, factored: pa.Table, carry: tuple[str, ...], layout: bool) -> pa.Table:
     rows = block_table(docs)
     ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
