@@ -1,8 +1,9 @@
 """Okapi BM25 over a corpus (doc_idx, text) for many queries (qid, query) at once.
 
-The corpus is read once: its postings (document, term, frequency, length) are written out, and frequencies, lengths and
-statistics all come from them. Document frequencies of the whole vocabulary are needed for the mean that floors
-negative weights. The one-row statistics are joined as a broadcast row.
+The corpus is read and cut into words once: the words and the length of each document are written out, and postings, document
+frequencies and statistics all come from them. Only terms of the queries leave that scan as postings; document
+frequencies of the whole vocabulary, counted map-side first, are needed for the mean that floors negative weights. The one-row
+statistics are joined as a broadcast row.
 """
 
 from __future__ import annotations
@@ -22,18 +23,24 @@ def doc_tokens(corpus: DataFrame, lowercase: bool = True) -> DataFrame:
     return corpus.select("doc_idx", words.alias("words")).withColumn("dl", F.size("words"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_idx", "dl", F.explode("words").alias("term")).groupBy("doc_idx", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_idx, term, tf, dl of the wanted terms."""
+    rows = docs.select("doc_idx", "dl", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    return rows.groupBy("doc_idx", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def document_frequency(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(terms: DataFrame, n_docs: int) -> DataFrame:
-    """One row: n_docs, avgdl, n_terms and avg_idf over the vocabulary, from the postings of n_docs documents."""
-    size = terms.agg(F.lit(n_docs).cast("long").alias("n_docs"), (F.sum("tf") / F.lit(n_docs)).alias("avgdl"))
-    raw = document_frequency(terms).crossJoin(F.broadcast(size)).select("n_docs", "avgdl", raw_idf().alias("idf"))
+def corpus_stats(docs: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl, n_terms and avg_idf over the vocabulary."""
+    return _stats_of(document_frequency(docs), docs)
+
+
+def _stats_of(frequency: DataFrame, docs: DataFrame) -> DataFrame:
+    size = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    raw = frequency.crossJoin(F.broadcast(size)).select("n_docs", "avgdl", raw_idf().alias("idf"))
     return raw.agg(F.max("n_docs").alias("n_docs"), F.max("avgdl").alias("avgdl"), F.count("*").alias("n_terms"), F.avg("idf").alias("avg_idf"))
 
 
@@ -51,11 +58,12 @@ def scores(corpus: DataFrame, queries: DataFrame, lowercase: bool = True, candid
 
     candidates: (qid, doc_idx) to score alone; the statistics stay those of the whole corpus.
     """
-    known = written(postings(doc_tokens(corpus, lowercase)), "postings")
+    docs = written(doc_tokens(corpus, lowercase), "words")
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
-    hits = known.join(wanted, "term", "left_semi")
-    weight = document_frequency(known).join(wanted, "term", "left_semi").crossJoin(F.broadcast(corpus_stats(known, corpus.count())))
+    hits = postings(docs, wanted)
+    known = written(document_frequency(docs), "document-frequency")
+    weight = known.join(wanted, "term", "left_semi").crossJoin(F.broadcast(_stats_of(known, docs)))
     idf = F.when(raw_idf() < 0, EPSILON * F.col("avg_idf")).otherwise(raw_idf())
     weight = weight.select("term", idf.alias("idf"), "avgdl")
     pairs = hits.join(weight, "term").join(terms, "term")
