@@ -108,3 +108,11 @@ def test_quality_parts_labels(spark, sf):
     got = op3_quality.judge(docs.select("doc_id", "text"), marks.where("doc_id % 2 = 0")).join(marks.where("doc_id % 2 = 1"), "doc_id").where(~F.col("base_failed"))
     kept = {r["quality"]: r["k"] for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert kept[1] >= 0.95 and kept.get(0, 0.0) < kept[1]
+
+
+def test_near_fingerprints_are_not_broadcast(spark):
+    """Spark takes the keys of all tables for as small as the fingerprints they come from; broadcast, they fill the driver."""
+    prints = spark.range(2000).select(F.xxhash64("id").alias("print"))
+    pairs = op2_simhash.near_fingerprints(prints.where("print % 50 = 0"), prints)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [table" in plan and "Broadcast" not in plan
