@@ -477,7 +477,9 @@ def _pairs(spark, sf):
     wanted = plain.select(F.col("query").alias("qid"), F.col("pid").alias("doc_idx"))
     scores = bm25.scores(_catalog(spark, sf).select(F.col("pid").alias("doc_idx"), F.col("title").alias("text")), asked, candidates=wanted)
     scores = scores.select(F.col("qid").alias("query"), F.col("doc_idx").alias("pid"), F.col("score").alias("bm25"))
-    return features.hashed_similarities(plain.join(items, "pid").join(scores, ["query", "pid"], "left").fillna(0.0, ["bm25"]))
+    # merged, never broadcast: both sides grow with the parts, and Spark sizes them by the compressed file
+    rows = plain.join(items.hint("merge"), "pid").join(scores.hint("merge"), ["query", "pid"], "left")
+    return features.hashed_similarities(rows.fillna(0.0, ["bm25"]))
 
 
 def _matrix(spark, sf):

@@ -367,3 +367,11 @@ def test_config():
         DataConfig(semantic_weight=1.5)
     with pytest.raises(ValueError):
         RankerConfig(rounds=0)
+
+
+@pytest.mark.parametrize("name", ["feature_matrix"])
+def test_pairs_are_not_broadcast(spark, sf, name):
+    """The interactions and the catalog are as long as the parts; broadcast by the size of their compressed file, they fill the driver."""
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [pid" in plan and "SortMergeJoin [query" in plan
+    assert "BroadcastHashJoin [pid" not in plan and "BroadcastHashJoin [query" not in plan
