@@ -369,7 +369,7 @@ def test_config():
         RankerConfig(rounds=0)
 
 
-@pytest.mark.parametrize("name", ["feature_matrix"])
+@pytest.mark.parametrize("name", ["feature_matrix", "feature_vectors"])
 def test_pairs_are_not_broadcast(spark, sf, name):
     """The interactions and the catalog are as long as the parts; broadcast by the size of their compressed file, they fill the driver."""
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
