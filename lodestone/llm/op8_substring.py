@@ -305,12 +305,13 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, block_bytes: int = 8 <<
     distinct = distinct.withColumnRenamed("source", "block")
     # a reference block that very many stretches name is parsed against in lots; at most one row for LOT bytes of stretches
     hot = asked.where("source is not null").groupBy(F.col("source").alias("block")).agg(F.sum(F.octet_length("words")).alias("size")).where(F.col("size") > lot)
-    hot = hot.select("block", F.expr(f"size div {lot} + 1").alias("lots"))
+    hot = materialize(hot.select("block", F.expr(f"size div {lot} + 1").alias("lots")), "hot")
     at, references = ["block"], frame
     if not hot.isEmpty():
         at = ["block", "lot"]
         distinct = distinct.join(F.broadcast(hot), "block", "left").withColumn("lot", F.pmod("key", F.coalesce("lots", F.lit(1))))
-        references = frame.join(F.broadcast(hot), "block", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("lots", F.lit(1)) - 1)))
+        hot = hot.select(F.col("block").alias("block"), F.col("lots").alias("copies"))  # columns of its own: a cogroup takes one that both sides share for ambiguous
+        references = frame.join(F.broadcast(hot), "block", "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))
     factored = references.groupBy(*at).cogroup(distinct.groupBy(*at)).applyInArrow(lambda left, right: freed(_parse(left, right, width)), ddl(FACTORED))
     remote = asked.select("block", "source", "key", "check", "places").join(factored, ["source", "key", "check"]).select("block", "source", "places", "factors")
     local = asked.where("source is null").select("block", "source", "places", "factors")

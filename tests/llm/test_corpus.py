@@ -371,3 +371,20 @@ def test_pipeline_stages(spark, odd, rows, empty, labels, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def copies_in_blocks(spark):
+    """60 texts in two copies, an earlier and a later one, that fill many blocks of 20,000 bytes."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 300)) for _ in range(60)]
+    rows = [(i, texts[i % 60], "en") for i in range(120)]
+    return texts, spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_hot_blocks_are_parsed_in_lots(spark):
+    """Lots of 1,000 bytes, many for each block that the later copies name, give the rows of a single lot."""
+    texts, docs = copies_in_blocks(spark)
+    rows = lambda lot: sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"], str(r["spans"])) for r in op8_substring.remove_repeats(docs, block_bytes=20_000, lot=lot).collect())
+    got = rows(1000)
+    assert got == rows(1 << 30)
+    assert [g[2] for g in got] == [0] * 60 + [300] * 60 and [g[3] for g in got[:60]] == texts
