@@ -388,3 +388,12 @@ def test_hot_blocks_are_parsed_in_lots(spark):
     got = rows(1000)
     assert got == rows(1 << 30)
     assert [g[2] for g in got] == [0] * 60 + [300] * 60 and [g[3] for g in got[:60]] == texts
+
+
+def test_pipeline_stage_parses_hot_blocks_in_lots(spark, sf, monkeypatch):
+    """The stage of the pipeline, with its further columns and layout, where every named block is hot."""
+    texts, docs = copies_in_blocks(spark)
+    whole = op8_substring.remove_repeats
+    monkeypatch.setattr(op8_substring, "remove_repeats", lambda *a, **kw: whole(*a, **kw, block_bytes=20_000, lot=1000))
+    got = sorted(tuple(r) for r in corpus_pipeline.substring_dedup(spark, docs, sf).collect())
+    assert got == [(i, t, "en") for i, t in enumerate(texts)] + [(60 + i, "", "en") for i in range(60)]
