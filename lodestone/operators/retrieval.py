@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,51 @@ def semantic_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_self:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def block_topk(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, block_bytes: int = 4 << 20) -> DataFrame:
+    """semantic_topk() without exclude_self, of checked vectors: blocks of both sides meet in tasks, where NumPy adds up the products.
+
+    They are added in the order of the dimensions, so every cosine has the bits of V.dot(). A block keeps, of each query, all that may be among
+    its k best: where rounding could go either way, both ways."""
+    held = max(1, block_bytes // (8 * dimension))
+    sides, n = {}, {"q": -(-queries.count() // held) or 1, "v": -(-vectors.count() // held) or 1}
+    for df, key, column, own, other in ((queries, "qid", "q", "_q", "_v"), (vectors, "doc_idx", "v", "_v", "_q")):
+        block = F.pmod(F.xxhash64(key), F.lit(n[column])).cast("int").alias(own)
+        copies = F.explode(F.sequence(F.lit(0), F.lit(n[other[1:]] - 1))).alias(other)
+        sides[column] = df.select(key, column, block).select("*", copies)
+
+    def matrix(table, column):
+        return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+
+    def run(left, right):
+        right = right.take(pc.sort_indices(right, sort_keys=[("doc_idx", "ascending")], null_placement="at_start"))
+        rows, places, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if left.num_rows and right.num_rows:
+            q, v = matrix(left, "q"), np.ascontiguousarray(matrix(right, "v").T)
+            step = max(1, (1 << 17) // v.shape[1])
+            for a in range(0, len(q), step):
+                part = q[a : a + step]
+                total = np.zeros((len(part), v.shape[1]))
+                product = np.empty_like(total)
+                for d in range(dimension):
+                    total += np.multiply(part[:, d, None], v[d], out=product)
+                for i, sim in enumerate(total):
+                    low, high = np.floor(sim * 1e6 + 0.499), np.floor(sim * 1e6 + 0.501)
+                    least = np.partition(low, -k)[-k] if k < len(low) else -np.inf
+                    sure = np.flatnonzero((low == least) & (high == least))[:k]  # ties go to the smaller index
+                    kept = np.r_[np.flatnonzero((high >= least) & ((low != least) | (high != least))), sure]
+                    rows.append(np.full(len(kept), a + i))
+                    places.append(kept)
+                    sims.append(sim[kept])
+        qid = left.column("qid").take(pa.array(np.concatenate(rows)))
+        doc_idx = right.column("doc_idx").take(pa.array(np.concatenate(places)))
+        return pa.Table.from_arrays([qid, doc_idx, pa.array(np.concatenate(sims))], names=["qid", "doc_idx", "sim"])
+
+    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "doc_idx": vectors.schema["doc_idx"].dataType.simpleString()}
+    found = sides["q"].groupBy("_q", "_v").cogroup(sides["v"].groupBy("_q", "_v")).applyInArrow(run, f"qid {kinds['qid']}, doc_idx {kinds['doc_idx']}, sim double")
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_idx")
+    return found.withColumn("sim", F.round("sim", 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def search(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, store: VectorStoreConfig | None = None, exclude_self: bool = False) -> DataFrame:
     """semantic_topk() of checked input: ValueError for k beyond 1..max_k, and for vectors of another dimension, that are not finite, or too many."""
     store = store or VectorStoreConfig()
@@ -40,7 +86,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, dimension: int, store
         raise ValueError(f"k={k} is not within 1..{store.max_k}")
     checked_vectors(queries, "q", dimension)
     checked_vectors(vectors, "v", dimension, store.max_vectors)
-    return semantic_topk(queries, vectors, k, exclude_self)
+    return semantic_topk(queries, vectors, k, exclude_self) if exclude_self else block_topk(queries, vectors, k, dimension)
 
 
 WORDS = 8  # of 64 bits in a signature

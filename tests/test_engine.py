@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,3 +376,18 @@ def test_pairs_are_not_broadcast(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [pid" in plan and "SortMergeJoin [query" in plan
     assert "BroadcastHashJoin [pid" not in plan and "BroadcastHashJoin [query" not in plan
+
+
+def test_search_in_blocks_equals_pairs(spark):
+    """Bit-equal sums: copies, zero vectors, ties over blocks, fewer rows than k, string and number keys; no side empty of a pair is lost."""
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 3, 8).astype(float) for _ in range(120)] + [np.zeros(8)] * 3
+    unit = [(r / (np.linalg.norm(r) or 1)).tolist() for r in rows] * 3
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(unit)], "doc_idx long, v array<double>")
+    queries = spark.createDataFrame([(f"q{i}", unit[i]) for i in range(0, 123, 3)], "qid string, q array<double>")
+    for k, block in ((7, 640), (7, 1 << 20), (500, 6400)):
+        got = retrieval.block_topk(queries, vectors, k, 8, block).select("qid", "doc_idx", "sim", "rank").collect()
+        want = retrieval.semantic_topk(queries, vectors, k, exclude_self=False).select("qid", "doc_idx", "sim", "rank").collect()
+        assert sorted(got) == sorted(want)
+    assert retrieval.block_topk(queries.limit(0), vectors, 5, 8).count() == 0 == retrieval.block_topk(queries, vectors.limit(0), 5, 8).count()
+    assert "FlatMapCoGroupsInArrow" in retrieval.search(queries, vectors, 5, 8)._jdf.queryExecution().toString()
