@@ -391,3 +391,11 @@ def test_search_in_blocks_equals_pairs(spark):
         assert sorted(got) == sorted(want)
     assert retrieval.block_topk(queries.limit(0), vectors, 5, 8).count() == 0 == retrieval.block_topk(queries, vectors.limit(0), 5, 8).count()
     assert "FlatMapCoGroupsInArrow" in retrieval.search(queries, vectors, 5, 8)._jdf.queryExecution().toString()
+
+
+def test_serving_searches_in_blocks(spark, sf):
+    """The search of rank_end_to_end meets queries and items in blocks, not row by row."""
+    interactions, catalog = serving.demo_tables(spark, sf)
+    found = serving.retrieve(interactions.select("qid", "query").distinct(), features.with_catalog_columns(catalog), EngineConfig(), hybrid=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
