@@ -68,7 +68,8 @@ def scores(corpus: DataFrame, queries: DataFrame, lowercase: bool = True, candid
     weight = weight.select("term", idf.alias("idf"), "avgdl")
     pairs = hits.join(weight, "term").join(terms, "term")
     if candidates is not None:
-        pairs = pairs.join(candidates.select("qid", "doc_idx").distinct(), ["qid", "doc_idx"], "left_semi")
+        # merged, never broadcast: candidates grow with the corpus, and Spark sizes them by the compressed file they come from
+        pairs = pairs.join(candidates.select("qid", "doc_idx").distinct().hint("merge"), ["qid", "doc_idx"], "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return pairs.groupBy("qid", "doc_idx").agg(F.sum(part).alias("score"))
 

@@ -378,6 +378,13 @@ def test_pairs_are_not_broadcast(spark, sf, name):
     assert "BroadcastHashJoin [pid" not in plan and "BroadcastHashJoin [query" not in plan
 
 
+@pytest.mark.parametrize("name", ["feature_matrix", "feature_vectors"])
+def test_bm25_candidates_are_not_broadcast(spark, sf, name):
+    """The candidates are all interactions: five for each part."""
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [qid" in plan and "BroadcastHashJoin [qid" not in plan
+
+
 def test_search_in_blocks_equals_pairs(spark):
     """Bit-equal sums: copies, zero vectors, ties over blocks, fewer rows than k, string and number keys; no side empty of a pair is lost."""
     rng = np.random.default_rng(5)
