@@ -15,8 +15,8 @@ def retrieve(queries: DataFrame, items: DataFrame, config: EngineConfig, hybrid:
     """(qid, pid, score, rank) of queries (qid, query) over items with catalog columns; embeddings: where vectors come from."""
     k = config.data.retrieval_k
     embeddings = embeddings or providers.HashedWords()
-    asked = embeddings.vectors(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("vector").alias("q"))
-    given = embeddings.vectors(items, "pid", "title").select(F.col("key").alias("doc_idx"), F.col("vector").alias("v"))
+    asked = stores.written(embeddings.vectors(queries, "qid", "query").select(F.col("key").alias("qid"), F.col("vector").alias("q")), "query-vectors")
+    given = stores.written(embeddings.vectors(items, "pid", "title").select(F.col("key").alias("doc_idx"), F.col("vector").alias("v")), "item-vectors")
     meaning = retrieval.search(asked, given, 2 * k if hybrid else k, embeddings.dimension, config.vectors)
     if hybrid:
         lexical = bm25.topk(items.select(F.col("pid").alias("doc_idx"), F.col("title").alias("text")), queries, 2 * k)
@@ -38,8 +38,8 @@ def featurize(pairs: DataFrame, queries: DataFrame, items: DataFrame, config: En
 def rank(queries: DataFrame, catalog: DataFrame, ranker: model.LambdaRanker, config: EngineConfig, k: int = 10, hybrid: bool = False, embeddings: providers.Embeddings | None = None) -> DataFrame:
     """(qid, pid, title, brand, category, score, rank) for every query; a query that finds nothing has no row."""
     items = features.with_catalog_columns(catalog)
-    found = retrieve(queries, items, config, hybrid, embeddings)
-    matrix = featurize(found.select("qid", "pid"), queries, items, config, ["qid", "pid", "query", "category"], embeddings)
+    found = stores.written(retrieve(queries, items, config, hybrid, embeddings).select("qid", "pid"), "found")
+    matrix = featurize(found, queries, items, config, ["qid", "pid", "query", "category"], embeddings)
     scored = guardrails.serving_guardrails(ranker.predict(matrix).select("qid", "pid", "query", "category", "score", "brand_match"))
     cut = guardrails.score_gap_cut(scored, k)
     return cut.join(catalog.select("pid", "title", "brand"), "pid").select("qid", "pid", "title", "brand", "category", "score", "rank")
@@ -48,17 +48,19 @@ def rank(queries: DataFrame, catalog: DataFrame, ranker: model.LambdaRanker, con
 def training_rows(interactions: DataFrame, catalog: DataFrame, config: EngineConfig, hybrid: bool = True, embeddings: providers.Embeddings | None = None) -> DataFrame:
     """Features and relevance of the composed candidates of every query of interactions (qid, pid, query, relevance)."""
     items = features.with_catalog_columns(catalog)
-    queries = interactions.groupBy("qid").agg(F.min("query").alias("query"))
+    queries = stores.written(interactions.groupBy("qid").agg(F.min("query").alias("query")), "queries")
     brand = features.match(F.col("brand_norm"), F.lower(T.one_space(F.col("query"))))
     found = retrieve(queries, items, config, hybrid, embeddings).join(queries, "qid").join(items.select("pid", "brand_norm"), "pid").select("qid", "pid", "score", brand.alias("brand_match"))
     tiered = candidates.tiers(found, interactions, config.data.hard_negative_score) if hybrid else candidates.semantic_tiers(found, interactions)
     chosen = candidates.useful_groups(candidates.with_labels(candidates.compose(tiered, config.data.retrieval_k, config.data.max_hard_negatives), interactions))
-    return featurize(chosen.select("qid", "pid", "relevance"), queries, items, config, ["qid", "pid", "query", "category", "relevance"], embeddings)
+    chosen = stores.written(chosen.select("qid", "pid", "relevance"), "training-candidates")
+    return featurize(chosen, queries, items, config, ["qid", "pid", "query", "category", "relevance"], embeddings)
 
 
 def train(interactions: DataFrame, catalog: DataFrame, config: EngineConfig, hybrid: bool = True, embeddings: providers.Embeddings | None = None) -> model.LambdaRanker:
-    """Split by group, sample, and fit."""
-    rows = stores.written(sampling.group_split(training_rows(interactions, catalog, config, hybrid, embeddings), config.ranker.test_size, config.data.seed), "training-rows")
+    """Split by group, sample, and fit. The rows are written before the split, which reads them several times."""
+    made = stores.written(training_rows(interactions, catalog, config, hybrid, embeddings), "features")
+    rows = stores.written(sampling.group_split(made, config.ranker.test_size, config.data.seed), "training-rows")
     sampled = sampling.upsample_rare(sampling.downsample_negatives(rows.where("split = 'train'"), config.ranker.neg_downsample_ratio, config.data.seed), seed=config.data.seed)
     return model.LambdaRanker(config.ranker).fit(sampled, rows.where("split = 'val'"), config.data.seed)
 

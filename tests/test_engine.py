@@ -385,6 +385,17 @@ def test_bm25_candidates_are_not_broadcast(spark, sf, name):
     assert "SortMergeJoin [qid" in plan and "BroadcastHashJoin [qid" not in plan
 
 
+def test_training_rows_are_computed_once(spark, sf, monkeypatch):
+    """The split reads its rows four times, and the features the candidates twice: both are written first."""
+    plans = []
+    split, featurize = serving.sampling.group_split, serving.featurize
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(serving.sampling, "group_split", lambda rows, *a: note(rows) or split(rows, *a))
+    monkeypatch.setattr(serving, "featurize", lambda pairs, *a: note(pairs) or featurize(pairs, *a))
+    assert serving.demo(spark, sf).count() > 0
+    assert len(plans) == 3 and not any("Join" in p or "Window" in p for p in plans)
+
+
 def test_search_in_blocks_equals_pairs(spark):
     """Bit-equal sums: copies, zero vectors, ties over blocks, fewer rows than k, string and number keys; no side empty of a pair is lost."""
     rng = np.random.default_rng(5)
