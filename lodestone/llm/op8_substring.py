@@ -21,6 +21,9 @@ are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,8 @@ _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 NONE = np.uint32(0xFFFFFFFF)
 NO_ID = np.iinfo(np.int64).min
-LOT = 16 << 20  # bytes of stretches that are parsed together against a block
+LOT = 16 << 20  # bytes of stretches that are parsed against a block in one task
+SLICE = 4 << 20  # bytes of words that are unpacked together there
 SPAN = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source_doc", pa.int64()), ("source_start", pa.int64())]))
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", SPAN), ("kept", pa.string())])
 ENTRY = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
@@ -88,13 +92,14 @@ class Reference(Windows):
     def __init__(self, texts: list[str], width: int):
         super().__init__([t.encode().split() for t in texts], width)
         self.width = width
+        self.text_ends = self.ends.tolist()
 
     def text_of(self, place: int) -> int:
-        return int(np.searchsorted(self.ends, place, side="right"))
+        return bisect_right(self.text_ends, place)
 
     def common(self, words: list[bytes], at: int, end: int, place: int) -> int:
         """How many words from words[at] on, up to `end`, equal those from `place` on in its text."""
-        limit = min(end - at, int(self.ends[self.text_of(place)]) - place)
+        limit = min(end - at, self.text_ends[self.text_of(place)] - place)
         same, step = 0, 2 * self.width
         while same < limit:
             step = min(step, limit - same)
@@ -107,33 +112,35 @@ class Reference(Windows):
                 step = (step + 1) // 2
         return same
 
-    def factors(self, words: list[bytes], begin: int, end: int, found: np.ndarray) -> list[tuple[int, int, int]]:
+    def factors(self, words: list[bytes], begin: int, end: int, found: list[int]) -> list[tuple[int, int, int]]:
         """Greedy factors (place in words, words, place here) of words[begin:end]; found: for the window at each place from begin on, where it first stands here, or -1."""
         out = []
-        known = np.flatnonzero(found >= 0)
         at = 0
-        while True:
-            at = int(np.searchsorted(known, at))
-            if at == len(known):
-                return out
-            at = int(known[at])
-            same = self.common(words, begin + at, end, int(found[at]))
+        while at < len(found):
+            if found[at] < 0:
+                at += 1
+                continue
+            same = self.common(words, begin + at, end, found[at])
             if same < self.width:  # another window with the same hash
                 at += 1
                 continue
-            out.append((begin + at, same, int(found[at])))
+            out.append((begin + at, same, found[at]))
             at += same - self.width + 1
+        return out
+
+    @cached_property
+    def index(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes in ascending order, and where each first stands."""
+        distinct, first = np.unique(self.hashes, return_index=True)
+        return distinct, self.places[first]
 
     def first_places(self, hashes: np.ndarray) -> np.ndarray:
         """Where the window of each hash first stands, or -1."""
-        wanted = distinct_of(hashes)
-        if not len(wanted) or not len(self.hashes):
+        distinct, first = self.index
+        if not len(distinct):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(wanted, self.hashes), len(wanted) - 1)
-        here = np.flatnonzero(wanted[at] == self.hashes)
-        first = np.full(len(wanted), -1)
-        first[at[here[::-1]]] = self.places[here[::-1]]
-        return first[np.searchsorted(wanted, hashes)]
+        at = np.minimum(np.searchsorted(distinct, hashes), len(distinct) - 1)
+        return np.where(distinct[at] == hashes, first[at], -1)
 
 
 def _slices(distinct: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -200,7 +207,7 @@ def _stretches(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> p
         span = slice(int(ends[row] - here.sizes[row]), int(ends[row]))
         begin, end, of = int(here.begins[row]), int(here.ends[row]), source[span]
         if (own[span] >= 0).any():
-            for at, length, place in here.factors(here.words, begin, end, own[span]):
+            for at, length, place in here.factors(here.words, begin, end, own[span].tolist()):
                 text = here.text_of(place)
                 places.append((row, at - begin))
                 local.append((0, length, NO_ID if ids[text] is None else ids[text], place - int(here.begins[text])))
@@ -210,10 +217,12 @@ def _stretches(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> p
                 if of[a] >= 0:
                     words = b" ".join(here.words[begin + a : begin + b + width - 1])
                     key = (int(of[a]), xxhash.xxh64_intdigest(words, 1) >> 1, xxhash.xxh64_intdigest(words, 2) >> 1)
-                    rows.setdefault(key, [words]).append((row, a))
+                    if key not in rows:
+                        rows[key] = [pack_bytes(words)]
+                    rows[key].append((row, a))
     out: dict[str, list] = {f.name: [] for f in STRETCH}
     flat = lambda x: np.array(x, np.int64).tobytes()
-    found = [(block, *key, pack_bytes(value[0]), flat(value[1:]), None) for key, value in rows.items()]
+    found = [(block, *key, value[0], flat(value[1:]), None) for key, value in rows.items()]
     if local:
         found.append((block, None, None, None, None, flat(places), flat(local)))
     for values in found:
@@ -222,27 +231,41 @@ def _stretches(docs: pa.Table, answers: pa.Table, width: int, buckets: int) -> p
     return pa.Table.from_batches([batch_of(out, STRETCH)])
 
 
+def _unpacked(packed: Iterable[bytes], size: int) -> Iterator[list[list[bytes]]]:
+    """The words of stretches, about `size` bytes of them at a time."""
+    some, held = [], 0
+    for words in map(unpack_bytes, packed):
+        some.append(words.split(b" "))
+        held += len(words)
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 @without_gc
-def _parse(docs: pa.Table, asked: pa.Table, width: int) -> pa.Table:
-    """The factors of all stretches that name this block as their source."""
+def _parse(docs: pa.Table, asked: pa.Table, width: int, size: int = SLICE) -> pa.Table:
+    """The factors of all stretches that name this block as their source. Words take many times their packed bytes: a slice of them is unpacked at a time."""
     out: dict[str, list] = {f.name: [] for f in FACTORED}
     if docs.num_rows and asked.num_rows:
         block = docs.column("block")[0].as_py()
         ids, texts = block_rows(docs)
         here = Reference(texts, width)
         del texts
-        stretches = [unpack_bytes(w.as_py()).split(b" ") for w in asked.column("words")]
-        windows = Windows(stretches, width)
-        first = here.first_places(windows.hashes)
-        at = 0
-        for key, check, words, own in zip(asked.column("key").to_pylist(), asked.column("check").to_pylist(), stretches, windows.sizes.tolist(), strict=True):
-            found = []
-            for start, length, place in here.factors(words, 0, len(words), first[at : at + own]):
-                text = here.text_of(place)
-                found.append((start, length, NO_ID if ids[text] is None else ids[text], place - int(here.begins[text])))
-            at += own
-            for name, value in zip(out, (block, key, check, np.array(found, np.int64).tobytes()), strict=True):
-                out[name].append(value)
+        out["key"], out["check"] = asked.column("key").to_pylist(), asked.column("check").to_pylist()
+        out["source"] = [block] * asked.num_rows
+        for stretches in _unpacked((w.as_py() for w in asked.column("words")), size):
+            windows = Windows(stretches, width)
+            first = here.first_places(windows.hashes).tolist()
+            at = 0
+            for words, own in zip(stretches, windows.sizes.tolist(), strict=True):
+                found = []
+                for start, length, place in here.factors(words, 0, len(words), first[at : at + own]):
+                    text = here.text_of(place)
+                    found.append((start, length, NO_ID if ids[text] is None else ids[text], place - int(here.begins[text])))
+                at += own
+                out["factors"].append(np.array(found, np.int64).tobytes())
     return pa.Table.from_batches([batch_of(out, FACTORED)])
 
 
@@ -256,6 +279,14 @@ def without(text: bytes, spans: list[re.Match], hit: np.ndarray) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
+def span_lists(spans: list[np.ndarray]) -> pa.Array:
+    """Rows (start, length, source_doc, source_start) of each document as SPAN: objects for each would outweigh the texts."""
+    flat = np.concatenate(spans) if spans else np.zeros((0, 4), np.int64)
+    offsets = np.cumsum([0, *map(len, spans)])
+    fields = [pa.array(np.ascontiguousarray(flat[:, k]), mask=flat[:, k] == NO_ID if SPAN.value_type[k].name == "source_doc" else None) for k in range(4)]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(SPAN.value_type)), type=SPAN)
+
+
 @without_gc
 def _remove(docs: pa.Table, factored: pa.Table, carry: tuple[str, ...], layout: bool) -> pa.Table:
     rows = block_table(docs)
@@ -267,10 +298,12 @@ def _remove(docs: pa.Table, factored: pa.Table, carry: tuple[str, ...], layout:
         pairs = ((p, f) for p in at for f in found) if whole else zip(at, found, strict=True)
         for (row, start), (offset, length, doc, source_start) in pairs:
             of_row.setdefault(row, []).append((start + offset, length, doc, source_start))
-    out: dict[str, list] = {f.name: [] for f in OUT}
+    out: dict[str, list] = {f.name: [] for f in OUT if f.name != "spans"}
+    spans_of: list[np.ndarray] = []
     for row, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
         own = (text or "").encode().split()
-        spans = sorted(of_row.get(row, ()))
+        spans = sorted(of_row.pop(row, ()))
+        spans_of.append(np.array(spans, np.int64).reshape(-1, 4))
         hit = np.zeros(len(own), bool)
         for start, length, _, _ in spans:
             hit[start : start + length] = True
@@ -279,10 +312,10 @@ def _remove(docs: pa.Table, factored: pa.Table, carry: tuple[str, ...], layout:
             kept = without(text.encode(), list(_WORD.finditer(text.encode())), hit) if removed else text
         else:
             kept = b" ".join([w for w, gone in zip(own, hit.tolist(), strict=True) if not gone] if removed else own).decode()
-        values = (doc_id, len(own), removed, [{"start": a, "length": b, "source_doc": None if c == NO_ID else c, "source_start": d} for a, b, c, d in spans], kept)
+        values = (doc_id, len(own), removed, kept)
         for name, value in zip(out, values, strict=True):
             out[name].append(value)
-    done = pa.Table.from_batches([batch_of(out, OUT)])
+    done = pa.table([span_lists(spans_of) if f.name == "spans" else pa.array(out[f.name], f.type) for f in OUT], schema=OUT)
     for c in carry:
         done = done.append_column(c, rows.column(c))
     return done

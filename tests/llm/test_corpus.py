@@ -324,6 +324,19 @@ def test_equal_hashes_remove_nothing(monkeypatch):
     assert [len(f.as_py()) for f in got.column("factors")] == [0, 0, 32]  # the copy of the first text alone
 
 
+def test_stretches_are_unpacked_in_slices(monkeypatch):
+    """However many stretches name a block, a few megabytes of their words are held at a time."""
+    text = " ".join(f"w{i}" for i in range(150_000))
+    block = pa.Table.from_batches(list(_pack(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([7], pa.int64()), "text": [text]})]), np.zeros(0, np.int64)))).set_column(0, "block", pa.array([0], pa.int64()))
+    asked = pa.table({"key": range(12), "check": range(12), "words": pa.array([pack_bytes(text.encode())] * 12, pa.binary())})
+    held, real = [], op8_substring.Windows
+    monkeypatch.setattr(op8_substring, "Windows", lambda parts, width: (held.append(sum(len(w) + 1 for p in parts for w in p)), real(parts, width))[1])
+    got = op8_substring._parse(block, asked, 20)
+    assert sum(held) == 12 * (len(text) + 1) and max(held) < (4 << 20) + len(text) + 2
+    assert got.column("key").to_pylist() == list(range(12))
+    assert all(np.frombuffer(f.as_py(), np.int64).tolist() == [0, 150_000, 7, 0] for f in got.column("factors"))
+
+
 def test_licenses(spark, odd, rows, empty):
     mit = op10_licenses.TEMPLATES[0][1]
     words = mit.split()
