@@ -270,6 +270,26 @@ def test_repeated_texts_score_apart(spark):
     assert max(got[i]["bits_per_byte"] for i in twice) < 0.5 * min(got[i]["bits_per_byte"] for i in got if 20 <= i < 1000)
 
 
+def test_contexts_that_training_never_met():
+    """No candidate, and no logarithm of a negative count."""
+    keys = np.array([1, 2, 3], np.uint64) << np.uint64(op7_lm.TAG)
+    with np.errstate(all="raise"):
+        outside, within = op7_lm.flag_codes(keys, np.array([0, 1, 2]))
+    assert outside.astype(bool).tolist() == [False, True, True] and within.astype(bool).tolist() == [False, False, True]
+
+
+def test_rows_of_lanes():
+    """Any stretch of each lane's places, as the whole rows give it."""
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 9, 60)
+    starts, ends = rng.integers(0, 1000, 60), np.cumsum(sizes)
+    rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, sizes, strict=True)])
+    begin = np.sort(rng.choice(len(rows), 12, replace=False))
+    end = np.minimum(begin + rng.integers(1, 40, 12), len(rows))
+    want = np.concatenate([rows[a:b] for a, b in zip(begin, end, strict=True)])
+    assert op7_lm.lane_rows(starts, sizes, ends, begin, end).tolist() == want.tolist()
+
+
 def test_code_is_complete():
     steps, _, _, _ = op7_lm.code()
     assert len(steps) == 257 and abs(sum(2.0 ** -int(s) for s in steps) - 1) < 1e-9
