@@ -278,6 +278,53 @@ def test_contexts_that_training_never_met():
     assert outside.astype(bool).tolist() == [False, True, True] and within.astype(bool).tolist() == [False, False, True]
 
 
+def test_what_chunks_share_is_handled_once():
+    """One edge for all symbols after the same beginning, in whatever chunk; and their items are those of each chunk on its own."""
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice([*"abä\n"], rng.integers(0, 6))) for _ in range(400)]
+    names, last, places, begins = op7_lm.places_of([" ".join(words[:250]), " ".join(words[250:]), ""])
+    chunks = [n + " " * x for n, x in zip(names.to_pylist(), last.tolist(), strict=True)]
+    assert [chunks[k] for k in places[begins[1] :]] == op7_lm.chunks_of(" ".join(words[250:])) + [" "]
+    symbols, begins = op7_lm.symbols_of(names, last)
+    at, edge, place = op7_lm.edges_of(symbols, begins)
+    ends = [*begins[1:].tolist(), len(symbols)]
+    walked = [tuple(symbols[a : k + 1].tolist()) for a, b in zip(begins.tolist(), ends, strict=True) for k in range(a, b)]
+    assert len(at) == len(set(walked)) < 0.6 * len(symbols)
+    assert len(set(zip(walked, edge.tolist(), strict=True))) == len(at) and edge[at].tolist() == list(range(len(at)))
+    assert place.tolist() == [len(w) - 1 for w in walked]
+    steps, begin, nodes, bits = op7_lm.code()
+    odds = rng.integers(-127, 128, 5000).astype(np.int8)
+    starts = [rng.integers(0, 4900, len(at)).astype(np.int32) for _ in range(3)]
+    packed, sizes = op7_lm.letter_items(symbols, begins, at, edge, place, starts, odds)
+    want = []
+    for s, e, k in zip(symbols.tolist(), edge.tolist(), place.tolist(), strict=True):
+        for step in range(steps[s]):
+            kind = 2 * min(k, 3) + (step > 0) + (0 if bits[begin[s] + step] else op7_lm.ZERO)
+            want.append([*(-int(odds[start[e] + step]) & 255 for start in starts), kind])
+    assert packed[op7_lm.FLAGS :].view(np.uint8).reshape(-1, 4).tolist() == want
+    assert sizes.tolist() == [int(steps[symbols[a:b]].sum()) for a, b in zip(begins.tolist(), ends, strict=True)]
+
+
+def test_odds_of_walks():
+    """Against counts of zeros and ones at each node, for contexts that one symbol follows, several, or all."""
+    rng = np.random.default_rng(14)
+    steps, begin, nodes, bits = op7_lm.code()
+    follow = [sorted(rng.choice(257, n, replace=False).tolist()) for n in (1, 1, 2, 3, 9, 257)]
+    rank, symbols, _ = op7_lm.code_order()
+    keys = np.array(sorted(c << op7_lm.SYMBOL | int(rank[s]) for c, own in enumerate(follow) for s in own), np.uint64)
+    counts = rng.integers(0, 50, len(keys))
+    size, odds = op7_lm.walk_odds(keys, counts)
+    seen, rows = Counter(), []
+    for key, n in zip(keys.tolist(), counts.tolist(), strict=True):
+        s = int(symbols[key & 511])
+        for k in range(begin[s], begin[s] + steps[s]):
+            rows.append((key >> 9, int(nodes[k]), int(bits[k])))
+            seen[rows[-1]] += n
+    want = [round(16 * log((seen[c, node, bit] + 0.1) / (seen[c, node, 1 - bit] + 0.1))) for c, node, bit in rows]
+    assert odds.tolist() == [min(127, max(-127, v)) for v in want]
+    assert size.tolist() == [int(steps[symbols[k & 511]]) for k in keys.tolist()]
+
+
 def test_rows_of_lanes():
     """Any stretch of each lane's places, as the whole rows give it."""
     rng = np.random.default_rng(12)
