@@ -325,6 +325,15 @@ def test_odds_of_walks():
     assert size.tolist() == [int(steps[symbols[k & 511]]) for k in keys.tolist()]
 
 
+def test_flags_of_few_and_many_counts():
+    """The same code whether its odds come from the table of few counts or not."""
+    rng = np.random.default_rng(15)
+    whole = np.r_[0, 1, op7_lm.FEW, op7_lm.FEW + 1, rng.integers(0, 100, 200)]
+    often, hit = rng.integers(0, whole + 1), rng.random(len(whole)) < 0.5
+    want = [(min(15, max(-16, round(4 * log((a + 0.4) / (n - a + 0.4))))) + 16 | h << 5 | min(n, 3) << 6) if n else 0 for a, n, h in zip(often.tolist(), whole.tolist(), hit.tolist(), strict=True)]
+    assert op7_lm.flag_code(hit, often, whole).tolist() == want
+
+
 def test_rows_of_lanes():
     """Any stretch of each lane's places, as the whole rows give it."""
     rng = np.random.default_rng(12)
