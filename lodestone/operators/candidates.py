@@ -1,4 +1,7 @@
-"""Training candidates of each query: labelled items, hard negatives, filler."""
+"""Training candidates of each query: labelled items, hard negatives, filler.
+
+Labels are merged, never broadcast: they grow with the items, and Spark sizes them by the compressed file they come from.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ def relative_score(retrieved: DataFrame) -> DataFrame:
 
 def _tiered(kept: DataFrame, labels: DataFrame, hard: Column) -> DataFrame:
     labelled = labels.groupBy("qid", "pid").agg(F.max("relevance").alias("relevance"))
-    new = kept.join(labelled.select("qid", "pid"), ["qid", "pid"], "left_anti").select("qid", "pid", F.when(hard, HARD).otherwise(FILLER).alias("tier"), "score")
+    new = kept.join(labelled.select("qid", "pid").hint("merge"), ["qid", "pid"], "left_anti").select("qid", "pid", F.when(hard, HARD).otherwise(FILLER).alias("tier"), "score")
     own = labelled.select("qid", "pid", F.lit(LABELLED).alias("tier"), F.col("relevance").cast("double").alias("score"))
     w = Window.partitionBy("qid", "tier").orderBy(F.desc("score"), "pid")
     return own.unionByName(new).select("qid", "pid", "tier", F.row_number().over(w).alias("tier_rank"))
@@ -50,7 +53,7 @@ def compose(tiered: DataFrame, k: int, max_hard: int = 10) -> DataFrame:
 def with_labels(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """candidates with relevance, 0 where there is no label."""
     best = labels.groupBy("qid", "pid").agg(F.max("relevance").alias("relevance"))
-    return candidates.join(best, ["qid", "pid"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
+    return candidates.join(best.hint("merge"), ["qid", "pid"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0)))
 
 
 def useful_groups(candidates: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Serving: a batch of queries through retrieval, features, model, guardrails and the score gap, as one plan."""
+"""Serving: a batch of queries through retrieval, features, model, guardrails and the score gap, as one plan.
+
+Joins with items are merged, never broadcast: items grow with the catalog, and Spark sizes them by the compressed file.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +33,7 @@ def featurize(pairs: DataFrame, queries: DataFrame, items: DataFrame, config: En
     """The features of pairs (qid, pid, ...), by BM25 over all items."""
     corpus = items.select(F.col("pid").alias("doc_idx"), F.col("title").alias("text"))
     lexical = bm25.scores(corpus, queries, candidates=pairs.select("qid", F.col("pid").alias("doc_idx"))).select("qid", F.col("doc_idx").alias("pid"), F.col("score").alias("bm25"))
-    rows = pairs.join(queries, "qid").join(items, "pid").join(lexical, ["qid", "pid"], "left").fillna(0.0, ["bm25"])
+    rows = pairs.join(queries, "qid").join(items.hint("merge"), "pid").join(lexical.hint("merge"), ["qid", "pid"], "left").fillna(0.0, ["bm25"])
     similar = features.similarities(rows, embeddings) if embeddings else features.hashed_similarities(rows)
     return features.feature_matrix(similar, keep, config.ranker.bm25_norm_factor)
 
@@ -42,7 +45,7 @@ def rank(queries: DataFrame, catalog: DataFrame, ranker: model.LambdaRanker, con
     matrix = featurize(found, queries, items, config, ["qid", "pid", "query", "category"], embeddings)
     scored = guardrails.serving_guardrails(ranker.predict(matrix).select("qid", "pid", "query", "category", "score", "brand_match"))
     cut = guardrails.score_gap_cut(scored, k)
-    return cut.join(catalog.select("pid", "title", "brand"), "pid").select("qid", "pid", "title", "brand", "category", "score", "rank")
+    return cut.join(catalog.select("pid", "title", "brand").hint("merge"), "pid").select("qid", "pid", "title", "brand", "category", "score", "rank")
 
 
 def training_rows(interactions: DataFrame, catalog: DataFrame, config: EngineConfig, hybrid: bool = True, embeddings: providers.Embeddings | None = None) -> DataFrame:
@@ -50,7 +53,7 @@ def training_rows(interactions: DataFrame, catalog: DataFrame, config: EngineCon
     items = features.with_catalog_columns(catalog)
     queries = stores.written(interactions.groupBy("qid").agg(F.min("query").alias("query")), "queries")
     brand = features.match(F.col("brand_norm"), F.lower(T.one_space(F.col("query"))))
-    found = retrieve(queries, items, config, hybrid, embeddings).join(queries, "qid").join(items.select("pid", "brand_norm"), "pid").select("qid", "pid", "score", brand.alias("brand_match"))
+    found = retrieve(queries, items, config, hybrid, embeddings).join(queries, "qid").join(items.select("pid", "brand_norm").hint("merge"), "pid").select("qid", "pid", "score", brand.alias("brand_match"))
     tiered = candidates.tiers(found, interactions, config.data.hard_negative_score) if hybrid else candidates.semantic_tiers(found, interactions)
     chosen = candidates.useful_groups(candidates.with_labels(candidates.compose(tiered, config.data.retrieval_k, config.data.max_hard_negatives), interactions))
     chosen = stores.written(chosen.select("qid", "pid", "relevance"), "training-candidates")

@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB, and hand-computed cases."""
 
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -417,3 +418,13 @@ def test_serving_searches_in_blocks(spark, sf):
     found = serving.retrieve(interactions.select("qid", "query").distinct(), features.with_catalog_columns(catalog), EngineConfig(), hybrid=False)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_items_and_labels_are_not_broadcast(spark, sf, monkeypatch):
+    """rank_end_to_end and, with the same rows, train_rank: items and labels are as long as the parts, however small their compressed file."""
+    plans = {}
+    real, note = stores.written, lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(stores, "written", lambda df, name: plans.setdefault(name, []).append(note(df)) or real(df, name))
+    plans["ranked"] = [note(serving.demo(spark, sf))]
+    for name in ("training-candidates", "features", "ranked"):
+        assert "SortMergeJoin" in plans[name][0] and not re.search(r"BroadcastHashJoin \[(qid#\d+L?, )?pid#", plans[name][0])
