@@ -1,50 +1,33 @@
-"""Learning to rank on Spark ML trees: pairwise lambda gradients with linear gain, bagging, and early stopping.
+"""Learning to rank: pairwise lambda gradients with linear gain, bagging, and early stopping.
 
 Each round ranks the rows of every group, sums the lambda gradients of all pairs with different labels in
-the group, fits a regression tree to them on a share of the rows and features, and replaces the tree's leaves by Newton steps. Gradients
-and scores are written out every round, so plans stay short and lost executors cost little; metrics come every MEASURE rounds.
+the group, fits a regression tree to them on a share of the rows and features, and gives the tree's leaves Newton steps. Rows are
+dealt in parts of whole groups (boosting.py): one part is fitted inside one task, many write their scores and gradients out every round; metrics come every MEASURE rounds.
 A fitted model is a list of plain tables, one for each tree: it is scored in batches by NumPy, with or without Spark.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.regression import DecisionTreeRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.config import RankerConfig
 from lodestone.functions import fixed
-from lodestone.operators import evaluate, sampling
-from lodestone.sources.stores import inside, written
+from lodestone.operators import boosting, sampling
+from lodestone.sources.stores import inside
 
 MEASURE = 5
 
 
-def gradients(rows: DataFrame) -> DataFrame:
-    """rows (qid, pid, relevance, score) with lambda and hessian: NDCG-weighted pairwise logistic."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "pid")
-    best = Window.partitionBy("qid").orderBy(F.desc("relevance"), "pid")
-    ranked = rows.where(F.col("qid").cast("string") != sampling.EXTRA)  # copies of one label: no pair differs
-    ranked = ranked.select("qid", "pid", "relevance", "score", (1 / F.log2(F.row_number().over(w) + 1)).alias("d"), (F.col("relevance") / F.log2(F.row_number().over(best) + 1)).alias("ideal"))
-    ranked = ranked.withColumn("idcg", F.sum("ideal").over(Window.partitionBy("qid"))).where("idcg > 0").drop("ideal")
-    low = ranked.select("qid", F.col("pid").alias("pid2"), F.col("relevance").alias("r2"), F.col("score").alias("s2"), F.col("d").alias("d2"))
-    pairs = ranked.join(low, "qid").where("relevance > r2")  # inside a group of at most the candidate limit
-    rho = 1 / (1 + F.exp(F.col("score") - F.col("s2")))
-    delta = (F.col("relevance") - F.col("r2")) * F.abs(F.col("d") - F.col("d2")) / F.col("idcg")
-    pairs = pairs.withColumn("g", rho * delta).withColumn("h", rho * (1 - rho) * delta)
-    both = pairs.select("qid", "pid", "g", "h").unionAll(pairs.select("qid", F.col("pid2"), -F.col("g"), "h"))
-    total = both.groupBy("qid", "pid").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    return rows.join(total, ["qid", "pid"], "left").fillna(0.0, ["g", "h"])
-
-
 @dataclass
 class Tree:
     """Nodes in arrays: the feature asked (-1: a leaf), its threshold, the nodes for values up to it and over it, and a leaf's value."""
@@ -103,7 +86,7 @@ class LambdaRanker:
     history: list[dict] = field(default_factory=list)
 
     def _bag(self, rows: DataFrame, n: int, seed: int) -> DataFrame:
-        """The rows that round n fits on: bagging_fraction of all, and of the irrelevant ones neg_bagging_fraction; drawn anew every bagging_freq rounds."""
+        """The rows that round n fits on (boosting.Part draws the same): bagging_fraction of all, and of the irrelevant ones neg_bagging_fraction; drawn anew every bagging_freq rounds."""
         if not self.config.bagging_freq:
             return rows
         turn = seed + n // self.config.bagging_freq
@@ -111,35 +94,39 @@ class LambdaRanker:
         return rows.where(kept & ((F.col("relevance") > 0) | (share_of(turn + 7919, "qid", "pid") < self.config.neg_bagging_fraction)))
 
     def fit(self, train: DataFrame, val: DataFrame, seed: int = 42) -> LambdaRanker:
-        names = list(self.features)
-        rows = {k: written(df.select("qid", "pid", "relevance", *names, F.lit(0.0).alias("score")), "scores") for k, df in {"train": train, "val": val}.items()}
+        table = boosting.parts(train, val, list(self.features))
+        if table.count() == 1:
+            told = boosting.each(table, lambda part: self._boost(boosting.Here(part), seed)).first()["data"]
+            self.trees, self.gains, self.history = pickle.loads(told)
+        else:
+            self.trees, self.gains, self.history = self._boost(boosting.Spread(table), seed)
+        return self
+
+    def _boost(self, data: boosting.Here | boosting.Spread, seed: int) -> tuple[list[Tree], list[list[float]], list[dict]]:
+        config, width = self.config, len(self.features)
+        cuts = boosting.edges(data.values())
+        trees, gains, history = [], [], []
         best, best_round = -1.0, 0
-        for n in range(self.config.rounds):
-            graded = written(gradients(rows["train"]), "gradients")
-            drawn = np.random.default_rng(seed + n).choice(len(names), max(1, round(self.config.feature_fraction * len(names))), replace=False)
+        for n in range(config.rounds):
+            drawn = np.random.default_rng(seed + n).choice(width, max(1, round(config.feature_fraction * width)), replace=False)
             columns = sorted(int(c) for c in drawn)
-            assembled = VectorAssembler(inputCols=[names[c] for c in columns], outputCol="_x", handleInvalid="keep").transform(graded)
-            bag = self._bag(assembled, n, seed)
-            if bag.isEmpty():
-                bag = assembled
-            tree = DecisionTreeRegressor(featuresCol="_x", labelCol="g", maxDepth=self.config.max_depth, minInstancesPerNode=self.config.min_rows_in_leaf, leafCol="_leaf", predictionCol="_p", seed=seed + n).fit(bag)
-            sums = tree.transform(bag).groupBy("_leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()  # one row a leaf
-            leaves = {int(r["_leaf"]): self.config.learning_rate * r["g"] / (r["h"] + self.config.l2) for r in sums}
-            self.trees.append(Tree.of(tree, columns, leaves))
-            gains = [0.0] * len(names)
-            for c, v in zip(columns, tree.featureImportances.toArray(), strict=True):
-                gains[c] = float(v)
-            self.gains.append(gains)
-            rows = {k: written(self._scored(df, self.trees[-1:], "score"), "scores") for k, df in rows.items()}
-            if (n + 1) % MEASURE == 0 or n + 1 == self.config.rounds:
-                metric = {k: evaluate.ndcg(df, 5).agg(F.avg("ndcg")).first()[0] or 0.0 for k, df in rows.items()}
-                self.history.append({"round": n + 1, **metric})
-                if metric["val"] > best:
-                    best, best_round = metric["val"], n + 1
-                elif n + 1 - best_round >= self.config.early_stopping_rounds:
+            data.change("start", cuts, trees[-1] if trees else None, seed + n // config.bagging_freq if config.bagging_freq else None, config)
+            grown = boosting.grow(data, cuts, columns, config, width)
+            if grown is None:  # an empty bag
+                data.change("start", cuts, None, None, config)
+                grown = boosting.grow(data, cuts, columns, config, width)
+            if grown is None:
+                raise ValueError("no training rows")
+            trees.append(Tree(**grown[0]))
+            gains.append(grown[1])
+            if (n + 1) % MEASURE == 0 or n + 1 == config.rounds:
+                (train, train_n), (val, val_n) = data.total("metric", trees[-1], 5).tolist()
+                history.append({"round": n + 1, "train": train / train_n if train_n else 0.0, "val": val / val_n if val_n else 0.0})
+                if history[-1]["val"] > best + 1e-12:  # more than the order of a sum can make
+                    best, best_round = history[-1]["val"], n + 1
+                elif n + 1 - best_round >= config.early_stopping_rounds:
                     break
-        self.trees, self.gains = self.trees[:best_round], self.gains[:best_round]
-        return self
+        return trees[:best_round], gains[:best_round], history
 
     def scores(self, x: np.ndarray, trees: list[Tree] | None = None) -> np.ndarray:
         """Scores of a matrix whose columns are the features; needs no Spark."""

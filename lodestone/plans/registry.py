@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import EngineConfig, RankerConfig
+from lodestone.config import EngineConfig
 from lodestone.functions import entities, fixed, language
 from lodestone.functions import text as T
 from lodestone.functions import vectors as V
@@ -666,8 +666,7 @@ def train_rank(spark, sf):
     """Metrics of the rounds of a ranker trained on all composed candidates of the plain interactions, with their full features."""
     from lodestone.plans import serving
 
-    config = EngineConfig(ranker=RankerConfig(rounds=10))
-    return serving.train(*serving.demo_tables(spark, sf), config).diagnostics(spark)
+    return serving.train(*serving.demo_tables(spark, sf), EngineConfig()).diagnostics(spark)
 
 
 @query()

@@ -428,3 +428,70 @@ def test_items_and_labels_are_not_broadcast(spark, sf, monkeypatch):
     plans["ranked"] = [note(serving.demo(spark, sf))]
     for name in ("training-candidates", "features", "ranked"):
         assert "SortMergeJoin" in plans[name][0] and not re.search(r"BroadcastHashJoin \[(qid#\d+L?, )?pid#", plans[name][0])
+
+
+def test_gradients_and_metric_equal_pairs(spark):
+    """Against plain loops over pairs: ties of scores, a group of one label, copies, groups of several sizes; few pairs held at once; the bag of _bag; NDCG of evaluate."""
+    import pickle
+
+    from lodestone.operators import boosting
+    from lodestone.operators.model import LambdaRanker, Tree
+
+    rng = np.random.default_rng(3)
+    rows = [(f"q{q}", p, 2 if q == 4 else int(rng.integers(0, 4)), float(rng.integers(0, 5))) for q in range(12) for p in range(3 + q)]
+    df = spark.createDataFrame(rows, "qid string, pid int, relevance int, a float")
+    train = df.where("qid <> 'q7'").unionAll(df.where("qid = 'q3'").withColumn("qid", F.lit(sampling.EXTRA)))
+    boosting_pairs, boosting.PAIRS = boosting.PAIRS, 40
+    try:
+        part = pickle.loads(boosting.parts(train, df.where("qid = 'q7'"), ["a"]).first()["data"])
+        part.start([np.array([1.0])], Tree([0, -1, -1], [2.0, 0, 0], [1, 1, 2], [2, 1, 2], [0.0, 0.3, 0.7]), 42, RankerConfig())
+    finally:
+        boosting.PAIRS = boosting_pairs
+    got = {k.decode(): (g, h) for k, g, h in zip(part.keys, part.g, part.h, strict=True)}
+    scores = {(q, p): 0.3 if a <= 2 else 0.7 for q, p, _, a in rows}
+    for q in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-scores[q, r[1]], r[1]))
+        idcg = sum(g / math.log2(i + 2) for i, g in enumerate(sorted((r[2] for r in own), reverse=True)))
+        want = {r[1]: [0.0, 0.0] for r in own}
+        for i, a in enumerate(own):
+            for j, b in enumerate(own):
+                if a[2] > b[2] and q != "q7":
+                    rho = 1 / (1 + math.exp(scores[q, a[1]] - scores[q, b[1]]))
+                    delta = (a[2] - b[2]) * abs(1 / math.log2(i + 2) - 1 / math.log2(j + 2)) / idcg
+                    for r, sign in ((a, 1), (b, -1)):
+                        want[r[1]][0] += sign * rho * delta
+                        want[r[1]][1] += rho * (1 - rho) * delta
+        for p, pair in want.items():
+            assert got[f"{q}:{p}"] == pytest.approx(pair, abs=2 / boosting.UNIT)
+    assert all(got[f"{sampling.EXTRA}:{p}"] == (0, 0) for p in range(6))
+    bag = {f"{r['qid']}:{r['pid']}" for r in LambdaRanker()._bag(train, 0, 42).collect()}
+    assert {part.keys[i].decode() for i in part.bag} == bag and 0 < len(bag) < train.count()
+    scored = spark.createDataFrame([(*r[:3], scores[r[0], r[1]]) for r in rows], "qid string, pid int, relevance int, score double")
+    want = [evaluate.ndcg(scored.where(f"(qid = 'q7') = {v}"), 5).agg(F.avg("ndcg")).first()[0] for v in (False, True)]
+    sums = part.metric(Tree([-1], [0.0], [0], [0], [0.0]), 5)
+    assert (sums[:, 0] / sums[:, 1]).tolist() == pytest.approx(want)
+
+
+def test_model_of_many_parts_equals_one(spark, monkeypatch):
+    from lodestone.operators import boosting
+    from lodestone.operators.model import LambdaRanker
+
+    rows = stores.written(sampling.group_split(ranking_rows(spark)), "rows")
+    sides = sampling.upsample_rare(rows.where("split = 'train'"), target=0.6), rows.where("split = 'val'")
+    config = RankerConfig(rounds=6, max_depth=3, learning_rate=0.3)
+    one = LambdaRanker(config).fit(*sides)
+    monkeypatch.setattr(boosting, "ROWS", 150)
+    many = LambdaRanker(config).fit(*sides)
+    assert one.trees == many.trees and len(one.trees) > 1 and [h["round"] for h in many.history] == [5, 6]
+    assert [h["val"] for h in one.history] == pytest.approx([h["val"] for h in many.history])
+
+
+def test_train_rank_has_all_rounds(spark, sf, monkeypatch):
+    """train_rank trains as the defaults say: up to 300 rounds, stopped after 50 that bring nothing."""
+    fitted = []
+    train = serving.train
+    monkeypatch.setattr(serving, "train", lambda *a: fitted.append(train(*a)) or fitted[-1])
+    rounds = [r["round"] for r in registry.queries()["train_rank"](spark, sf).orderBy("round").collect()]
+    config = fitted[0].config
+    assert config == RankerConfig() and rounds == list(range(5, rounds[-1] + 1, 5))
+    assert rounds[-1] in (config.rounds, len(fitted[0].trees) + config.early_stopping_rounds)
