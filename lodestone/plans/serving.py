@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import EngineConfig, RankerConfig
+from lodestone.config import EngineConfig
 from lodestone.functions import text as T
 from lodestone.operators import bm25, candidates, evaluate, features, guardrails, model, retrieval, sampling, synth
 from lodestone.sources import providers, stores
@@ -39,11 +39,12 @@ def featurize(pairs: DataFrame, queries: DataFrame, items: DataFrame, config: En
 
 
 def rank(queries: DataFrame, catalog: DataFrame, ranker: model.LambdaRanker, config: EngineConfig, k: int = 10, hybrid: bool = False, embeddings: providers.Embeddings | None = None) -> DataFrame:
-    """(qid, pid, title, brand, category, score, rank) for every query; a query that finds nothing has no row."""
+    """(qid, pid, title, brand, category, score, rank) for every query; a query that finds nothing has no row. Scores are written before the guardrails, whose medians read them again."""
     items = features.with_catalog_columns(catalog)
     found = stores.written(retrieve(queries, items, config, hybrid, embeddings).select("qid", "pid"), "found")
     matrix = featurize(found, queries, items, config, ["qid", "pid", "query", "category"], embeddings)
-    scored = guardrails.serving_guardrails(ranker.predict(matrix).select("qid", "pid", "query", "category", "score", "brand_match"))
+    scores = stores.written(ranker.predict(matrix).select("qid", "pid", "query", "category", "score", "brand_match"), "scores")
+    scored = guardrails.serving_guardrails(scores)
     cut = guardrails.score_gap_cut(scored, k)
     return cut.join(catalog.select("pid", "title", "brand").hint("merge"), "pid").select("qid", "pid", "title", "brand", "category", "score", "rank")
 
@@ -83,7 +84,7 @@ def demo_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def demo(spark: SparkSession, sf: str) -> DataFrame:
     """Train on plain interactions of the parts, then rank the distinct brand-and-type queries."""
-    config = EngineConfig(ranker=RankerConfig(rounds=3, max_depth=3))
+    config = EngineConfig()
     interactions, items = demo_tables(spark, sf)
     ranker = train(interactions, items, config)
     part = spark.read.parquet(f"{sf}/part.parquet")

@@ -495,3 +495,11 @@ def test_train_rank_has_all_rounds(spark, sf, monkeypatch):
     config = fitted[0].config
     assert config == RankerConfig() and rounds == list(range(5, rounds[-1] + 1, 5))
     assert rounds[-1] in (config.rounds, len(fitted[0].trees) + config.early_stopping_rounds)
+
+
+def test_ranking_scores_once_with_all_rounds(spark, sf, monkeypatch):
+    """The guardrails' medians read the scores again and again: they are written first. The model is trained by the defaults."""
+    used, train = [], serving.train
+    monkeypatch.setattr(serving, "train", lambda *a: used.append(a[2]) or train(*a))
+    plan = serving.demo(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "scores-" in plan and "MapInArrow" not in plan and used == [EngineConfig()]
